@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_simhash": simhash.op4_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
