@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, simhash
+from . import ann, exact_dedup, html_text, mixing, quality, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
+    "op6_nearest": ann.op6_nearest,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_html_text": html_text.op9_html_text,
     "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
     "op3_mixing": mixing.SQL,
+    "op6_nearest": ann.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
