@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, mixing, quality, simhash
+from . import ann, exact_dedup, html_text, lm_scoring, mixing, quality, secrets, simhash
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_nearest": ann.op6_nearest,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_lm_scoring": lm_scoring.SQL,
     "op3_mixing": mixing.SQL,
     "op6_nearest": ann.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
