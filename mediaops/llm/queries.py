@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, lm_scoring, mixing, quality, secrets, simhash
+from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, quality, secrets, simhash
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_nearest": ann.op6_nearest,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_quality": quality.op10_quality,
