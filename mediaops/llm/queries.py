@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, quality, secrets, simhash
+from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, quality, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op5_secret_scan": secrets.op5_secret_scan,
