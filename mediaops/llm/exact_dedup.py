@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, cut, text_of
 
-_RUNS = "doc_id long, sha string, lead_id long, lead_cp long, local_size long, lead boolean, edge boolean, part int"
+_RUNS = "doc_id long, row long, sha string, lead_id long, lead_cp long, local_size long, lead boolean, edge boolean, part int"
 
 
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,6 +45,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield from pa.table(
                 {
                     "doc_id": some["doc_id"],
+                    "row": some["row"],
                     "sha": some["sha"],
                     "lead_id": pa.repeat(run["doc_id"][0], n),
                     "lead_cp": pa.repeat(run["n_cp"][0], n),
@@ -63,7 +64,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         starts = [i + 1 for i in range(len(same)) if not same[i]]
         first_continues = last is not None and norm[0].as_py() == last
         bounds = [0, *starts, batch.num_rows]
-        small = pa.Table.from_batches([batch.select(["doc_id", "n_cp", "sha"])])
+        small = pa.Table.from_batches([batch.select(["doc_id", "row", "n_cp", "sha"])])
         if not first_continues:
             yield from emit(False)
         held.append(small.slice(0, bounds[1]))
@@ -78,6 +79,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 yield from pa.table(
                     {
                         "doc_id": some["doc_id"],
+                        "row": some["row"],
                         "sha": some["sha"],
                         "lead_id": small["doc_id"].take(lead),
                         "lead_cp": small["n_cp"].take(lead),
@@ -93,7 +95,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield from emit(True)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 32) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 32, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting spaces, tabs, line feeds,
@@ -101,20 +103,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in its original text stays, then the smallest identifier. A null text counts
     as empty; all empty texts form one group. A null identifier sorts after all
     others. Of repeated rows exactly one is kept. An empty table gives no rows,
-    and further columns of ``docs`` are ignored.
+    and further columns of ``docs`` are ignored; ``row_col``, a number of the row,
+    is carried along as a column ``row``.
     """
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
     norm = F.col("raw")
     for c in SPACES:
         norm = F.replace(norm, F.lit(c), F.lit(""))
     keyed = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("raw"))
-        .select("doc_id", F.char_length("raw").cast("long").alias("n_cp"), norm.alias("norm"))
-        .select("doc_id", "n_cp", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), text_of(text_col).alias("raw"))
+        .select("doc_id", "row", F.char_length("raw").cast("long").alias("n_cp"), norm.alias("norm"))
+        .select("doc_id", "row", "n_cp", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
         .withColumn("prefix", F.substring("norm", 1, prefix_chars))
     )
     order = [F.col("n_cp").desc(), F.col("doc_id").asc_nulls_last()]
     ordered = keyed.repartitionByRange("prefix", "sha", *order).sortWithinPartitions("prefix", "sha", "norm", *order)
-    runs = cut(ordered.select("doc_id", "n_cp", "sha", "norm").mapInArrow(_compare_neighbours, _RUNS))
+    runs = cut(ordered.select("doc_id", "row", "n_cp", "sha", "norm").mapInArrow(_compare_neighbours, _RUNS))
 
     best = F.min(F.struct((-F.col("lead_cp")).alias("cp"), F.col("lead_id").isNull().alias("none"), "lead_id", "part"))
     merged = (
@@ -130,6 +134,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col("edge"), F.col("size")).otherwise(F.col("local_size")).alias("group_size"),
         (F.col("lead") & (~F.col("edge") | (F.col("lead_id").eqNullSafe(F.col("best.lead_id")) & (F.col("part") == F.col("best.part"))))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *(["row"] if row_col else []),
     )
 
 

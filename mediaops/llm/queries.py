@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, quality, secrets, simhash, suffix_dedup
 
+
+def pipeline(spark, sf_dir: str):
+    """The stages of corpus_pipeline.py, in order."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
@@ -15,6 +23,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_quality": quality.op10_quality,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
