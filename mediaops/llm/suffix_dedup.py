@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ LENGTH = 50
 K = 20
 PART_BYTES = 12 << 20
 HOT = 4096
+STRINGS = 400_000  # strings sorted at a time in a task
 _SHALLOW = 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -92,25 +94,37 @@ def deep_shallow_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s, e in tied:  # three-way partitioning goes on inside what is equal so far
         part = order[s:e]
         order[s:e] = part[np.argsort(words[part, 1], kind="stable")] if e - s > 2 or words[part[0], 1] > words[part[1], 1] else part
-    buffer = np.ascontiguousarray(rows).tobytes()
-    whole = np.zeros(n, bool)
-    whole[1:] = (words[order[1:]] == words[order[:-1]]).all(axis=1)
-    for s, e in _runs(np.cumsum(~whole)):
+    tied = np.zeros(n, bool)
+    tied[1:] = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+    runs = np.array(_runs(np.cumsum(~tied)), np.int64).reshape(-1, 2)
+    where, pairs = _differ(rows, order, np.flatnonzero(tied))
+    settled = np.add.reduceat(np.r_[where < m, False].astype(np.int64), np.r_[0, np.cumsum(runs[:, 1] - runs[:, 0] - 1)][:-1]) == 0 if len(runs) else np.empty(0, bool)
+    two = ~settled & (runs[:, 1] - runs[:, 0] == 2)
+    if two.any():  # a trie of two leaves: the byte at which they part decides
+        i = runs[two, 0]
+        x, y = order[i], order[i + 1]
+        at = where[np.searchsorted(pairs, i + 1)]
+        swap = rows[x, at] > rows[y, at]
+        order[i[swap]], order[i[swap] + 1] = y[swap], x[swap]
+    rows = np.ascontiguousarray(rows)
+    for s, e in runs[~settled & ~two].tolist():
         part = order[s:e].tolist()
-        strings = [buffer[i * m : i * m + m] for i in part]
-        if e - s == 2:
-            if strings[1] < strings[0]:
-                order[s], order[s + 1] = part[1], part[0]
-        else:
-            order[s:e] = [part[i] for i in _blind_trie(strings)]
+        order[s:e] = [part[i] for i in _blind_trie([rows[i].tobytes() for i in part])]
     lcp = np.zeros(n, np.int64)
-    for at in range(1, n, 200_000):
-        a, b = rows[order[at - 1 : at + 199_999]], rows[order[at : at + 200_000]]
-        differ = a[: len(b)] != b
-        lcp[at : at + 200_000] = np.where(differ.any(axis=1), differ.argmax(axis=1), m)
+    lcp[1:] = _differ(rows, order, np.arange(1, n))[0]
     return order, lcp
 
 
+def _differ(rows: np.ndarray, order: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places ``at`` of the order: the first byte in which the row differs from the one before (their length if in none), and ``at``."""
+    out = np.empty(len(at), np.int64)
+    for s in range(0, len(at), 50_000):
+        i = at[s : s + 50_000]
+        differ = rows[order[i]] != rows[order[i - 1]]
+        out[s : s + 50_000] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return out, at
+
+
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of runs of two or more equal values."""
     starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
@@ -154,8 +168,8 @@ def minimizers(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...
     width = length - k + 1
     found: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
     low = np.uint64((1 << 24) - 1)
-    for at in range(0, max(len(data) - length + 1, 0), 1 << 22):
-        piece = data[at : at + (1 << 22) + length - 1]
+    for at in range(0, max(len(data) - length + 1, 0), 1 << 20):
+        piece = data[at : at + (1 << 20) + length - 1]
         h = _hashes(piece, k)
         key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         span = 1
@@ -193,8 +207,41 @@ def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.array([np.iinfo(np.int64).max if ids[i] is None else ids[i] for i in order], np.int64), np.array(order, np.int64), [texts[i] for i in order]
 
 
-def _sorted_shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(b"".join(table["shared"].to_pylist()), np.uint64)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Arrays, one after the other, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in columns))
+
+
+def _unpack(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _pack_names(names: np.ndarray) -> bytes:
+    """Ascending numbers as differences, in four bytes where those do."""
+    steps = np.diff(names, prepend=np.uint64(0))
+    return b"4" + steps.astype(np.uint32).tobytes() if not len(steps) or steps.max() < 1 << 32 else b"8" + steps.tobytes()
+
+
+def _unpack_names(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob[1:], np.uint32 if blob[:1] == b"4" else np.uint64).astype(np.uint64), dtype=np.uint64)
+
+
+def _name(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 40-bit name of a hash; buckets grow with the corpus, so names stay about as rare in each."""
+    return ((h & np.uint64((1 << 24) - 1)) % np.uint64(parts)).astype(np.int64), h >> np.uint64(24)
+
+
+def _cuts(by: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, np.diff(by) > 0]) if len(by) else np.empty(0, np.int64)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True)) if len(starts) else []
+
+
+def _sorted_shared(table: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shared hashes' names, each after its bucket, in order; and whether they are hot."""
+    names = [_unpack_names(x) for x in table["shared"].to_pylist()]
+    bucket = np.repeat(table["bucket"].to_numpy().astype(np.uint64), list(map(len, names)))
+    h = (np.concatenate([np.empty(0, np.uint64), *names]) << np.uint64(24)) | bucket
     hot = np.frombuffer(b"".join(table["hot"].to_pylist()), np.uint8)
     order = np.argsort(h)
     return h[order], hot[order]
@@ -211,23 +258,37 @@ class _Record:
     def make(self, docs: np.ndarray, texts: list[bytes], text: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         out = np.zeros(len(text), self.kind)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
-        begin = (np.cumsum(lens) - lens)[text]
+        data = np.frombuffer(bytes(self.before) + b"".join(texts) + bytes(self.length), np.uint8)
+        begin = (np.cumsum(lens) - lens)[text] + place  # of the bytes before the minimizer, in the padded data
+        around = np.lib.stride_tricks.sliding_window_view(data, self.width)
+        reach = np.arange(self.width)
+        step = np.where(reach < self.length, reach, self.length - 1 - reach).astype(np.int8)
         for name, x in (("doc", docs[text]), ("text", text), ("place", place), ("lo", lo), ("hi", hi)):
             out[name] = x
-        reach = np.arange(self.width)
-        step = np.where(reach < self.length, reach, self.length - 1 - reach)
-        for s in range(0, len(text), 100_000):
-            e = s + 100_000
-            used = (step[None, :] >= -hi[s:e, None]) & (step[None, :] < (self.length - lo[s:e])[:, None])
-            at = (begin[s:e] + place[s:e])[:, None] + step[None, :]
-            out["bytes"][s:e] = np.where(used, data[np.where(used, at, 0)], 0)
+        for s in range(0, len(text), 50_000):
+            e = s + 50_000
+            used = (step[None, :] >= -hi[s:e, None].astype(np.int8)) & (step[None, :] < (self.length - lo[s:e]).astype(np.int8)[:, None])
+            raw = around[begin[s:e]]
+            out["bytes"][s:e] = np.concatenate([raw[:, self.before :], raw[:, : self.before][:, ::-1]], axis=1) * used
+        return out
+
+    def pack(self, records: np.ndarray) -> bytes:
+        """Compressed column by column."""
+        return len(records).to_bytes(8, "little") + _pack(*(records[x] for x in self.kind.names))
+
+    def unpack(self, blob: bytes) -> np.ndarray:
+        out, data, at = np.zeros(int.from_bytes(blob[:8], "little"), self.kind), _unpack(blob[8:]), 0
+        for x in self.kind.names:
+            kind = out[x].dtype
+            size = out[x].size * kind.itemsize
+            out[x] = np.frombuffer(data[at : at + size], kind).reshape(out[x].shape)
+            at += size
         return out
 
     def string(self, rows: np.ndarray, back: np.ndarray) -> np.ndarray:
         """The ``length`` bytes that begin ``back`` bytes before each row's minimizer."""
-        step = np.arange(self.length)[None, :] - back[:, None]
-        return np.take_along_axis(rows, np.where(step >= 0, step, self.length - 1 - step), axis=1)
+        natural = np.concatenate([rows[:, self.length :][:, ::-1], rows[:, : self.length]], axis=1).ravel()
+        return np.lib.stride_tricks.sliding_window_view(natural, self.length)[np.arange(len(rows)) * self.width + self.before - back]
 
 
 def _least(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -251,8 +312,7 @@ def repeated(records: np.ndarray, shape: _Record) -> np.ndarray:
 
     # one record of each kind goes on, where its minimizer has others that can reach a whole string with it
     first = np.flatnonzero(np.r_[True, np.diff(same) > 0]) if n else np.empty(0, np.int64)
-    right = np.minimum(np.minimum.reduceat(lcp, first), lcp[first]) if n else lcp  # with the kind before: the run's first place
-    right = lcp[first] if n else right
+    right = lcp[first] if n else lcp  # with the kind before
     after = np.r_[right[1:], 0] if n else right
     right = np.maximum(np.where(np.arange(len(first)) > 0, right, 0), after)
     kinds = records["bytes"][order[first]]
@@ -263,19 +323,27 @@ def repeated(records: np.ndarray, shape: _Record) -> np.ndarray:
     if len(crowd):
         left[left_order] = np.maximum(left_lcp, np.r_[left_lcp[1:], 0]) - k
     crowd = crowd[np.minimum(right[crowd], length) + left >= length]
-    if len(crowd):
-        c_lo, c_hi = lo[first][crowd], hi[first][crowd]
-        per = c_hi - c_lo + 1
-        who = np.repeat(crowd, per)
-        back = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(c_lo, per)
-        strings = shape.string(kinds[who], back)
-        s_order, s_lcp = deep_shallow_sort(strings)
+    more = np.zeros(len(first), np.int64)
+    group = np.cumsum(np.r_[0, lcp[first][1:] < k])[crowd] if n else crowd
+    per = hi[first][crowd] - lo[first][crowd] + 1
+    # whole minimizers at a time, about STRINGS strings
+    ends = np.cumsum(per)
+    edges = np.flatnonzero(np.diff(group) > 0) + 1
+    at = 0
+    while at < len(crowd):
+        reach = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRINGS, side="right"))
+        after = edges[edges >= max(reach, at + 1)]
+        end = int(after[0]) if len(after) else len(crowd)
+        some, n_some = crowd[at:end], per[at:end]
+        who = np.repeat(some, n_some)
+        back = np.arange(n_some.sum()) - np.repeat(np.cumsum(n_some) - n_some, n_some) + np.repeat(lo[first][some], n_some)
+        s_order, s_lcp = deep_shallow_sort(shape.string(kinds[who], back))
         equal = np.cumsum(np.r_[1, s_lcp[1:] < length]) - 1
         s_docs = least[first][who[s_order]]
         hit = s_order[s_docs > _least(equal, s_docs)]
-        more = np.zeros(len(first), np.int64)
         np.bitwise_or.at(more, who[hit], np.int64(1) << back[hit])
-        mask |= more[same]
+        at = end
+    mask |= more[same] if n else mask
     out = np.zeros(n, np.int64)
     out[order] = mask
     return out
@@ -298,24 +366,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     def name(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, _, texts = _part(table)
         text, _, h, _, _ = minimizers(texts, length, k)
-        order = np.lexsort((text, h))
-        h, text = h[order], text[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-        count = np.diff(np.r_[first, len(h)])
-        docs_of = np.add.reduceat(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])].astype(np.int64), first) if len(h) else count
-        h, bucket = h[first], (h[first] % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket[by]) > 0]) if len(by) else np.empty(0, np.int64)
-        cuts = list(zip(edges, np.r_[edges[1:], len(by)], strict=True)) if len(by) else []
+        bucket, names = _name(h, parts)
+        order = np.lexsort((names, bucket)) if parts > 1 else np.argsort(names)
+        bucket, names, text = bucket[order], names[order], text[order]
+        first = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (bucket[1:] != bucket[:-1])]) if len(names) else np.empty(0, np.int64)
+        count = np.diff(np.r_[first, len(names)])
+        several = np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first) if len(first) else np.empty(0, bool)
+        bucket, names = bucket[first], names[first]
+        cuts = _cuts(bucket)
         return pa.table({
-            "part": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "bucket": pa.array([int(bucket[by[s]]) for s, _ in cuts], pa.int64()),
-            "names": pa.array([h[by[s:e]].tobytes() for s, e in cuts], pa.binary()),
-            "counts": pa.array([np.minimum(count[by[s:e]], 65535).astype(np.uint16).tobytes() for s, e in cuts], pa.binary()),
-            "several": pa.array([(docs_of[by[s:e]] > 1).astype(np.uint8).tobytes() for s, e in cuts], pa.binary()),
+            "part": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "bucket": pa.array([int(bucket[s]) for s, _ in cuts], pa.int64()),
+            "names": pa.array([_pack_names(names[s:e]) for s, e in cuts], pa.binary()),
+            "counts": pa.array([np.minimum(count[s:e], 65535).astype(np.uint16).tobytes() for s, e in cuts], pa.binary()),
+            "several": pa.array([several[s:e].astype(np.uint8).tobytes() for s, e in cuts], pa.binary()),
         })
 
     def share(table: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x, np.uint64) for x in table["names"].to_pylist()]
+        names = [_unpack_names(x) for x in table["names"].to_pylist()]
         h = np.concatenate(names)
         part = np.repeat(table["part"].to_numpy(), list(map(len, names)))
         count = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint16)
@@ -328,24 +395,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         many = np.repeat(np.add.reduceat(count.astype(np.int64), first) > hot, n)
         h, part, many = h[shared], part[shared], many[shared]
         by = np.argsort(part, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(part[by]) > 0]) if len(by) else np.empty(0, np.int64)
-        cuts = list(zip(edges, np.r_[edges[1:], len(by)], strict=True)) if len(by) else []
+        cuts = _cuts(part[by])
         return pa.table({
-            "part": pa.array([int(part[by[s]]) for s, _ in cuts], pa.int32()), "shared": pa.array([h[by[s:e]].tobytes() for s, e in cuts], pa.binary()),
-            "hot": pa.array([many[by[s:e]].astype(np.uint8).tobytes() for s, e in cuts], pa.binary()),
+            "part": pa.array([int(part[by[s]]) for s, _ in cuts], pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(cuts), pa.int64()),
+            "shared": pa.array([_pack_names(h[by[s:e]]) for s, e in cuts], pa.binary()), "hot": pa.array([many[by[s:e]].astype(np.uint8).tobytes() for s, e in cuts], pa.binary()),
         })
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, _, texts = _part(left)
         number = left["part"][0].as_py() if left.num_rows else 0
-        known, is_hot = _sorted_shared(right)
+        known, is_hot = _sorted_shared(right, parts)
         text, place, h, lo, hi = minimizers(texts, length, k)
-        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-        keep = known[at] == h if len(known) else np.zeros(len(h), bool)
-        text, place, h, lo, hi, at = (x[keep] for x in (text, place, h, lo, hi, at))
+        bucket, names = _name(h, parts)
+        full = (names << np.uint64(24)) | bucket.astype(np.uint64)
+        at = np.minimum(np.searchsorted(known, full), max(len(known) - 1, 0))
+        keep = known[at] == full if len(known) else np.zeros(len(h), bool)
+        text, place, bucket, lo, hi, at = (x[keep] for x in (text, place, bucket, lo, hi, at))
         far = is_hot[at] > 0 if len(at) else np.zeros(0, bool)
         out = shape.make(ids, texts, text[~far], place[~far], lo[~far], hi[~far])
-        bucket = (h[~far] % np.uint64(parts)).astype(np.int64)
+        bucket = bucket[~far]
         done = out[:0], np.empty(0, np.int64)
         if far.any():  # one record a string, distinct ones only; what a smaller document here has is settled here
             per = hi[far] - lo[far] + 1
@@ -364,9 +432,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
             keys = np.ascontiguousarray(shape.string(lead["bytes"], lead["lo"].astype(np.int64)))
             bucket = np.r_[bucket, (_hashes(keys.ravel(), length)[::length] % np.uint64(parts)).astype(np.int64)]
         by = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket[by]) > 0]) if len(by) else np.empty(0, np.int64)
-        cuts = list(zip(edges, np.r_[edges[1:], len(by)], strict=True)) if len(by) else []
-        blobs = [(number, int(bucket[by[s]]), out[by[s:e]].tobytes(), False) for s, e in cuts]
+        blobs = [(number, int(bucket[by[s]]), shape.pack(out[by[s:e]]), False) for s, e in _cuts(bucket[by])]
         if len(done[0]):
             blobs.append((number, -1, _found(*done), True))
         a, b, c, d = zip(*blobs, strict=True) if blobs else ((), (), (), ())
@@ -378,14 +444,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         return out.tobytes()
 
     def meet(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, shape.kind) for x in table["records"].to_pylist()]
+        blobs = [shape.unpack(x) for x in table["records"].to_pylist()]
         part = np.repeat(table["part"].to_numpy(), list(map(len, blobs)))
         records = np.concatenate(blobs)
         mask = repeated(records, shape)
         hit = np.flatnonzero(mask)
         hit = hit[np.argsort(part[hit], kind="stable")]
-        edges = np.flatnonzero(np.r_[True, np.diff(part[hit]) > 0]) if len(hit) else np.empty(0, np.int64)
-        cuts = list(zip(edges, np.r_[edges[1:], len(hit)], strict=True)) if len(hit) else []
+        cuts = _cuts(part[hit])
         return pa.table({"part": pa.array([int(part[hit[s]]) for s, _ in cuts], pa.int32()), "found": pa.array([_found(records[hit[s:e]], mask[hit[s:e]]) for s, e in cuts], pa.binary())})
 
     def cut_texts(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -420,7 +485,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
 
     by_part = dealt.groupBy("part")
     named = by_part.applyInArrow(name, "part int, bucket long, names binary, counts binary, several binary")
-    shared = named.groupBy("bucket").applyInArrow(share, "part int, shared binary, hot binary")
+    shared = named.groupBy("bucket").applyInArrow(share, "part int, bucket long, shared binary, hot binary")
     sent = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(send, "part int, bucket long, records binary, done boolean")
     found = sent.filter("not done").groupBy("bucket").applyInArrow(meet, "part int, found binary")
     found = found.unionByName(sent.filter("done").select("part", F.col("records").alias("found")))
