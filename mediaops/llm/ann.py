@@ -6,7 +6,10 @@ makes every block of coordinates a fair sample of the whole. Vectors lie in list
 around centroids; for each query, a probed list is scanned block of columns by
 block of columns, and a candidate is abandoned as soon as its partial distance
 rejects the hypothesis that the whole one is within the best k so far. What is
-left is ranked by exact double-precision products of the original vectors.
+left is ranked by exact double-precision products of the original vectors. Lists
+are probed in waves, nearest first, each four times as large as all before, so
+that later lists are scanned against the k-th best score found in earlier ones and
+hand on few candidates.
 """
 
 from __future__ import annotations
@@ -68,7 +71,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _listed(rows: DataFrame, lists: Lists, probes: int, query: bool) -> DataFrame:
-    """vec_id, v, x (rotated, float32 bytes), list: one row for each of the nearest lists."""
+    """vec_id, v, x (rotated, float32 bytes), list, turn: one row for each of the nearest lists, turn 0 the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,23 +82,24 @@ def _listed(rows: DataFrame, lists: Lists, probes: int, query: bool) -> DataFram
             take = pa.array(np.repeat(np.arange(len(v)), n))
             small = pa.array([r.tobytes() for r in x], pa.binary())
             raw = pa.array([r.tobytes() for r in v], pa.binary())
-            yield pa.record_batch({"vec_id": b.column("vec_id").take(take), "v": raw.take(take), "x": small.take(take), "list": pa.array(at.ravel().astype(np.int32))})
+            yield pa.record_batch({"vec_id": b.column("vec_id").take(take), "v": raw.take(take), "x": small.take(take), "list": pa.array(at.ravel().astype(np.int32)), "turn": pa.array(np.tile(np.arange(n, dtype=np.int32), len(v)))})
 
-    return rows.mapInArrow(run, "vec_id long, v binary, x binary, list int")
+    return rows.mapInArrow(run, "vec_id long, v binary, x binary, list int, turn int")
 
 
-def scan(q: np.ndarray, x_blocks: list[np.ndarray], k: int, epsilon: float = EPSILON) -> np.ndarray:
+def scan(q: np.ndarray, x_blocks: list[np.ndarray], k: int, known: float = np.inf, epsilon: float = EPSILON) -> np.ndarray:
     """Rows that may be among the k nearest to q. x_blocks: the list's columns, block by block.
 
-    The first rows set the bound; the others are abandoned by their partial
-    distances, in ever later blocks."""
+    known: squared distance of the k-th nearest found elsewhere. Without it the
+    first rows set the bound; the others are abandoned by their partial distances,
+    in ever later blocks."""
     n, d = len(x_blocks[0]), len(q)
-    first = min(n, 4 * k)
+    first = min(n, 4 * k if np.isinf(known) else 0)
     edges = np.cumsum([0, *(b.shape[1] for b in x_blocks)])
     whole = sum(((b[:first] - q[lo:hi]) ** 2).sum(axis=1) for b, lo, hi in zip(x_blocks, edges, edges[1:], strict=False))
-    if n <= k:
+    if n <= k and np.isinf(known):
         return np.arange(n)
-    bound = np.partition(whole, k - 1)[k - 1]
+    bound = min(known, np.partition(whole, k - 1)[k - 1]) if first else known
     alive, partial = np.arange(first, n), np.zeros(n - first, np.float32)
     for b, lo, hi in zip(x_blocks, edges, edges[1:], strict=False):
         partial = partial + ((b[alive] - q[lo:hi]) ** 2).sum(axis=1)
@@ -106,7 +110,7 @@ def scan(q: np.ndarray, x_blocks: list[np.ndarray], k: int, epsilon: float = EPS
             break
     near = np.r_[np.flatnonzero(whole <= bound * (1 + 1e-5)), alive]
     dist = np.r_[whole[whole <= bound * (1 + 1e-5)], partial]
-    best = np.partition(dist, k - 1)[k - 1]
+    best = np.partition(dist, k - 1)[k - 1] if len(dist) > k else np.inf
     return near[dist <= best * (1 + 1e-5) + 1e-12]
 
 
@@ -119,13 +123,17 @@ def _meet(lists: Lists, k: int, block: int):
         v = np.frombuffer(b"".join(left["v"].to_pylist()), np.float64).reshape(-1, d).T.copy()
         qx = np.frombuffer(b"".join(right["x"].to_pylist()), np.float32).reshape(-1, d + 1)
         qv = np.frombuffer(b"".join(right["v"].to_pylist()), np.float64).reshape(-1, d)
+        # k-th best product so far, as a squared distance in the evened-out space
+        known = lists.longest**2 + (qv * qv).sum(axis=1) - 2 * right["least"].to_numpy()
+        right_least = right["least"].to_numpy()
         blocks = [np.ascontiguousarray(x[:, a : a + block]) for a in range(0, d + 1, block)]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i, own in enumerate(q_ids) if len(ids) else ():
-            rows = scan(qx[i], blocks, k + 1)  # one more: the query itself may lie here
+            rows = scan(qx[i], blocks, k + 1, known[i])  # one more: the query itself may lie here
             rows = rows[ids[rows] != own]
             score = np.add.accumulate(v[:, rows] * qv[i][:, None], axis=0)[-1]  # component by component, in order
-            best = np.lexsort((ids[rows], -score))[:k]
+            best = np.lexsort((ids[rows], -score))
+            best = best[score[best] >= right_least[i]][:k]
             out.append((np.full(len(best), own), ids[rows][best], score[best]))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
@@ -163,13 +171,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     left = inside.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = probing.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = ["list", "part", "chunk"]
-    found = (
-        left.select(*key, "vec_id", "v", "x").groupBy(*key)
-        .cogroup(right.select(*key, "vec_id", "v", "x").groupBy(*key))
-        .applyInArrow(_meet(lists, k, block), "query_id long, vec_id long, score double")
-    )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, begin, end = None, 0, 1
+    while begin < probes:
+        wave = right.filter((F.col("turn") >= begin) & (F.col("turn") < end)).select(*key, "vec_id", "v", "x")
+        if found is not None:
+            least = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+            wave = wave.join(least, "vec_id", "left").select(*key, "vec_id", "v", "x", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        else:
+            wave = wave.withColumn("least", F.lit(float("-inf")))
+        more = (
+            left.select(*key, "vec_id", "v", "x").groupBy(*key).cogroup(wave.groupBy(*key))
+            .applyInArrow(_meet(lists, k, block), "query_id long, vec_id long, score double")
+        )
+        both = more if found is None else found.select("query_id", "vec_id", "score").unionByName(more)
+        found = cut(both.withColumn("rank", rank).filter(F.col("rank") <= k))
+        begin, end = end, 5 * end
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_nearest(spark, sf_dir: str) -> DataFrame:
