@@ -76,7 +76,7 @@ def listing_links(pages: DataFrame, good_text: str, good_href: str, nav_class: s
 
 def srcset_entries(srcset: Column) -> Column:
     """array<struct<pos, url, width>> of a srcset; ``2x`` counts as 640 wide, entries without a descriptor as 0."""
-    parts = F.filter(F.transform(F.split(srcset, ","), F.trim), lambda e: e != "")
+    parts = F.filter(F.transform(F.split(srcset, ","), lambda e: F.trim(e)), lambda e: e != "")
 
     def entry(e: Column, i: Column) -> Column:
         d = F.regexp_extract(e, r"\s([0-9.]+)([wx])\s*$", 1)
