@@ -288,7 +288,7 @@ def _points(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-_DOT = "round(list_dot_product({a}.embedding::DOUBLE[], {b}.embedding::DOUBLE[]), 4)"
+_DOT = "(round(list_dot_product({a}.embedding::DOUBLE[], {b}.embedding::DOUBLE[]), 4) + 0)"
 _PAIRS = f"WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, {_DOT.format(a='a', b='b')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id < b.vec_id)\n"
 _STATS = _PAIRS + ", s AS (SELECT same, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS min, max(score) AS max FROM p GROUP BY same)\n"
 
