@@ -99,14 +99,15 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def bootstrap_label(candidate: str = "candidate") -> Column:
-    """Labels of findings that need no judge: 1 for published key formats and for hexadecimal values assigned to a
-    credential's name, 0 for plain numbers, dates, words with numbers and placeholders, else null."""
+    """Labels of featured findings that need no judge: 1 for published key formats and for hexadecimal values assigned
+    to a credential's name, 0 for plain numbers, dates, dictionary words with a number and placeholders, else null."""
     c, near = F.col(candidate), F.concat_ws(" ", "before", "prefix")
     # Published key formats.
     formats = [r"^(AKIA|ASIA)[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^xox[abprs]-[A-Za-z0-9-]{10,}$", r"^sk_(live|test)_[A-Za-z0-9]{16,}$", r"^AIza[A-Za-z0-9_-]{35}$", r"^eyJ[A-Za-z0-9_-]{16,}$"]
     known = reduce(lambda a, b: a | b, [c.rlike(p) for p in formats])
     assigned = near.rlike(KEYWORDS) & near.rlike(r"[=:]\s*[\"']?$") & c.rlike("^[0-9a-f]{16,}$") & c.rlike("[a-f]")
-    plain = c.rlike(r"^[0-9_+/\-]+$") | c.rlike(r"^[A-Za-z]+[_\-/]?[0-9]{1,4}$") | c.rlike(PLACEHOLDERS)
+    words = c.rlike(r"^[A-Za-z]+([_\-/][A-Za-z]+)*[_\-/]?[0-9]{1,4}$") & (F.col("coverage") >= 0.5)
+    plain = c.rlike(r"^[0-9_+/\-]+$") | words | c.rlike(PLACEHOLDERS)
     return F.when(known | assigned, 1).when(plain, 0)
 
 

@@ -1,0 +1,71 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from mediaops.llm.secrets import FEATURES, candidates, dictionary, scan_secrets, with_features
+
+DOCS = "doc_id long, text string, source string, word string, label int, length int"
+
+
+def corpus(rng, n):
+    """Texts, and for each candidate whether it is a secret."""
+    rows, truth = [], {}
+    words = ["river", "stone", "houses", "bridge", "light"]
+    for i in range(n):
+        hexes = "".join(rng.choices("0123456789abcdef", k=40))
+        kind = i % 5
+        thing, secret = [
+            (f"password={hexes[:18]}", hexes[:18]), (f'token = "{hexes}"', hexes), ("AKIA" + "".join(rng.choices("ABCDEFGHIJ234567", k=16)), None), ("".join(rng.choices("0123456789", k=16)), ""), (f"houses-bridge-{rng.randint(10, 99)}", ""),
+        ][kind]
+        secret = thing if secret is None else secret
+        rows.append((i, " ".join(rng.choices(words, k=8)) + " " + thing + " " + " ".join(rng.choices(words, k=8)), "src/a.txt", "clash", None, 1))
+        for c in re.findall(r"[A-Za-z0-9+/_\-]{12,}", thing):
+            if re.search("[0-9]", c):
+                truth[i, c] = c == secret
+    return rows, truth
+
+
+def test_candidates_against_brute_force(spark):
+    texts = [None, "", "short 123", "a" * 11 + "1", "x=abcdefghijk1;y=ABCDEFGHIJK2 next", "nodigitsatallhere", "z1" * 50_000, "\ttab\n0123456789ab\x0bend"]
+    df = spark.createDataFrame([(i, t, None, "w", None, 1) for i, t in enumerate(texts)] + [(None, texts[3], "p", "w", 1, 1)], DOCS)
+    got = sorted(((r.doc_id, r.word_no, r.candidate) for r in candidates(df).collect()), key=str)
+    want = []
+    for i, t in [*enumerate(texts), (None, texts[3])]:
+        for k, w in enumerate(re.split(r"[\x20\x09-\x0D]+", t or "")):
+            want += [(i, k, c) for c in re.findall(r"[A-Za-z0-9+/_\-]{12,}", w) if re.search("[0-9]", c)]
+    assert got == sorted(want, key=str)
+    r = next(r for r in candidates(df).collect() if r.candidate == "ABCDEFGHIJK2")
+    assert (r.prefix, r.suffix, r.after) == ("x=abcdefghijk1;y=", "", "next")
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(16)
+    train, known = corpus(rng, 300)
+    test, truth = corpus(rng, 200)
+    df = spark.createDataFrame(train, DOCS)
+    labels = spark.createDataFrame([(i, c, int(y)) for (i, c), y in known.items()], "doc_id long, candidate string, y int")
+    found = with_features(candidates(df), dictionary(df))
+    findings = found.join(labels, ["doc_id", "candidate"]).withColumn("label", F.col("y"))
+    got = scan_secrets(spark.createDataFrame(test, DOCS), findings).collect()
+    assert len(got) == len(truth)
+    assert sum(r.is_secret == truth[r.doc_id, r.candidate] for r in got) >= 0.95 * len(got)
+    assert all(0 <= r.probability <= 1 for r in got) and set(FEATURES) <= set(got[0].asDict())
+
+
+def test_bootstrap_without_findings(spark):
+    rows, truth = corpus(random.Random(17), 150)
+    got = scan_secrets(spark.createDataFrame([*rows, rows[0]], DOCS)).collect()
+    assert len(got) == len(truth) + 1
+    assert sum(r.is_secret == truth[r.doc_id, r.candidate] for r in got) >= 0.95 * len(got)
+    covered = {r.candidate: r.coverage for r in got}
+    assert max(covered[c] for (_, c) in truth if c.startswith("houses")) > 0.7
+
+
+def test_one_class_none_and_empty(spark):
+    only = spark.createDataFrame([(1, "at 0123456789012345 end", None, "w", None, 1)], DOCS)
+    r = scan_secrets(only).first()
+    assert r.label == 0 and r.probability == 0.0 and not r.is_secret
+    assert scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
+    odd = scan_secrets(spark.createDataFrame([(1, "q1w2e3r4t5y6u7", None, "w", None, 1)], DOCS)).first()
+    assert odd.label is None and odd.probability == 0.5
