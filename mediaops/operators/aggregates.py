@@ -18,19 +18,36 @@ def request_summary(df: DataFrame, by: list[str], error: Column, time: str, *mor
     return out.withColumn("error_rate", ratio(F.col("errors"), F.col("requests")))
 
 
-def rank_percentile(df: DataFrame, by: list[str], value: str, p: float, name: str = "p") -> DataFrame:
+def rank_percentile(df: DataFrame, by: list[str], value: str, p: float, name: str = "p", slices: int = 1000) -> DataFrame:
     """Exact ``sorted[int(n * p)]``, the last value if that is past the end.
 
     Equal values are counted first, so a group is never gathered; the cumulative
-    count then finds the place. Without ``by``, one partition sees one row for each
-    distinct value."""
+    count then finds the place. Without ``by`` the range of values is cut into
+    slices, their counts tell which slice holds the place, and only its values are
+    put in order."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not by:
+        return _rank_in_slice(counts, value, p, name, slices)
+    group = Window.partitionBy(*by)
     placed = counts.withColumn("_n", F.sum("_c").over(group)).withColumn("_cum", F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     hit = placed.filter(F.col("_cum") >= F.least(F.floor(F.col("_n") * F.lit(p)) + 1, F.col("_n")))
     return hit.groupBy(*by).agg(F.min(value).alias(name))
 
 
+def _rank_in_slice(counts: DataFrame, value: str, p: float, name: str, slices: int) -> DataFrame:
+    ends = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))  # one row
+    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    sliced = counts.crossJoin(F.broadcast(ends)).withColumn("_slice", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * slices)).otherwise(0))
+    place = F.least(F.floor(F.col("_n") * F.lit(p)) + 1, F.col("_n"))
+    every = Window.partitionBy(F.lit(0))
+    sums = sliced.groupBy("_slice", place.alias("_place")).agg(F.sum("_c").alias("_s"))  # slices + 1 rows at most
+    sums = sums.withColumn("_before", F.sum("_s").over(every.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
+    one = sums.filter((F.col("_before") < F.col("_place")) & (F.col("_before") + F.col("_s") >= F.col("_place"))).select("_slice", "_place", "_before")
+    inside = sliced.select(value, "_c", "_slice").join(F.broadcast(one), "_slice")
+    cum = F.col("_before") + F.sum("_c").over(every.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_cum", cum).filter(F.col("_cum") >= F.col("_place")).agg(F.min(value).alias(name))
+
+
 def state_counts(df: DataFrame, state: str, states: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(state) == s).alias(f"n_{s.lower()}") for s in states])
 

@@ -271,7 +271,7 @@ def st8(t: Tables) -> DataFrame:
 
 @query("st9_live_counters", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
 def st9(t: Tables) -> DataFrame:
-    """Windowless counters in complete mode, into a table of the session's own catalog memory."""
+    """Counters in update mode; the last batch that changed a counter has its value."""
     out, checkpoint = shared_path(t.spark), shared_path(t.spark)
     live = T.live_counters(_events(t), "user_id")
     live.writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
