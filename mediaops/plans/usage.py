@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.scalars import cache_key, clean_key, human_bytes, iso8601, ratio, typed
 from ..operators import aggregates as A
+from ..operators import joins as J
 from ..operators import windows as W
 from ..sources import readers, writers
+from ..sources.shared import shared_path
 from .registry import Tables, query
 
 START, END = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20)
@@ -396,3 +398,39 @@ def f27(t: Tables) -> DataFrame:
 def f28(t: Tables) -> DataFrame:
     x = F.when(F.col("event_id") % 3 == 0, F.col("k").cast("string")).when(F.col("event_id") % 3 == 1, (F.floor(F.col("event_id") / 8) + F.lit(0.25)).cast("decimal(12,2)").cast("string")).otherwise(F.col("event_type"))
     return _k(t.events).select("event_id", typed(x).alias("t")).select("event_id", "t.*")
+
+
+# ---- sinks, read back -----------------------------------------------------
+
+
+@query("s6_json_export", "SELECT event_id, event_type, value FROM events")
+def s6(t: Tables) -> DataFrame:
+    path = shared_path(t.spark)
+    rows = t.events.select("event_id", "event_type", "value")
+    writers.to_json(rows, path)
+    return t.spark.read.schema(rows.schema).json(path)
+
+
+@query("s7_csv_export", "SELECT event_id, event_type, value FROM events")
+def s7(t: Tables) -> DataFrame:
+    path = shared_path(t.spark)
+    rows = t.events.select("event_id", "event_type", "value")
+    writers.to_csv(rows, path)
+    return t.spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("s16_audit_append", "SELECT ts::DATE::VARCHAR AS date, count(*) AS n FROM events GROUP BY 1")
+def s16(t: Tables) -> DataFrame:
+    """Two appends, one of errors and one of the rest, into one log parted by date."""
+    path = shared_path(t.spark)
+    for rows in (t.events.filter(error()), t.events.filter(~error())):
+        writers.append_by_date(rows.select("event_id", "ts"), "ts", path)
+    return t.spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j14_recipe_fixes", """SELECT event_id, CASE WHEN event_type <> 'error' THEN (props::JSON->>'k')::INT END AS k, array_to_string(list_filter(['dropped:kind', CASE WHEN event_type = 'error' THEN 'type:k' END], lambda x: x IS NOT NULL), ',') AS fixes FROM events""")
+def j14(t: Tables) -> DataFrame:
+    """Each event's payload as a settings map with a key too many; an error's value is not a number."""
+    m = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), F.when(error(), F.lit("n/a")).otherwise(F.col("k").cast("string")))
+    fixed = J.normalise_recipe(_k(t.events).select("event_id", m.alias("m")), "m", {"k": "int"})
+    return fixed.select("event_id", "k", F.array_join("fixes", ",").alias("fixes"))
