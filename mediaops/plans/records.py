@@ -379,6 +379,13 @@ def v6(t: Tables) -> DataFrame:
     return _verified(t).select("id", "similarity", "verified", "reason")
 
 
+@query("v6_verify_all", _CENTRE + """SELECT id, similarity, similarity >= 0.15 AS verified, CASE WHEN similarity < 0.15 THEN 'low_similarity' END AS reason
+FROM (SELECT e.vec_id AS id, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n), 4) AS similarity FROM embeddings e JOIN c ON c.label = e.label JOIN n ON n.label = e.label GROUP BY e.vec_id)""")
+def v6_all(t: Tables) -> DataFrame:
+    p = _points(t)
+    return V.verify(p, A.centroids(p, "label", "v"), "label", 0.15).select("id", "similarity", "verified", "reason")
+
+
 @query("v7_gated_search", _SIM + f""", r AS (SELECT s.id AS probe_id, c2.vec_id AS id, {_DOT.format(a='p', b='c2')} AS score FROM s JOIN embeddings p ON p.vec_id = s.id JOIN embeddings c2 ON c2.label = s.label AND c2.vec_id <> s.id WHERE s.similarity >= 0.15)
 SELECT probe_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, id)::INT AS rank FROM r WHERE score >= 0.1) WHERE rank <= 5""")
 def v7(t: Tables) -> DataFrame:
