@@ -8,24 +8,28 @@ equal strings have it at the same place. So:
 1. every part of the corpus names its minimizer hashes; those that two parts (or
    two documents of one) name are shared, as few as the corpus repeats itself;
 2. the strings around shared minimizers meet by hash. They are sorted as suffixes:
-   a multikey quicksort on 8-byte characters to a shallow depth, then blind tries
-   for the groups that still agree. Strings that are equal to the end are
-   repetitions, of which the smallest identifier keeps its bytes;
+   a three-way multikey quicksort on 8-byte characters to a shallow depth, then
+   blind tries for the groups that still agree. Strings that are equal to the end
+   are repetitions, of which the smallest identifier keeps its bytes;
 3. what is found goes back to the parts, which cut their documents.
 
 Documents are dealt into parts of bounded size once; Spark reuses that exchange
 for all three steps. A minimizer with over HOT occurrences is not compared in one
-place: its strings are reduced to distinct ones in each part and meet by their own
-hash, so a passage that a third of all documents share costs each part one row.
+place. Each part first collapses its occurrences with the same surroundings to one,
+then takes the strings of what is left to distinct ones, and these meet by their own
+hash in a tree: FAN_IN parts at a time, and the smallest of those again. So a
+passage that a third of all documents share costs each part one row a string and
+each task of the tree FAN_IN of them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +38,10 @@ from .common import text_of
 
 LENGTH = 50
 K = 20
-PART_BYTES = 12 << 20
+PART_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20  # of the corpus, for each group in which minimizers meet
 HOT = 4096
+FAN_IN = 1024  # parts whose hot strings meet in one group
 STRINGS = 400_000  # strings sorted at a time in a task
 _SHALLOW = 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -83,17 +89,48 @@ def _blind_trie(strings: list[bytes]) -> list[int]:
     return out
 
 
+def _multikey_quicksort(chars: np.ndarray) -> np.ndarray:
+    """Order of the rows of ``chars``, all groups a step at a time.
+
+    A group is split by its pivot's character into smaller, equal and larger rows;
+    the equal ones go on with the next character, until they are single or at the end."""
+    n, depth = chars.shape
+    order = np.arange(n)
+    begin, size, at = np.array([0]), np.array([n]), np.array([0])
+    while True:
+        some = size > 1
+        begin, size, at = begin[some], size[some], at[some]
+        if not len(begin):
+            return order
+        ends = np.cumsum(size)
+        group = np.repeat(np.arange(len(size)), size)
+        place = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
+        rows = order[place]
+        char = chars[rows, at[group]]
+        first, last = ends - size, ends - 1
+        a, b, c = char[first], char[(first + last) // 2], char[last]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        less, more = char < pivot, char > pivot
+        below, above = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(more, first, dtype=np.int64)
+        same = size - below - above
+        to = np.empty(len(rows), np.int64)
+        for mine, start in ((less, begin), (~(less | more), begin + below), (more, begin + below + same)):
+            rank = np.cumsum(mine) - mine
+            to[mine] = (rank + (start - rank[first])[group])[mine]
+        order[to] = rows
+        deeper = at + 1 < depth
+        begin, size, at = (
+            np.concatenate([begin, (begin + below)[deeper], begin + below + same]), np.concatenate([below, same[deeper], above]), np.concatenate([at, at[deeper] + 1, at]),
+        )
+
+
 def deep_shallow_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows (bytes, all of one length), and each sorted row's common prefix with the one before it."""
     n, m = rows.shape
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     words = np.ascontiguousarray(rows[:, :_SHALLOW]).view(">u8").astype(np.uint64)
-    order = np.argsort(words[:, 0], kind="stable")
-    tied = _runs(words[order, 0])
-    for s, e in tied:  # three-way partitioning goes on inside what is equal so far
-        part = order[s:e]
-        order[s:e] = part[np.argsort(words[part, 1], kind="stable")] if e - s > 2 or words[part[0], 1] > words[part[1], 1] else part
+    order = _multikey_quicksort(words)
     tied = np.zeros(n, bool)
     tied[1:] = (words[order[1:]] == words[order[:-1]]).all(axis=1)
     runs = np.array(_runs(np.cumsum(~tied)), np.int64).reshape(-1, 2)
@@ -226,9 +263,9 @@ def _unpack_names(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob[1:], np.uint32 if blob[:1] == b"4" else np.uint64).astype(np.uint64), dtype=np.uint64)
 
 
-def _name(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _name(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 40-bit name of a hash; buckets grow with the corpus, so names stay about as rare in each."""
-    return ((h & np.uint64((1 << 24) - 1)) % np.uint64(parts)).astype(np.int64), h >> np.uint64(24)
+    return ((h & np.uint64((1 << 24) - 1)) % np.uint64(buckets)).astype(np.int64), h >> np.uint64(24)
 
 
 def _cuts(by: np.ndarray) -> list[tuple[int, int]]:
@@ -237,7 +274,7 @@ def _cuts(by: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True)) if len(starts) else []
 
 
-def _sorted_shared(table: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Shared hashes' names, each after its bucket, in order; and whether they are hot."""
     names = [_unpack_names(x) for x in table["shared"].to_pylist()]
     bucket = np.repeat(table["bucket"].to_numpy().astype(np.uint64), list(map(len, names)))
@@ -291,6 +328,71 @@ class _Record:
         return np.lib.stride_tricks.sliding_window_view(natural, self.length)[np.arange(len(rows)) * self.width + self.before - back]
 
 
+_FOUND = np.dtype([("text", "<i4"), ("place", "<i4"), ("mask", "<u8")])
+_ROWS = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), ("records", pa.binary()), ("found", pa.binary()), ("string", pa.binary()), ("doc", pa.int64())])
+
+
+def _rows(**columns: pa.Array) -> pa.Table:
+    """A table of _ROWS; what is not given is null."""
+    n = len(columns["part"])
+    return pa.table([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _ROWS], schema=_ROWS)
+
+
+def _found(records: np.ndarray, mask: np.ndarray) -> bytes:
+    out = np.zeros(len(records), _FOUND)
+    out["text"], out["place"], out["mask"] = records["text"], records["place"], mask
+    return out.tobytes()
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct row, and the number of each row's."""
+    _, first, kind = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, kind
+
+
+def _minima(kind: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, doc)
+    return least
+
+
+def _hot_strings(records: np.ndarray, shape: _Record) -> tuple[bytes, pa.Table]:
+    """What a part's records of hot minimizers settle among themselves, as found; and string, doc, found of each
+    distinct string, for its smallest document here."""
+    first, kind = _distinct(np.concatenate([records["bytes"], records["lo"][:, None], records["hi"][:, None]], axis=1))
+    least = _minima(kind, records["doc"], len(first))
+    kinds, lead = records[first], records["doc"] == least[kind]
+    lo, hi = records["lo"].astype(np.int64), records["hi"].astype(np.int64)
+    mask = np.where(lead, 0, (np.int64(1) << (hi + 1)) - (np.int64(1) << lo))
+    by = np.flatnonzero(lead)[np.argsort(kind[lead], kind="stable")]  # leading records, kind after kind
+    ends = np.cumsum(np.bincount(kind[by], minlength=len(first)))
+    strings, docs, found = [], [], []
+    for back in range(shape.before + 1):  # equal strings have their minimizer at the same place
+        some = np.flatnonzero((kinds["lo"] <= back) & (kinds["hi"] >= back))
+        if not len(some):
+            continue
+        text = shape.string(kinds["bytes"][some], np.full(len(some), back))
+        where, number = _distinct(text)
+        lowest = _minima(number, least[some], len(where))
+        own = least[some] == lowest[number]
+        size = np.diff(ends, prepend=0)[some]
+        at = by[np.repeat(ends[some] - np.cumsum(size), size) + np.arange(size.sum())]  # their records, in order of ``some``
+        of, keeps = np.repeat(number, size), np.repeat(own, size)
+        mask[at[~keeps]] |= np.int64(1) << back
+        at, of = at[keeps], of[keeps]
+        at = at[np.argsort(of, kind="stable")]
+        count = np.bincount(of, minlength=len(where))
+        strings.append(text[where])
+        docs.append(lowest)
+        raw, edge = _found(records[at], np.full(len(at), np.int64(1) << back)), _FOUND.itemsize * np.r_[0, np.cumsum(count)]
+        found += [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    hit = mask > 0
+    table = pa.table({
+        "string": pa.array([x.tobytes() for block in strings for x in block], pa.binary()), "doc": pa.array(np.concatenate(docs)), "found": pa.array(found, pa.binary()),
+    })
+    return _found(records[hit], mask[hit]), table
+
+
 def _least(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The smallest document of each row's group; groups are numbered from 0 in order."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -349,7 +451,7 @@ def repeated(records: np.ndarray, shape: _Record) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT, fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (array of begin, end).
 
     Texts are taken as UTF-8 bytes (null: empty) and whole; strings never cross
@@ -359,15 +461,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     columns are ignored."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
+    parts, buckets = max(1, -(-total // part_bytes)), max(1, -(-total // (part_bytes * BUCKET_BYTES // PART_BYTES)))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     shape = _Record(length, k)
 
     def name(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, _, texts = _part(table)
         text, _, h, _, _ = minimizers(texts, length, k)
-        bucket, names = _name(h, parts)
-        order = np.lexsort((names, bucket)) if parts > 1 else np.argsort(names)
+        bucket, names = _name(h, buckets)
+        order = np.lexsort((names, bucket)) if buckets > 1 else np.argsort(names)
         bucket, names, text = bucket[order], names[order], text[order]
         first = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (bucket[1:] != bucket[:-1])]) if len(names) else np.empty(0, np.int64)
         count = np.diff(np.r_[first, len(names)])
@@ -404,9 +506,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, _, texts = _part(left)
         number = left["part"][0].as_py() if left.num_rows else 0
-        known, is_hot = _sorted_shared(right, parts)
+        known, is_hot = _sorted_shared(right)
         text, place, h, lo, hi = minimizers(texts, length, k)
-        bucket, names = _name(h, parts)
+        bucket, names = _name(h, buckets)
         full = (names << np.uint64(24)) | bucket.astype(np.uint64)
         at = np.minimum(np.searchsorted(known, full), max(len(known) - 1, 0))
         keep = known[at] == full if len(known) else np.zeros(len(h), bool)
@@ -414,49 +516,65 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         far = is_hot[at] > 0 if len(at) else np.zeros(0, bool)
         out = shape.make(ids, texts, text[~far], place[~far], lo[~far], hi[~far])
         bucket = bucket[~far]
-        done = out[:0], np.empty(0, np.int64)
-        if far.any():  # one record a string, distinct ones only; what a smaller document here has is settled here
-            per = hi[far] - lo[far] + 1
-            back = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(lo[far], per)
-            single = shape.make(ids, texts, np.repeat(text[far], per), np.repeat(place[far], per), back, back)
-            whole = np.ascontiguousarray(shape.string(single["bytes"], back)).view(f"V{length}").ravel()
-            _, kind = np.unique(whole, return_inverse=True)
-            order = np.lexsort((single["doc"], kind))
-            kind, single, back = kind[order], single[order], back[order]
-            new = np.r_[True, kind[1:] != kind[:-1]]
-            least = single["doc"][new][kind]
-            later = single["doc"] > least
-            done = single[later], np.int64(1) << back[later]
-            lead = single[~later]  # the smallest document's, at each place that it has the string
-            out = np.concatenate([out, lead])
-            keys = np.ascontiguousarray(shape.string(lead["bytes"], lead["lo"].astype(np.int64)))
-            bucket = np.r_[bucket, (_hashes(keys.ravel(), length)[::length] % np.uint64(parts)).astype(np.int64)]
         by = np.argsort(bucket, kind="stable")
-        blobs = [(number, int(bucket[by[s]]), shape.pack(out[by[s:e]]), False) for s, e in _cuts(bucket[by])]
-        if len(done[0]):
-            blobs.append((number, -1, _found(*done), True))
-        a, b, c, d = zip(*blobs, strict=True) if blobs else ((), (), (), ())
-        return pa.table({"part": pa.array(a, pa.int32()), "bucket": pa.array(b, pa.int64()), "records": pa.array(c, pa.binary()), "done": pa.array(d, pa.bool_())})
-
-    def _found(records: np.ndarray, mask: np.ndarray) -> bytes:
-        out = np.zeros(len(records), [("text", "<i4"), ("place", "<i4"), ("mask", "<u8")])
-        out["text"], out["place"], out["mask"] = records["text"], records["place"], mask
-        return out.tobytes()
+        cuts = _cuts(bucket[by])
+        tables = [_rows(
+            part=pa.array([number] * len(cuts), pa.int32()), bucket=pa.array([int(bucket[by[s]]) for s, _ in cuts], pa.int64()),
+            records=pa.array([shape.pack(out[by[s:e]]) for s, e in cuts], pa.binary()),
+        )]
+        if far.any():
+            settled, hot_rows = _hot_strings(shape.make(ids, texts, text[far], place[far], lo[far], hi[far]), shape)
+            tables.append(_rows(part=pa.array([number], pa.int32()), bucket=pa.array([number % buckets], pa.int64()), found=pa.array([settled], pa.binary())))
+            tables.append(_rows(part=pa.array([number] * hot_rows.num_rows, pa.int32()), bucket=_meeting(hot_rows["string"], number // fan_in), **{c: hot_rows[c] for c in hot_rows.column_names}))
+        return pa.concat_tables(tables)
+
+    def _meeting(strings: pa.ChunkedArray, band: int) -> pa.Array:
+        """The bucket in which equal strings of a band of parts meet."""
+        data = np.frombuffer(b"".join(strings.to_pylist()), np.uint8)
+        h = _hashes(data, length)[::length] if len(data) else np.empty(0, np.uint64)
+        return pa.array(((h + np.uint64(band) * _M1) % np.uint64(buckets)).astype(np.int64))
 
     def meet(table: pa.Table) -> pa.Table:
-        blobs = [shape.unpack(x) for x in table["records"].to_pylist()]
-        part = np.repeat(table["part"].to_numpy(), list(map(len, blobs)))
-        records = np.concatenate(blobs)
-        mask = repeated(records, shape)
-        hit = np.flatnonzero(mask)
-        hit = hit[np.argsort(part[hit], kind="stable")]
-        cuts = _cuts(part[hit])
-        return pa.table({"part": pa.array([int(part[hit[s]]) for s, _ in cuts], pa.int32()), "found": pa.array([_found(records[hit[s:e]], mask[hit[s:e]]) for s, e in cuts], pa.binary())})
+        """Compare a bucket's records, and settle its hot strings; of these, the smallest of each goes on."""
+        tables = [table.filter(pc.and_(pc.is_null(table["records"]), pc.is_null(table["string"])))]
+        some = table.filter(pc.is_valid(table["records"]))
+        if some.num_rows:
+            blobs = [shape.unpack(x) for x in some["records"].to_pylist()]
+            part = np.repeat(some["part"].to_numpy(), list(map(len, blobs)))
+            records = np.concatenate(blobs)
+            mask = repeated(records, shape)
+            hit = np.flatnonzero(mask)
+            hit = hit[np.argsort(part[hit], kind="stable")]
+            cuts = _cuts(part[hit])
+            to = [int(part[hit[s]]) for s, _ in cuts]
+            tables.append(_rows(part=pa.array(to, pa.int32()), bucket=pa.array([p % buckets for p in to], pa.int64()), found=pa.array([_found(records[hit[s:e]], mask[hit[s:e]]) for s, e in cuts], pa.binary())))
+        some = table.filter(pc.is_valid(table["string"]))
+        if some.num_rows:
+            some = some.sort_by([("string", "ascending"), ("doc", "ascending")])
+            strings, doc = some["string"].to_pylist(), some["doc"].to_numpy()
+            new = np.r_[True, np.fromiter(map(ne, strings[1:], strings), bool, len(strings) - 1)]
+            least = doc[new][np.cumsum(new) - 1]
+            tables.append(some.filter(pa.array(doc > least)).set_column(4, "string", pa.nulls(int((doc > least).sum()), pa.binary())))
+            tables.append(some.filter(pa.array(doc == least)))
+        return pa.concat_tables(x.select(_ROWS.names).cast(_ROWS) for x in tables)
+
+    def again(level: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            out = meet(table)
+            bands = out["part"].to_numpy() // fan_in**level
+            bucket = out["bucket"].to_numpy().copy()
+            mine = pc.is_valid(out["string"]).to_numpy()
+            for band in np.unique(bands[mine]).tolist():
+                here = mine & (bands == band)
+                bucket[here] = _meeting(out["string"].filter(pa.array(here)), band).to_numpy()
+            return out.set_column(1, "bucket", pa.array(bucket))
+
+        return run
 
     def cut_texts(left: pa.Table, right: pa.Table) -> pa.Table:
         _, order, texts = _part(left)
         ids = left["doc_id"].take(pa.array(order))
-        found = np.frombuffer(b"".join(right["found"].to_pylist()), [("text", "<i4"), ("place", "<i4"), ("mask", "<u8")])
+        found = np.frombuffer(b"".join(right["found"].to_pylist()), _FOUND)
         found = found[np.argsort(found["text"], kind="stable")]
         bounds = np.searchsorted(found["text"], np.arange(len(texts) + 1))
         n_bytes, n_removed, spans, kept = [], [], [], []
@@ -486,9 +604,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     by_part = dealt.groupBy("part")
     named = by_part.applyInArrow(name, "part int, bucket long, names binary, counts binary, several binary")
     shared = named.groupBy("bucket").applyInArrow(share, "part int, bucket long, shared binary, hot binary")
-    sent = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(send, "part int, bucket long, records binary, done boolean")
-    found = sent.filter("not done").groupBy("bucket").applyInArrow(meet, "part int, found binary")
-    found = found.unionByName(sent.filter("done").select("part", F.col("records").alias("found")))
+    columns = "part int, bucket long, records binary, found binary, string binary, doc long"
+    met = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(send, columns)
+    level = 1
+    while fan_in**level < parts:
+        level += 1
+        met = met.groupBy("bucket").applyInArrow(again(level), columns)
+    found = met.groupBy("bucket").applyInArrow(meet, columns).filter("string is null").select("part", "found")
     return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(
         cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin:long,end:long>>"
     )
