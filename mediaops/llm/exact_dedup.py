@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, cut, text_of
 
-_RUNS = "doc_id long, row long, sha string, lead_id long, lead_cp long, local_size long, lead boolean, edge boolean, part int"
+_RUNS = "doc_id long, row string, sha string, lead_id long, lead_cp long, local_size long, lead boolean, edge boolean, part int"
 
 
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +103,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in its original text stays, then the smallest identifier. A null text counts
     as empty; all empty texts form one group. A null identifier sorts after all
     others. Of repeated rows exactly one is kept. An empty table gives no rows,
-    and further columns of ``docs`` are ignored; ``row_col``, a number of the row,
+    and further columns of ``docs`` are ignored; ``row_col``, a name of the row,
     is carried along as a column ``row``.
     """
-    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    row = F.col(row_col).cast("string") if row_col else F.lit(None).cast("string")
     norm = F.col("raw")
     for c in SPACES:
         norm = F.replace(norm, F.lit(c), F.lit(""))

@@ -79,7 +79,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor:
 
 
 def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
-        weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: int = 2) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: int = 2, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, source.
 
     ``size`` counts words (null text: 0). ``taken`` words of a document go into
@@ -88,10 +88,12 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK_WORDS, shard_words:
     plus a block for each shard filled to the brim. A null source is a source of
     its own. Empty documents take nothing; an empty table gives no rows. Repeated
     rows count each for itself. The same input and seed give the same result.
+    Further columns are ignored, but for ``row_col``, a name of the row, which comes
+    along as ``row``. Texts are only counted, so very long ones take no memory.
     """
     sizes = cut(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *([F.col(row_col).cast("string").alias("row")] if row_col else []),
     ))
     targets = source_targets(sizes, weights, factor, most)
     quotas = apportion(
@@ -103,7 +105,7 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK_WORDS, shard_words:
         sizes.withColumnRenamed("source", "src")
         .join(quotas, F.col("src").eqNullSafe(F.col("source")))
         .withColumn("shard", _number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"shard{seed}")) % F.col("n_shards"))
-        .select("doc_id", "source", "size", "pos", "source_size", "target", "source_quota", "shard")
+        .select("doc_id", *(["row"] if row_col else []), "source", "size", "pos", "source_size", "target", "source_quota", "shard")
     )
     shards = placed.groupBy("pos", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
     shares = apportion(shards, ["pos"], "shard_size", "source_quota", ["shard"]).select("pos", "shard", "shard_size", "quota")
@@ -125,7 +127,7 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK_WORDS, shard_words:
         .withColumn("rest", words - F.col("passes") * n)
         .withColumn("start", F.when(n > 0, (_number(F.col("pos").cast("string"), F.col("shard").cast("string"), F.lit(f"start{seed}")) % F.ceil(n / block)) * block).otherwise(0))
         .withColumn("taken", (F.col("passes") * size + overlap(F.col("start"), F.least(run_end, n)) + overlap(F.lit(0), run_end - n)).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "taken", "source")
+        .select("doc_id", "size", "source_size", "target", "taken", "source", *(["row"] if row_col else []))
     )
 
 

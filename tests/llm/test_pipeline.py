@@ -3,7 +3,7 @@ import re
 
 import corpus_pipeline
 from mediaops.llm.pieces import MODEL, Vocabulary
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_minhash import brute_components, brute_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -47,11 +47,10 @@ def test_stages_against_brute_force(spark, tmp_path):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1] or ""), []).append(r)
     want = [min(g, key=lambda r: (-len(r[1] or ""), *order(r))) for g in groups.values()]
     assert sorted(got["exact_dedup"], key=str) == sorted(want, key=str)
-    prints = {r: brute_print(r[1]) for r in got["exact_dedup"]}
-    component = brute_groups(sorted(set(prints.values())))
+    rows = sorted(got["exact_dedup"], key=order)
     first = {}
-    for r in sorted(prints, key=order):
-        first.setdefault(component[prints[r]], r)
+    for r, group in zip(rows, brute_components([brute_set(r[1]) for r in rows]), strict=True):
+        first.setdefault(group, r)
     assert sorted(got["near_dedup"], key=str) == sorted(first.values(), key=str)
     assert set(got["mixing"]) <= {r for r in got["near_dedup"] if (r[1] or "").split()}
     assert max(got["mixing"].count(r) for r in set(got["mixing"])) <= 2
@@ -64,6 +63,39 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(str(r) for r in spark.read.parquet(f"{tmp_path}/sentencepiece").collect())
 
 
+def test_rows_keep_their_names_under_other_parallelism(spark, tmp_path):
+    make(tmp_path, spark)
+    spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(2).write.parquet(f"{tmp_path}/few")
+    got = []
+    for size, least in (("128m", "1"), ("8k", "64")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", least)
+        docs, kept = spark.read.parquet(f"{tmp_path}/few"), []
+        named = corpus_pipeline._named(docs).collect()
+        for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mixture):
+            kept.append(sorted(map(str, stage(spark, docs, str(tmp_path)).collect())))
+        got.append((sorted(map(str, named)), kept))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert got[0] == got[1]
+    assert len({r.row for r in named}) == len(named)
+
+
+def test_stages_on_long_texts_and_further_columns(spark, tmp_path):
+    make(tmp_path, spark)
+    rng = random.Random(15)
+    long = " ".join(rng.choice(["river", "slowly", "past", "old", "houses", "nobody", "stone"]) for _ in range(200_000))
+    rows = [(1, long, "en", "a", 1, "x", 9), (2, long + " bridge", "en", None, 1, "y", 9), (3, "a few words of its own", None, "a", None, None, None)]
+    spark.createDataFrame(rows, f"{DOCS}, row string, component int").write.parquet(f"{tmp_path}/long")
+    docs = spark.read.parquet(f"{tmp_path}/long")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, str(tmp_path))
+        ids = sorted(r.doc_id for r in out.select("doc_id").distinct().collect())
+        want = {"near_dedup": [1, 3], "mixing": [1, 2]}  # a block of source "a" is nearly always the long text's
+        assert ids == want.get(name, [1, 2, 3]), name
+        assert name == "sentencepiece" or out.columns == corpus_pipeline.COLUMNS
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
