@@ -10,6 +10,10 @@ left is ranked by exact double-precision products of the original vectors. Lists
 are probed in waves, nearest first, each four times as large as all before, so
 that later lists are scanned against the k-th best score found in earlier ones and
 hand on few candidates.
+
+How many lists are probed is not given but measured: where the nearest neighbours
+of sampled vectors lie among a sample of the table decides. Clustered vectors need
+few lists; vectors without any structure need most of them, as with every index.
 """
 
 from __future__ import annotations
@@ -23,13 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLE = 16_384  # vectors that centroids are fitted on, chosen by hash
-LIST_SIZE = 2000  # wanted vectors in a list
-MAX_LISTS = 4096
-PROBE_SHARE = 0.85  # of the lists, nearest first
+SAMPLE = 16_384  # vectors that centroids are fitted on, chosen by hash; four for each list where that is more
+LIST_SIZE = 2000  # wanted vectors in a list, until there are as many lists as the square root of all vectors
+RECALL = 0.97  # share of sampled neighbours that must lie in the probed lists
 BLOCK = 16  # columns in a block
 EPSILON = 2.1  # of the hypothesis test
-TASK_ROWS = 4096  # vectors, and queries, that meet in one group
+TASK_ROWS = 16_384  # vectors, and queries, that meet in one group
 SEED = 42
 
 
@@ -41,7 +44,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 
 class Lists:
-    """Rotation and centroids; a few MB at most, whatever the table's size."""
+    """Rotation and centroids, as many as the square root of the table's rows at most."""
 
     def __init__(self, sample: np.ndarray, dim: int, longest: float, n_lists: int, rounds: int = 8):
         rng = np.random.default_rng(SEED)
@@ -65,26 +68,41 @@ class Lists:
         d = (self.centroids**2).sum(axis=1)[None, :] - 2 * x @ self.centroids.T
         return np.argsort(d, axis=1, kind="stable")[:, :first]
 
+    def probes(self, sample: np.ndarray, k: int, recall: float) -> int:
+        """Lists to probe, nearest first, so that they hold ``recall`` of the k nearest of sampled vectors, among the sample.
+
+        Neighbours in a whole table are nearer than those in its sample, so more of them lie in near lists."""
+        asked, every = sample[:: max(1, len(sample) // 512)], np.arange(len(sample))
+        if len(self.centroids) == 1 or len(sample) < 2:
+            return 1
+        own = self.order(self.place(sample), 1)[:, 0]
+        place = np.argsort(self.order(self.place(asked, True), len(self.centroids)), axis=1)
+        score = asked @ sample.T
+        score[np.arange(len(asked)), every[:: max(1, len(sample) // 512)]] = -np.inf
+        k = min(k, len(sample) - 1)
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        return int(np.quantile(np.take_along_axis(place, own[near], axis=1), recall, method="higher")) + 1
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _listed(rows: DataFrame, lists: Lists, probes: int, query: bool) -> DataFrame:
-    """vec_id, v, x (rotated, float32 bytes), list, turn: one row for each of the nearest lists, turn 0 the nearest."""
+    """vec_id, v (bytes), list, turn: one row for each of the nearest lists, turn 0 the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = _matrix(b.column("v"), lists.dim)
-            x = lists.place(v, query)
-            at = lists.order(x, probes)
-            n = at.shape[1]
-            take = pa.array(np.repeat(np.arange(len(v)), n))
-            small = pa.array([r.tobytes() for r in x], pa.binary())
-            raw = pa.array([r.tobytes() for r in v], pa.binary())
-            yield pa.record_batch({"vec_id": b.column("vec_id").take(take), "v": raw.take(take), "x": small.take(take), "list": pa.array(at.ravel().astype(np.int32)), "turn": pa.array(np.tile(np.arange(n, dtype=np.int32), len(v)))})
+            for s in range(0, len(v), 1024):
+                some = v[s : s + 1024]
+                at = lists.order(lists.place(some, query), probes)
+                n = at.shape[1]
+                take = pa.array(np.repeat(np.arange(len(some)), n))
+                raw = pa.array([r.tobytes() for r in some], pa.binary())
+                yield pa.record_batch({"vec_id": b.column("vec_id").slice(s, 1024).take(take), "v": raw.take(take), "list": pa.array(at.ravel().astype(np.int32)), "turn": pa.array(np.tile(np.arange(n, dtype=np.int32), len(some)))})
 
-    return rows.mapInArrow(run, "vec_id long, v binary, x binary, list int, turn int")
+    return rows.mapInArrow(run, "vec_id long, v binary, list int, turn int")
 
 
 def scan(q: np.ndarray, x_blocks: list[np.ndarray], k: int, known: float = np.inf, epsilon: float = EPSILON) -> np.ndarray:
@@ -119,10 +137,10 @@ def _meet(lists: Lists, k: int, block: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, q_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        x = np.frombuffer(b"".join(left["x"].to_pylist()), np.float32).reshape(-1, d + 1)
-        v = np.frombuffer(b"".join(left["v"].to_pylist()), np.float64).reshape(-1, d).T.copy()
-        qx = np.frombuffer(b"".join(right["x"].to_pylist()), np.float32).reshape(-1, d + 1)
+        v = np.frombuffer(b"".join(left["v"].to_pylist()), np.float64).reshape(-1, d)
+        x, v = lists.place(v), v.T.copy()
         qv = np.frombuffer(b"".join(right["v"].to_pylist()), np.float64).reshape(-1, d)
+        qx = lists.place(qv, True)
         # k-th best product so far, as a squared distance in the evened-out space
         known = lists.longest**2 + (qv * qv).sum(axis=1) - 2 * right["least"].to_numpy()
         right_least = right["least"].to_numpy()
@@ -141,47 +159,51 @@ def _meet(lists: Lists, k: int, block: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = PROBE_SHARE,
-            list_size: int = LIST_SIZE, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL,
+            list_size: int = LIST_SIZE, block: int = BLOCK, sample: int = SAMPLE, task_rows: int = TASK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of ``vectors`` found with the largest inner products.
 
     Ties go to the smaller vec_id; a query is no candidate of its own. Null, empty
-    and zero vectors, those with null or non-finite components, those without an
-    identifier and those of another length than the first fitted one take no part,
-    as candidates or as queries. Repeated rows are candidates each. Empty tables
-    give no rows; further columns are ignored.
+    and zero vectors, those with null or non-finite components and those without an
+    identifier take no part, as candidates or as queries. Vectors shorter than the
+    longest count as zero in the components that they lack. Repeated rows are
+    candidates each. Empty tables give no rows; further columns are ignored.
     """
     rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     spark = vectors.sparkSession
-    fitted = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample).collect()
-    if not fitted:
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    n, longest, dim = rows.agg(F.count(F.lit(1)), F.max(squares), F.max(F.size("v"))).first()
+    q_dim = asked.agg(F.max(F.size("v"))).first()[0]
+    if not n or not q_dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(fitted[0].v)
-    rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
-    n, longest = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
-    lists = Lists(np.array([r.v for r in fitted if len(r.v) == dim]), dim, float(longest) ** 0.5, max(1, min(MAX_LISTS, -(-n // list_size))))
-    probes = max(1, int(np.ceil(probe_share * len(lists.centroids))))
+    dim = max(dim, q_dim)
+    rows, asked = (x.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))) for x in (rows, asked))
+    n_lists = max(1, int(min(n // list_size, n**0.5)))
+    fitted = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(max(sample, 4 * n_lists)).select("v").toArrow()
+    fitted = _matrix(fitted["v"], dim)
+    lists = Lists(fitted, dim, float(longest) ** 0.5, n_lists)
+    probes = lists.probes(fitted, k, recall)
 
     inside = cut(_listed(rows, lists, 1, False))
     probing = cut(_listed(asked, lists, probes, True))
     # a long list is cut by hash into parts, and the queries into chunks: one part and one chunk meet in a group
-    parts = inside.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("parts"))
-    chunks = probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("chunks"))
-    sizes = F.broadcast(cut(parts.join(chunks, "list")))  # MAX_LISTS rows at most
+    parts = inside.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("parts"))
+    chunks = probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("chunks"))
+    sizes = F.broadcast(cut(parts.join(chunks, "list")))  # a row a list, the square root of the table
     left = inside.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = probing.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = ["list", "part", "chunk"]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     found, begin, end = None, 0, 1
     while begin < probes:
-        wave = right.filter((F.col("turn") >= begin) & (F.col("turn") < end)).select(*key, "vec_id", "v", "x")
+        wave = right.filter((F.col("turn") >= begin) & (F.col("turn") < end)).select(*key, "vec_id", "v")
         if found is not None:
             least = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
-            wave = wave.join(least, "vec_id", "left").select(*key, "vec_id", "v", "x", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+            wave = wave.join(least, "vec_id", "left").select(*key, "vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
         else:
             wave = wave.withColumn("least", F.lit(float("-inf")))
         more = (
-            left.select(*key, "vec_id", "v", "x").groupBy(*key).cogroup(wave.groupBy(*key))
+            left.select(*key, "vec_id", "v").groupBy(*key).cogroup(wave.groupBy(*key))
             .applyInArrow(_meet(lists, k, block), "query_id long, vec_id long, score double")
         )
         both = more if found is None else found.select("query_id", "vec_id", "score").unionByName(more)

@@ -126,8 +126,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("sha")
         .agg(best.alias("best"), F.sum("local_size").alias("size"))
         .select("sha", F.lit(True).alias("edge"), "best", "size")
-    )  # at most two rows a partition
-    out = runs.join(F.broadcast(merged), ["sha", "edge"], "left")
+    )  # at most two rows a partition; broadcast or not by size
+    out = runs.join(merged, ["sha", "edge"], "left")
     return out.select(
         "doc_id",
         F.when(F.col("edge"), F.col("best.lead_id")).otherwise(F.col("lead_id")).alias("keep_id"),

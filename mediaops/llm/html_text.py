@@ -1,13 +1,17 @@
 """Main-text extraction by site style trees.
 
 Pages of one host are merged: a presentation node is a tag path with each tag's
-class, id and place among like siblings, and every distinct text seen under it is one of its contents. A node's
-importance is the entropy of its contents over the host's pages, relative to the
-largest possible for the pages that have it: a menu says the same everywhere, an
-article never does. Each page then drops the branches of low importance; inside an
-element that states the main content, only those that hardly vary. Parts that
-differ on every page but are never article text (forms, scripts, reader comments)
-are told by their element or class name.
+class, id and place among like siblings. The sequences of children seen under it are
+its styles, and the distinct texts its contents. A node's importance weighs the
+entropy of both over the host's pages, each relative to the largest possible for
+the pages that have it: a menu looks and says the same everywhere, an article never
+does. Each page then drops the branches of low importance; inside an element that
+states the main content, only those that hardly vary.
+
+Parts that differ on every page but are never article text (forms, menus, adverts,
+reader comments) are told by their element or, if all words of a class or id say
+so, by name. That doesn't hold for an element around the article: if a page's only
+<article> or <main>, or without those most of its paragraphs, lies in it, it stays.
 
 Statistics are sums over (host, node, content), so a host with any share of all
 pages is spread by content before it is reduced to one row a node.
@@ -21,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -30,6 +34,7 @@ from .common import cut
 MIN_IMPORTANCE = 0.5
 MIN_IMPORTANCE_STATED = 0.1  # inside <article> and <main>
 MIN_PAGES = 5
+GAMMA = 0.9  # to the power of a node's kinds of children: what its contents weigh, against its styles
 
 # Fixed values of HTML: elements by how they behave.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,30 +44,36 @@ _BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _NEVER = frozenset(
-    "head title style script noscript template nav header footer aside form button select textarea input option menu dialog iframe object embed "
-    "svg canvas audio video label fieldset datalist noembed noframes xmp search".split()
+    "head title style script noscript template button select textarea input option label legend datalist dialog iframe object embed "
+    "svg canvas audio video noembed noframes xmp".split()
 )
+_SIDE = frozenset("nav footer aside form menu search header".split())
+_MAIN = frozenset("article main".split())
+_PARAGRAPH = frozenset("p pre blockquote dd".split())
 _ENDS_P = _BLOCK - {"html", "body"}
 _CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-_SIDE_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner banners sponsor sponsored promo promotion sidebar rail widget nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal "
-    "overlay share sharing social comment comments disqus reply replies respond discussion related recommended recommendations pagination pager copyright legal "
-    "disclaimer toolbar skip search".split()
+_COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
+_HEADERS = frozenset("header masthead banner".split())
+_SIDE_WORDS = _COMMENTS | _HEADERS | frozenset(
+    "ad ads adbox advert adverts advertisement advertising banners sponsor sponsored promo promotion sidebar rail nav navbar navigation menu "
+    "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal "
+    "overlay share sharing social related recommended recommendations pagination pager toolbar".split()
 )
-_LAYOUT_WORDS = frozenset("with has no layout".split())  # as in "with-sidebar": the page around a side part, not the part
+#: Words of a class that say nothing of what the part is.
+_PLAIN_WORDS = frozenset("area bar block bottom box col column container div global group inner item items left link links list main outer page panel post primary reader right secondary section site slot top unit user wrap wrapper the".split())
 _SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+_CONTAINERS = frozenset("address article aside body center details div dl fieldset figure footer form header main menu nav ol search section table tbody td tr ul li span".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
-def _names_side(attrs: str) -> tuple[str, bool]:
-    """The presentation part of a tag's attributes, and whether they name a side part."""
-    style, side = "", False
+def _attributes(attrs: str) -> tuple[str, set[str], bool]:
+    """The presentation part of a tag's attributes, the words of side parts that they consist of, and whether they hide it."""
+    style, side, hidden = "", set(), False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
@@ -70,32 +81,37 @@ def _names_side(attrs: str) -> tuple[str, bool]:
             style += ("." if name == "class" else "#") + value
             for one in value.split():
                 words = {w.lower() for w in _WORDS.findall(one)}
-                side = side or bool(words & _SIDE_WORDS and not words & _LAYOUT_WORDS)
+                if words & _SIDE_WORDS and words <= _SIDE_WORDS | _PLAIN_WORDS or re.fullmatch("(?i)(.*[-_])?ads?([-_].*)?", one):
+                    side |= words & _SIDE_WORDS or {"ad"}
         elif name == "role":
-            side = side or value.strip().lower() in _SIDE_ROLES
+            side |= {value.strip().lower()} & _SIDE_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            side = True
+            hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            side = True
-    return style, side
+            hidden = True
+    return style, side, hidden
 
 
-def blocks(page: str) -> Iterator[tuple[str, str]]:
+def blocks(page: str) -> list[tuple[str, str]]:
     """(node path, text) of each block of a page, in page order, without parts that are never main text.
 
     Text is decoded, its white space is single spaces, and empty blocks are left
     out. End tags that were left out are implied as browsers imply them."""
-    stack: list[tuple[str, str, bool, dict[str, int]]] = []  # tag, path, left out, children so far
+    stack: list[tuple[str, str, bool, dict[str, int], tuple[int, ...], bool]] = []  # tag, path, left out, children so far, side parts around, in main
     top: dict[str, int] = {}
     parts: list[str] = []
+    sides: list[set[str]] = []  # what names each side part
+    mains: list[tuple[int, ...]] = []  # side parts around each <article> and <main>
+    found: list[tuple[str, str, tuple[int, ...], bool]] = []
     at, n = 0, len(page)
 
-    def ended() -> Iterator[tuple[str, str]]:
+    def ended() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            owner = next((x[1] for x in reversed(stack) if x[0] in _BLOCK), "")
-            yield owner, text
+            owner = next((x for x in reversed(stack) if x[0] in _BLOCK), ("", "", False, top, (), False))
+            around = stack[-1][4] if stack else ()
+            found.append((owner[1], text, around, owner[0] in _PARAGRAPH))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -112,18 +128,18 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
             continue
         if m[1]:
             if tag == "p" and not any(x[0] == "p" for x in stack):
-                yield from ended()
+                ended()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if any(x[0] in _BLOCK for x in stack[k:]):
-                        yield from ended()
+                    if any(x[0] in _BLOCK or x[4] != (stack[k - 1][4] if k else ()) for x in stack[k:]):
+                        ended()
                     del stack[k:]
                     break
                 if tag not in _BLOCK and stack[k][0] in _BLOCK:
                     break  # a stray inline end tag closes no block
             continue
         if tag in _BLOCK:
-            yield from ended()
+            ended()
             if tag in _ENDS_P:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
@@ -135,24 +151,54 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
             ends, within = _CLOSED_BY[tag]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
-                    yield from ended()
+                    ended()
                     del stack[k:]
                     break
                 if stack[k][0] in within:
                     break
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
-        style, side = _names_side(m[3]) if m[3].strip() else ("", False)
-        above = stack[-1] if stack else ("", "", False, top)
+        style, named, hidden = _attributes(m[3]) if m[3].strip() else ("", set(), False)
+        above = stack[-1] if stack else ("", "", False, top, (), False)
         like = above[3]
         like[tag + style] = like.get(tag + style, 0) + 1
-        gone = above[2] or tag in _NEVER or (side and tag not in ("html", "body", "article", "main"))
-        stack.append((tag, f"{above[1]}/{tag}{style}[{like[tag + style]}]".replace(" ", "."), gone, {}))
+        around, in_main = above[4], above[5]
+        if in_main:  # an article's own header
+            named = named - _HEADERS
+        if tag in _SIDE and not (tag == "header" and in_main):
+            named = named | {tag}
+        if named and tag in _CONTAINERS and tag not in ("body", "html"):
+            if parts and tag not in _BLOCK:
+                ended()
+            sides.append(named)
+            around = (*around, len(sides) - 1)
+        if tag in _MAIN:
+            mains.append(around)
+        stack.append((tag, f"{above[1]}/{tag}{style}[{like[tag + style]}]".replace(" ", "."), above[2] or tag in _NEVER or hidden, {}, around, in_main or tag in _MAIN))
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
             at = end.end()
             stack.pop()
-    yield from ended()
+    ended()
+    gone = _side_parts(sides, mains, found) if sides else set()
+    return [(path, text) for path, text, around, _ in found if not gone.intersection(around)]
+
+
+def _side_parts(sides: list[set[str]], mains: list[tuple[int, ...]], found: list[tuple[str, str, tuple[int, ...], bool]]) -> set[int]:
+    """The side parts that go: all, but for those around the article."""
+    gone = set(range(len(sides)))
+    if mains:
+        if all(mains):
+            for around in mains:
+                gone.difference_update(i for i in around if not sides[i] & _COMMENTS)
+        return gone
+    total, inside = 0, [0] * len(sides)
+    for _, text, around, paragraph in found:
+        if paragraph:
+            total += len(text)
+            for i in around:
+                inside[i] += len(text)
+    return {i for i in gone if sides[i] & _COMMENTS or 2 * inside[i] <= total}
 
 
 def _key(text: str) -> int:
@@ -167,43 +213,75 @@ def _chains(path: str) -> Iterator[str]:
     yield path
 
 
+def _kind(node: str) -> str:
+    """The last step of a path without its place."""
+    return node[node.rfind("/") + 1 : node.rfind("[")]
+
+
+def node_contents(page: str) -> tuple[dict[str, int], dict[str, list[str]]]:
+    """Each node's content (a hash of all blocks below it) and its children in page order."""
+    below: dict[str, int] = {}
+    children: dict[str, list[str]] = {}
+    for path, text in blocks(page):
+        k, above = _key(text), None
+        for node in _chains(path):
+            if node not in below:
+                children[node] = []
+                if above is not None:
+                    children[above].append(node)
+            below[node] = (below.get(node, 17) * 31 + k) & 0xFFFFFFFFFFFFFFFF
+            above = node
+    return below, children
+
+
 def page_contents(pages: DataFrame) -> DataFrame:
-    """host, node, stated, content, page: hashes of each node's content on each page.
+    """host, node, stated, kinds, content, style, page: hashes of each node's content and sequence of children on each page.
 
     A node's content is that of all blocks below it, so whole branches have an
     importance as well as their leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, nodes, contents, stated, keys = [], [], [], [], []
+            hosts, nodes, stated, kinds, contents, styles, keys = [], [], [], [], [], [], []
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                below: dict[str, int] = {}
-                whole = 17
-                for path, text in blocks(page or ""):
-                    k = _key(text)
-                    whole = (whole * 31 + k) & 0xFFFFFFFFFFFFFFFF
-                    for node in _chains(path):
-                        below[node] = (below.get(node, 17) * 31 + k) & 0xFFFFFFFFFFFFFFFF
+                below, children = node_contents(page or "")
+                whole = _key(" ".join(f"{x}:{c}" for x, c in below.items()))
                 hosts += [host] * len(below)
                 nodes += [_key(x) for x in below]
-                contents += [x - (1 << 64) if x >> 63 else x for x in below.values()]
                 stated += ["/article" in x or "/main" in x for x in below]
-                keys += [whole - (1 << 64) if whole >> 63 else whole] * len(below)
-            yield pa.record_batch(
-                {"host": pa.array(hosts, pa.string()), "node": pa.array(nodes, pa.int64()), "stated": pa.array(stated, pa.bool_()), "content": pa.array(contents, pa.int64()), "page": pa.array(keys, pa.int64())}
-            )
+                steps = [[_kind(c) for c in children[x]] for x in below]
+                kinds += [len(set(x)) for x in steps]
+                contents += [x - (1 << 64) if x >> 63 else x for x in below.values()]
+                styles += [_key(" ".join(x)) for x in steps]
+                keys += [whole] * len(below)
+            yield pa.record_batch({
+                "host": pa.array(hosts, pa.string()), "node": pa.array(nodes, pa.int64()), "stated": pa.array(stated, pa.bool_()), "kinds": pa.array(kinds, pa.int32()),
+                "content": pa.array(contents, pa.int64()), "style": pa.array(styles, pa.int64()), "page": pa.array(keys, pa.int64()),
+            })
 
-    return pages.select("host", "html").mapInArrow(run, "host string, node long, stated boolean, content long, page long")
+    return pages.select("host", "html").mapInArrow(run, "host string, node long, stated boolean, kinds int, content long, style long, page long")
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, node, stated, pages, importance: the merged tree of each host, one row a node.
+    """host, node, stated, pages, kinds, style_entropy, content_entropy, importance: the merged tree of each host, one row a node.
 
     Pages of a host with the same text throughout count once."""
-    counts = page_contents(pages).distinct().groupBy("host", "node", "stated", "content").agg(F.count(F.lit(1)).alias("c"))
-    sums = counts.groupBy("host", "node", "stated").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    entropy = F.log("pages") - F.col("clogc") / F.col("pages")
-    return sums.select("host", "node", "stated", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("importance"))
+    seen = page_contents(pages).distinct()
+    both = seen.select("host", "node", "stated", "kinds", F.explode(F.array(F.struct(F.lit(True).alias("is_style"), F.col("style").alias("value")), F.struct(F.lit(False).alias("is_style"), F.col("content").alias("value")))).alias("x"))
+    counts = both.groupBy("host", "node", "stated", "x").agg(F.count(F.lit(1)).alias("c"), F.sum("kinds").alias("kinds"))
+    clogc = F.col("c") * F.log("c")
+    sums = counts.groupBy("host", "node", "stated").agg(
+        F.sum(F.when(F.col("x.is_style"), F.col("c"))).alias("pages"), (F.sum(F.when(F.col("x.is_style"), F.col("kinds"))) / F.sum(F.when(F.col("x.is_style"), F.col("c")))).alias("kinds"),
+        F.sum(F.when(F.col("x.is_style"), clogc)).alias("styles"), F.sum(F.when(~F.col("x.is_style"), clogc)).alias("contents"),
+    )
+
+    def entropy(total: str) -> Column:
+        return F.when(F.col("pages") > 1, (F.log("pages") - F.col(total) / F.col("pages")) / F.log("pages")).otherwise(1.0)
+
+    weight = F.pow(F.lit(GAMMA), F.col("kinds"))
+    return sums.select("host", "node", "stated", "pages", "kinds", entropy("styles").alias("style_entropy"), entropy("contents").alias("content_entropy")).withColumn(
+        "importance", (1 - weight) * F.col("style_entropy") + weight * F.col("content_entropy")
+    )
 
 
 def low_nodes(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -1,167 +1,180 @@
 """Cross-entropy difference scoring with matched n-gram models.
 
-Two byte trigram models of one form, a target and a background model, share the
-vocabulary of byte values and their smoothing. A token's loss difference is its
+Two word bigram models of one form, a target and a background model, share the
+vocabulary of the corpus and their smoothing. A token's loss difference is its
 target loss less its background loss; a document's score is the mean over its
-tokens, low where it reads like the target. Counts come from every document; what
-is broadcast is one table of trigram counts, at most 256^3 rows and in UTF-8 text
-far fewer, however large the corpus is.
+tokens, low where it reads like the target. Tokens are the words of a text and the
+mark at its end, which also stands before its first word. Each document is scored
+by models that left it out: what it holds itself is taken off every count, so a
+target document doesn't read like the target for having been one.
+
+Counts come from every document and grow with the corpus, so no task and no driver
+holds them all. Documents are dealt into parts once; each part sends its distinct
+n-grams with its own counts to buckets, which add them up and send the sums back in
+the same order. N-grams go by 64-bit hashes, packed by part and bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import WORD, text_of
 
-#: Weight of the shorter context in tokens, the same for every order and for both models.
+#: Weight of the shorter context in tokens, the same for both models.
 BACKOFF = 4.0
-VOCABULARY = 256
-_CHUNK = 4_000_000
-
-
-def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with two zero bytes before each text, and where texts begin."""
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"\0\0" + b"\0\0".join(texts), np.uint8)
-    return data, np.cumsum(lens + 2) - lens
-
-
-def _codes(data: np.ndarray, starts: np.ndarray, symbol: np.ndarray, base: int) -> np.ndarray:
-    """Trigram codes of all tokens, in order; the two bytes before a text are context only."""
-    s = symbol[data].astype(np.int64)
-    token = np.ones(len(s), bool)
-    token[np.concatenate([starts - 1, starts - 2])] = False
-    code = (s[:-2] * base + s[1:-1]) * base + s[2:]
-    return code[token[2:]]
-
-
-def _chunks(column: pa.Array) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for t in column.cast(pa.large_binary()):
-        held.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
-        size += len(held[-1])
-        if size >= _CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _count(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data, starts = _stream(texts)
-    seen = np.flatnonzero(np.bincount(data, minlength=256))
-    symbol = np.zeros(256, np.int64)
-    symbol[seen] = np.arange(len(seen))
-    base = len(seen)
-    n = np.bincount(_codes(data, starts, symbol, base), minlength=1)
-    at = np.flatnonzero(n)
-    a, b, c = seen[at // base // base], seen[at // base % base], seen[at % base]
-    return (a << 16) | (b << 8) | c, n[at]
-
-
-def trigram_counts(docs: DataFrame, is_target: Column) -> DataFrame:
-    """code, background, target: trigram counts of all texts and of those that are the target's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, background, target = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for b in batches:
-            mine = b.column("is_target")
-            for flag in (True, False):
-                for texts in _chunks(b.column("text").filter(mine if flag else pa.compute.invert(mine))):
-                    code, n = _count(texts)
-                    codes.append(code)
-                    background.append(n)
-                    target.append(n if flag else np.zeros_like(n))
-        code, at = np.unique(np.concatenate(codes), return_inverse=True)
-        sums = [np.bincount(at, weights=np.concatenate(x), minlength=len(code)).astype(np.int64) for x in (background, target)]
-        yield pa.record_batch({"code": pa.array(code.astype(np.int32)), "background": pa.array(sums[0]), "target": pa.array(sums[1])})
-
-    rows = docs.select(F.coalesce(is_target, F.lit(False)).alias("is_target"), text_of().alias("text")).mapInArrow(run, "code int, background long, target long")
-    return rows.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def _losses(cells: np.ndarray) -> np.ndarray:
-    """-log p(c | ab) of a cube of trigram counts; orders back off to each other and to equal chances."""
-    n1 = cells.sum(axis=(0, 1))
-    p1 = (n1 + 1.0) / (n1.sum() + VOCABULARY)
-    n2 = cells.sum(axis=0)
-    p2 = (n2 + BACKOFF * p1) / (n2.sum(axis=1, keepdims=True) + BACKOFF)
-    p3 = (cells + BACKOFF * p2) / (cells.sum(axis=2, keepdims=True) + BACKOFF)
-    return -np.log(p3)
-
-
-class Models:
-    """Loss tables over the bytes that occur, and one symbol for all others."""
-
-    def __init__(self, code: np.ndarray, background: np.ndarray, target: np.ndarray):
-        bytes_ = np.stack([code >> 16, code >> 8 & 255, code & 255])
-        seen = np.unique(np.concatenate([bytes_.ravel(), [0]]))
-        self.base = len(seen) + 1
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        at = tuple(self.symbol[bytes_])
-
-        def table(n: np.ndarray) -> np.ndarray:
-            cells = np.zeros((self.base,) * 3)
-            np.add.at(cells, at, n)
-            return _losses(cells).ravel()
-
-        self.target, self.background = table(target), table(background)
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, and mean losses under both models (0 for an empty text)."""
-        data, starts = _stream(texts)
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
-        codes = _codes(data, starts, self.symbol, self.base)
-        full = np.flatnonzero(n)
-        at = np.concatenate([[0], np.cumsum(n[full])[:-1]]).astype(np.int64)
-        out = []
-        for losses in (self.target, self.background):
-            mean = np.zeros(len(n))
-            if len(full):
-                mean[full] = np.add.reduceat(losses[codes], at) / n[full]
-            out.append(mean)
-        return n, *out
-
-
-def score_documents(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score of every row of ``docs``.
-
-    ``counts`` has code, background and target; its rows are bounded by the vocabulary."""
-    rows = counts.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("code", "background", "target")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(*shared.value)
-        for b in batches:
-            done = [models.score(texts) for texts in _chunks(b.column("text"))]
-            n, t, g = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.empty(0, np.int64), np.empty(0), np.empty(0))
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n), "target_loss": pa.array(t), "background_loss": pa.array(g), "score": pa.array(t - g)})
-
-    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """Score every row of ``docs`` by target loss less background loss, in nats a byte.
+PART_BYTES = 8 << 20
+_MARK = b"\n"  # the end of a text; no word holds it
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpack(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    out = v * _M1 + (w ^ (w >> np.uint64(31))) * _M2
+    out ^= out >> np.uint64(29)
+    out *= _M1
+    return out ^ (out >> np.uint64(32))
+
+
+class Grams:
+    """The n-grams of a part: distinct hashes by bucket, and where each token's lie among them."""
+
+    def __init__(self, table: pa.Table, buckets: int):
+        texts = [t.as_buffer().to_pybytes() for t in table["text"].cast(pa.large_binary()).combine_chunks()]
+        ids = table["doc_id"].to_pylist()
+        self.rows = np.array(sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i])), np.int64)  # one order each time
+        self.is_target = table["is_target"].to_numpy(zero_copy_only=False).astype(bool)[self.rows] if len(texts) else np.empty(0, bool)
+        number: dict[bytes, int] = {_MARK: 0}
+        tokens, sizes = [], []
+        for i in self.rows.tolist():
+            words = texts[i].split()  # on the six ASCII spaces
+            tokens += [number.setdefault(w, len(number)) for w in words]
+            if words:
+                tokens.append(0)
+            sizes.append(len(words) + bool(words))
+        self.sizes = np.array(sizes, np.int64)
+        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        w = np.array(tokens, np.int64)
+        v = np.r_[0, w[:-1]] if len(w) else w  # before a text's first word stands the mark at the end of the text before
+        h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in number), np.uint64, len(number))
+        every = np.concatenate([h[w], _pair(h[v], h[w])]) if len(w) else np.empty(0, np.uint64)
+        hashes, at = np.unique(every, return_inverse=True)
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.hashes, self.bucket, at = hashes[order], bucket[order], place[at]
+        self.unigram, self.bigram = at[: len(w)], at[len(w) :]
+        # a context is the word of the token before, or the mark: its last token's
+        self.context = np.r_[self._mark(), self.unigram[:-1]] if len(w) else self.unigram
+
+    def _mark(self) -> int:
+        return int(self.unigram[-1])  # a part's last token is a mark
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each distinct n-gram occurs in the part, and in its target documents."""
+        at, mine = np.r_[self.unigram, self.bigram], np.r_[self.is_target[self.doc], self.is_target[self.doc]]
+        return np.bincount(at, minlength=len(self.hashes)), np.bincount(at[mine], minlength=len(self.hashes))
+
+    def cuts(self) -> list[tuple[int, int]]:
+        starts = np.flatnonzero(np.r_[True, np.diff(self.bucket) > 0]) if len(self.bucket) else np.empty(0, np.int64)
+        return list(zip(starts.tolist(), [*starts[1:].tolist(), len(self.bucket)], strict=True)) if len(starts) else []
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """For each token, how often its document holds its n-gram."""
+        _, back, n = np.unique(self.doc * np.int64(len(self.hashes) + 1) + at, return_inverse=True, return_counts=True)
+        return n[back]
+
+
+def _losses(grams: Grams, counts: np.ndarray, total: int, words: int, has_own: np.ndarray) -> np.ndarray:
+    """-log p of each token under counts that its own document is taken off where ``has_own``."""
+    mine = has_own[grams.doc]
+
+    def left(at: np.ndarray) -> np.ndarray:
+        return counts[at] - np.where(mine, grams.own(at), 0)
+
+    # the words of a document but its last, and the mark before it, are contexts as often as they are tokens
+    p1 = (left(grams.unigram) + 1.0) / (total - np.where(mine, grams.sizes[grams.doc], 0) + words)
+    own_context = np.zeros(len(grams.doc), np.int64)
+    if len(own_context):
+        key = grams.doc * np.int64(len(grams.hashes) + 1)
+        known, n = np.unique(key + grams.unigram, return_counts=True)
+        own_context = n[np.searchsorted(known, key + grams.context)]  # every context is also a token of its document
+    context = counts[grams.context] - np.where(mine, own_context, 0)
+    return -np.log((left(grams.bigram) + BACKOFF * p1) / (context + BACKOFF))
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every row of ``docs``, in nats a token.
 
     The background is all documents; the target those whose doc_id is in
     ``target_ids``. A null text counts as empty; an empty one has no tokens and zero
     losses. Rows with a null identifier are background only. Repeated rows count each
-    for itself. Without target documents the target model gives all bytes equal
-    chances. An empty table gives no rows; further columns are ignored."""
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for itself, and each is scored without itself only. Without (other) target
+    documents the target model gives all words equal chances. A text longer than a
+    part makes a part of its own length, which one task holds whole. An empty table
+    gives no rows; further columns are ignored."""
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text"))
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    # sort-merge at any size: the label table grows with the corpus, and one plan is easier to foresee than two
-    counts = trigram_counts(mine.join(ids.hint("merge"), "doc_id", "left"), F.col("is_target"))
-    return score_documents(mine, counts)
+    flagged = mine.join(ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))  # broadcast or not by size
+    n_words = F.regexp_count("text", F.lit(WORD))
+    size = flagged.select(F.octet_length("text").alias("bytes"), (n_words + F.least(n_words, F.lit(1))).alias("n"), "is_target")
+    total_bytes, total, target_total = size.agg(F.sum("bytes"), F.sum("n"), F.sum(F.when(F.col("is_target"), F.col("n")).otherwise(0))).first()
+    words = mine.select(F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("w")).filter("w <> ''").distinct().count() + 1
+    parts = max(1, -(-(total_bytes or 0) // part_bytes))
+    dealt = flagged.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+
+    def name(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        grams = Grams(table, parts)
+        background, target = grams.counts()
+        cuts = grams.cuts()
+        return pa.table({
+            "part": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "bucket": pa.array([int(grams.bucket[s]) for s, _ in cuts], pa.int64()),
+            "hashes": pa.array([_pack(np.diff(grams.hashes[s:e], prepend=np.uint64(0))) for s, e in cuts], pa.binary()),
+            "background": pa.array([_pack(background[s:e].astype(np.uint32)) for s, e in cuts], pa.binary()),
+            "target": pa.array([_pack(target[s:e].astype(np.uint32)) for s, e in cuts], pa.binary()),
+        })
+
+    def add(table: pa.Table) -> pa.Table:
+        hashes = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table["hashes"].to_pylist()]
+        ends = np.cumsum([len(x) for x in hashes])
+        kinds, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in table[c].to_pylist()]), len(kinds)).astype(np.int64)[at] for c in ("background", "target")]
+        return pa.table({
+            "part": table["part"], "bucket": table["bucket"],
+            **{c: pa.array([_pack(x) for x in np.split(s, ends[:-1])], pa.binary()) for c, s in zip(("background", "target"), sums, strict=True)},
+        })
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams = Grams(left, parts)
+        right = right.sort_by("bucket")  # as the n-grams are
+        n, full = grams.sizes, np.flatnonzero(grams.sizes)
+        means = {}
+        for c, of, own in (("target", target_total, grams.is_target), ("background", total, np.ones(len(n), bool))):
+            counts = np.concatenate([np.empty(0, np.int64), *(_unpack(x, np.int64) for x in right[c].to_pylist())])
+            means[c] = np.zeros(len(n))
+            if len(full):
+                means[c][full] = np.add.reduceat(_losses(grams, counts, of, words, own), (np.cumsum(n) - n)[full]) / n[full]
+        return pa.table({
+            "doc_id": left["doc_id"].take(pa.array(grams.rows)), "n_tokens": pa.array(n), "target_loss": pa.array(means["target"]), "background_loss": pa.array(means["background"]),
+            "score": pa.array(means["target"] - means["background"]),
+        })
+
+    named = dealt.groupBy("part").applyInArrow(name, "part int, bucket long, hashes binary, background binary, target binary")
+    added = named.groupBy("bucket").applyInArrow(add, "part int, bucket long, background binary, target binary")
+    return dealt.groupBy("part").cogroup(added.groupBy("part")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
@@ -171,24 +184,26 @@ def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
-SQL = """
+SQL = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, '0000' || hex(encode(coalesce(text, ''))) AS h,
-         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS is_target FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id IS NOT NULL), false) AS is_target FROM documents
 ), tok AS (
-  SELECT rid, is_target, unnest(list_transform(generate_series(1, (len(h) - 4) // 2), lambda i: substr(h, 2 * i - 1, 6))) AS abc FROM d
-), c3 AS (SELECT abc, count(*)::DOUBLE AS b, count_if(is_target)::DOUBLE AS t FROM tok GROUP BY abc
-), ctx AS (SELECT substr(abc, 1, 4) AS ab, sum(b) AS b, sum(t) AS t FROM c3 GROUP BY 1
-), c2 AS (SELECT substr(abc, 3, 4) AS bc, sum(b) AS b, sum(t) AS t FROM c3 GROUP BY 1
-), ctx2 AS (SELECT substr(bc, 1, 2) AS b1, sum(b) AS b, sum(t) AS t FROM c2 GROUP BY 1
-), c1 AS (SELECT substr(bc, 3, 2) AS c, sum(b) AS b, sum(t) AS t FROM c2 GROUP BY 1
-), n AS (SELECT sum(b) AS b, sum(t) AS t FROM c1
+  SELECT rid, is_target, unnest(list_concat([chr(10)], words)) AS v, unnest(list_concat(words, [chr(10)])) AS w FROM d WHERE len(words) > 0
+), o2 AS (SELECT rid, is_target, v, w, count(*)::DOUBLE AS n FROM tok GROUP BY ALL
+), o1 AS (SELECT rid, is_target, w, count(*)::DOUBLE AS n FROM tok GROUP BY ALL
+), c2 AS (SELECT v, w, sum(n) AS b, coalesce(sum(n) FILTER (is_target), 0) AS t FROM o2 GROUP BY v, w
+), c1 AS (SELECT w, sum(n) AS b, coalesce(sum(n) FILTER (is_target), 0) AS t FROM o1 GROUP BY w
+), total AS (SELECT sum(b) AS b, sum(t) AS t, (count(*) FILTER (w <> chr(10)) + 1)::DOUBLE AS words FROM c1
+), size AS (SELECT rid, sum(n) AS n FROM o1 GROUP BY rid
 ), loss AS (
-  SELECT abc,
-    -ln((c3.t + 4 * (c2.t + 4 * ((c1.t + 1) / (n.t + 256))) / (ctx2.t + 4)) / (ctx.t + 4)) AS lt,
-    -ln((c3.b + 4 * (c2.b + 4 * ((c1.b + 1) / (n.b + 256))) / (ctx2.b + 4)) / (ctx.b + 4)) AS lb
-  FROM c3 JOIN ctx ON ctx.ab = substr(abc, 1, 4) JOIN c2 ON bc = substr(abc, 3, 4) JOIN ctx2 ON b1 = substr(abc, 3, 2) JOIN c1 ON c = substr(abc, 5, 2), n
-), s AS (SELECT rid, count(*) AS n, avg(lt) AS t, avg(lb) AS b FROM tok JOIN loss USING (abc) GROUP BY rid)
-SELECT doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(t, 0), 6) AS target_loss, round(coalesce(b, 0), 6) AS background_loss, round(coalesce(t - b, 0), 6) AS score
+  SELECT o2.rid, o2.n,
+    -ln((c2.t - CASE WHEN o2.is_target THEN o2.n ELSE 0 END + 4 * (c1.t - CASE WHEN o2.is_target THEN ow.n ELSE 0 END + 1) / (total.t - CASE WHEN o2.is_target THEN size.n ELSE 0 END + total.words))
+        / (cv.t - CASE WHEN o2.is_target THEN ov.n ELSE 0 END + 4)) AS lt,
+    -ln((c2.b - o2.n + 4 * (c1.b - ow.n + 1) / (total.b - size.n + total.words)) / (cv.b - ov.n + 4)) AS lb
+  FROM o2 JOIN c2 USING (v, w) JOIN c1 ON c1.w = o2.w JOIN c1 cv ON cv.w = o2.v JOIN o1 ow ON ow.rid = o2.rid AND ow.w = o2.w JOIN o1 ov ON ov.rid = o2.rid AND ov.w = o2.v
+       JOIN size ON size.rid = o2.rid, total
+), s AS (SELECT rid, sum(n) AS n, sum(n * lt) / sum(n) AS t, sum(n * lb) / sum(n) AS b FROM loss GROUP BY rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(t, 0), 6) AS target_loss, round(coalesce(b, 0), 6) AS background_loss, round(coalesce(t - b, 0), 6) AS score
 FROM d LEFT JOIN s USING (rid)
 """

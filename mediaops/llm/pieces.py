@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-_KNOWN = 1_800_000  # chunks that a worker remembers at a time
+_KNOWN = 1_300_000  # chunks that a worker remembers at a time
 _NEVER, _LOWEST = 1 << 62, -(1 << 62)
 
 
@@ -159,9 +159,10 @@ def n_best(text: str, vocabulary: Vocabulary, n: int) -> list[tuple[int, tuple[i
     return Lattice(vocabulary).n_best(text, n)
 
 
-def _sums(total: int, costs: list[tuple[int, ...]], n: int) -> list[int]:
-    """The n largest sums when each list may give another than its best score, at these costs (0 first)."""
-    return heapq.nlargest(n, (total - sum(c) for c in product(*costs)))
+def _choices(total: int, costs: list[tuple[int, ...]], n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The n largest sums when each list may give another than its best score, at these costs (0 first), and what each list gives."""
+    made = ((total - sum(c[i] for c, i in zip(costs, o, strict=True)), o) for o in product(*(range(len(c)) for c in costs)))
+    return heapq.nlargest(n, made, key=lambda x: x[0])
 
 
 class _Chunks(dict):
@@ -176,6 +177,8 @@ class _Chunks(dict):
         self.ids, self.ends, self.best = array("i"), array("q", [0]), array("q")
         self.costs = [array("q") for _ in range(n - 1)]
         self.exact = bytearray()
+        #: piece identifiers of the segmentations after the best, of chunks that gave a text's next best one
+        self.others: dict[str, list[tuple[int, ...]]] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
         """Segment what is new, in order, so that neighbours begin alike."""
@@ -193,8 +196,14 @@ class _Chunks(dict):
         self.exact.append(b"".join(map(self.model.bytes.__getitem__, ids)) == text.encode())
         self[text] = len(self.best) - 1
 
-    def text(self, chunks: list[str]) -> tuple[np.ndarray, list[float], bool]:
-        """Piece identifiers, the n best scores and whether decoding is exact, for a text's chunks."""
+    def other(self, chunk: str, rank: int) -> tuple[int, ...]:
+        """Piece identifiers of a chunk's segmentation of a rank over 0."""
+        if chunk not in self.others:
+            self.others[chunk] = [ids for _, ids in self.lattice.n_best(chunk, self.n)]
+        return self.others[chunk][rank]
+
+    def text(self, chunks: list[str]) -> tuple[np.ndarray, list[float], list[list[tuple]], bool]:
+        """Piece identifiers, the n best scores, what the second to n-th best change, and whether decoding is exact, for a text's chunks."""
         at = np.array(list(map(self.__getitem__, chunks)))
         ends = np.frombuffer(self.ends, np.int64)
         begin = ends[at]
@@ -202,12 +211,15 @@ class _Chunks(dict):
         after = np.cumsum(lens)
         ids = np.frombuffer(self.ids, np.int32)[np.repeat(begin - (after - lens), lens) + np.arange(after[-1])]
         costs: list[tuple[int, ...]] = []
+        few: list[int] = []
         if self.costs:  # only the n - 1 chunks whose second best costs least can matter
             second = np.frombuffer(self.costs[0], np.int64)[at]
-            few = np.argpartition(second, self.n - 2)[: self.n - 1] if len(at) >= self.n else np.arange(len(at))
-            costs = [(0, *(c for c in (x[at[i]] for x in self.costs) if c < _NEVER)) for i in few.tolist()]
+            few = sorted((np.argpartition(second, self.n - 2)[: self.n - 1] if len(at) >= self.n else np.arange(len(at))).tolist())
+            costs = [(0, *(c for c in (x[at[i]] for x in self.costs) if c < _NEVER)) for i in few]
         total = int(np.frombuffer(self.best, np.int64)[at].sum())
-        return ids, [x / 1e6 for x in _sums(total, costs, self.n)], bool(np.frombuffer(self.exact, np.uint8)[at].all())
+        best = _choices(total, costs, self.n)
+        changes = [[(int(after[i] - lens[i]), int(after[i]), self.other(chunks[i], rank)) for i, rank in zip(few, o, strict=True) if rank] for _, o in best[1:]]
+        return ids, [x / 1e6 for x, _ in best], changes, bool(np.frombuffer(self.exact, np.uint8)[at].all())
 
 
 _held: _Chunks | None = None
@@ -235,38 +247,69 @@ def _some(texts: list[str | None], size: int = 2_000_000) -> Iterator[list[str |
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, token_ids, n_tokens, scores, round_trip.
+    """One row per row of ``docs``: doc_id, token_ids, n_tokens, scores, round_trip, others.
 
     token_ids is the best segmentation of the whole text with a space before it,
-    scores those of the n best (fewer where there are fewer). round_trip tells
-    whether decoding token_ids gives the text again; with byte pieces it always
-    does. Null and empty texts have no tokens and the score 0. Segmentations of
-    equal score come in the order that the search meets them, the same each time. A
-    null identifier stays null; repeated rows are encoded each; an empty table gives
-    no rows; further columns are ignored."""
+    scores those of the n best (fewer where there are fewer). others has an entry for
+    each of these but the best: an array of begin, end, ids, the pieces that stand
+    in place of token_ids from begin to end; ``segmentations`` spells them out.
+    round_trip tells whether decoding token_ids gives the text again; with byte
+    pieces it always does. Null and empty texts have no tokens and the score 0.
+    Segmentations of equal score come in the order that the search meets them, the
+    same each time. A null identifier stays null; repeated rows are encoded each; an
+    empty table gives no rows; further columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the model file, whatever the corpus is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lens, scores, same = [np.empty(0, np.int32)], [], [], []
+            ids, lens, scores, others, same = [np.empty(0, np.int32)], [], [], [], []
             for texts in _some(b.column("text").to_pylist()):
                 known = _chunks(shared.value, n)
                 cut = [_CHUNK.findall(" " + x) if x else [] for x in texts]
                 known.learn(cut)
                 for chunks in cut:
-                    own, best, exact = known.text(chunks) if chunks else (ids[0][:0], [0.0], True)
+                    own, best, changes, exact = known.text(chunks) if chunks else (ids[0][:0], [0.0], [], True)
                     ids.append(own)
                     lens.append(len(own))
                     scores.append(best)
+                    others.append(changes)
                     same.append(exact)
             flat = pa.array(np.concatenate(ids))
             offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
             yield pa.record_batch(
-                {"doc_id": b.column("doc_id"), "token_ids": pa.ListArray.from_arrays(offsets, flat), "n_tokens": pa.array(lens, pa.int32()), "scores": pa.array(scores, pa.list_(pa.float64())), "round_trip": pa.array(same, pa.bool_())}
+                {"doc_id": b.column("doc_id"), "token_ids": pa.ListArray.from_arrays(offsets, flat), "n_tokens": pa.array(lens, pa.int32()), "scores": pa.array(scores, pa.list_(pa.float64())),
+                 "round_trip": pa.array(same, pa.bool_()), "others": _change_lists(others)}
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, scores array<double>, round_trip boolean")
+    return rows.mapInArrow(run, f"doc_id long, token_ids array<int>, n_tokens int, scores array<double>, round_trip boolean, others {OTHERS}")
+
+
+OTHERS = "array<array<struct<begin:int,end:int,ids:array<int>>>>"
+
+
+def _change_lists(others: list[list[list[tuple]]]) -> pa.Array:
+    """others as nested lists, from flat ones."""
+
+    def ends(sizes: list[int]) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+    ranks = [changes for row in others for changes in row]
+    flat = [x for changes in ranks for x in changes]
+    ids = pa.ListArray.from_arrays(ends([len(x[2]) for x in flat]), pa.array([i for x in flat for i in x[2]], pa.int32()))
+    one = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), ids], ["begin", "end", "ids"])
+    return pa.ListArray.from_arrays(ends([len(x) for x in others]), pa.ListArray.from_arrays(ends([len(x) for x in ranks]), one))
+
+
+def segmentations(token_ids: list[int], others: list[list[tuple[int, int, list[int]]]]) -> list[list[int]]:
+    """A row's n best segmentations in full, the best first."""
+    out = [list(token_ids)]
+    for changes in others:
+        own = list(token_ids)
+        for begin, end, ids in reversed(changes):
+            own[begin:end] = ids
+        out.append(own)
+    return out
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

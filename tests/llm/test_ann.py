@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from mediaops.llm.ann import nearest, scan
+from mediaops.llm.ann import SEED, Lists, nearest, scan
 
 VECTORS = "vec_id long, embedding array<float>, label int, score int, list string"
 
@@ -60,3 +60,40 @@ def test_scan_abandons_but_keeps_the_best():
         assert len(got) < 100
         missed += len(set(np.argsort(((x - q) ** 2).sum(axis=1))[:10]) - set(got))
     assert missed <= 5
+
+
+def clustered(n, dim=32, centres=200, seed=5):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((centres, dim))[rng.integers(0, centres, n)] + 0.35 * rng.standard_normal((n, dim))
+
+
+def test_few_lists_are_enough_for_clustered_vectors(spark):
+    """Under 30 % of the lists are probed, and lists of several parts and chunks meet part by part."""
+    v = clustered(12_000)
+    lists = Lists(v[:4000], 32, float((v * v).sum(axis=1).max()) ** 0.5, 80)
+    assert len(lists.centroids) == 80 and lists.probes(v[:4000], 20, 0.97) <= 24
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found = nearest(df, df.filter("vec_id % 20 = 0"), list_size=150, sample=4000, task_rows=40).collect()
+    got = {(r.query_id, r.vec_id): r.score for r in found}
+    hit = total = 0
+    for q in range(0, len(v), 20):
+        score = v @ v[q]
+        score[q] = -np.inf
+        best = np.argsort(-score)[:20]
+        total += 20
+        hit += sum((q, int(i)) in got for i in best)
+    assert len(found) == total and hit >= 0.9 * total
+    assert all(abs(s - v[q] @ v[i]) < 1e-9 for (q, i), s in got.items())
+
+
+def test_shorter_vectors_count_as_zero_in_what_they_lack(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 1.0]), (2, [0.5]), (3, [0.0, 0.0, 1.0]), (4, [-1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in nearest(df, df.filter("vec_id = 0 or vec_id = 2"), k=2).collect()}
+    assert got == {(0, 1, 4, 4.0), (0, 2, 1, 3.0), (2, 1, 0, 0.5), (2, 2, 1, 0.5)}
+
+
+def test_vectors_without_structure_need_most_lists():
+    v = np.random.default_rng(SEED).standard_normal((4000, 64))
+    lists = Lists(v, 64, float((v * v).sum(axis=1).max()) ** 0.5, 20)
+    assert lists.probes(v, 20, 0.97) >= 12

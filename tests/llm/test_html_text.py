@@ -1,6 +1,10 @@
+import math
+from collections import Counter, defaultdict
+
 import pytest
+from pyspark.sql import functions as F
 
-from mediaops.llm.html_text import blocks, extract_pages, main_text
+from mediaops.llm.html_text import _key, blocks, extract_pages, main_text, style_tree
 
 PAGES = "page_id long, url string, html string, host int, text string"
 
@@ -24,6 +28,13 @@ def text_of(page):
         ("<p title='a > b'>q</p><p hidden>h</p><P>UP</P>", "q\nUP"),
         ("<p>a</b></i>c</div>d</p>", "ac\nd"),
         ("<p>unclosed <b", "unclosed"),
+        ("<article><header><h1>own title</h1></header><h2 class='header'>a</h2><p class='reply'>b</p><section id='legal'>c</section><div class='search-result'>d</div></article>", "own title\na\nb\nc\nd"),
+        ("<body><form id=aspnetForm><input><label>Find</label><div><article><p>t</p></article></div><button>go</button></form></body>", "t"),
+        ("<div class='post social'><article><p>t</p></article></div><div class='comments'><article><p>first</p></article></div>", "t"),
+        ("<article class='elementor-widget'><p>t</p></article><article class='related'><p>more</p></article>", "t"),
+        ("<div class='sidebar'><p>short</p></div><div class='subscribe'><p>the longest paragraph of this page, by far</p></div>", "the longest paragraph of this page, by far"),
+        ("<div id=comments><p>many words by readers of this page</p></div><div><p>t</p></div>", "t"),
+        ("<header><h1>site</h1></header><main><p>t</p></main><div class='google-ad'>x</div>", "t"),
     ],
 )
 def test_blocks(page, want):
@@ -49,5 +60,60 @@ def test_style_tree_drops_what_repeats_on_a_host(spark):
     assert main_text(None, frozenset()) == ""
 
 
+def noisy_site():
+    """Names and elements tell nothing here; only the other pages of the site do."""
+    rows = []
+    for i in range(30):
+        story = "".join(f"<p>Part {j} of story {i}</p>" for j in range(1 + i % 7))
+        html = (
+            "<body><div class=x1><div>Home</div><div>World</div><div>Sports</div></div>"
+            f"<div class=x2><div>Most read this week</div><div>{['A storm', 'An election'][i % 2]}</div></div>"
+            f"<div class=x3><h1>Story {i}</h1>{story}<div class=x4>Tell your friends</div></div><div class=x5>All rights kept</div></body>"
+        )
+        rows.append((i, f"http://n.example.com/{i}", html, 1, ""))
+    return rows
+
+
+def test_tree_succeeds_where_names_fail(spark):
+    rows = noisy_site()
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, _, page, *_ in rows:
+        want = "\n".join([f"Story {i}", *(f"Part {j} of story {i}" for j in range(1 + i % 7))])
+        assert got[i] == want
+        assert main_text(page, frozenset()) != want
+
+
+def test_tree_against_brute_force(spark):
+    rows = [*noisy_site(), *noisy_site()[:3]]  # copies of a page count once
+    pages = spark.createDataFrame(rows, PAGES).withColumn("host", F.lit("h"))
+    got = {r.node: r for r in style_tree(pages).collect()}
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n) if n > 1 else 1.0
+
+    texts, children = defaultdict(list), defaultdict(list)
+    for page in sorted({r[2] for r in rows}):
+        nodes = defaultdict(list)
+        under = defaultdict(list)
+        for path, text in blocks(page):
+            steps = path.split("/")[1:]
+            for d in range(1, len(steps) + 1):
+                node = "/" + "/".join(steps[:d])
+                nodes[node].append(text)
+                if d < len(steps) and steps[d] not in under[node]:
+                    under[node].append(steps[d])
+        for node, t in nodes.items():
+            texts[node].append(tuple(t))
+            children[node].append(tuple(x[: x.rfind("[")] for x in under[node]))
+    assert set(got) == {_key(x) for x in texts}
+    for node, seen in texts.items():
+        r = got[_key(node)]
+        kinds = sum(len(set(c)) for c in children[node]) / len(seen)
+        weight = 0.9**kinds
+        assert r.pages == len(seen) and r.kinds == pytest.approx(kinds)
+        assert r.importance == pytest.approx((1 - weight) * entropy(children[node]) + weight * entropy(seen))
+
+
 def test_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], PAGES)).count() == 0

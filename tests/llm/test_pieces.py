@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from mediaops.llm.pieces import MODEL, Lattice, Vocabulary, decode, encode, n_best
+from mediaops.llm.pieces import MODEL, Lattice, Vocabulary, decode, encode, n_best, segmentations
 
 DOCS = "doc_id long, text string, token_ids string, scores int"
 
@@ -52,9 +52,15 @@ def test_sums_of_whole_texts_against_all(spark, model):
     rng = random.Random(11)
     texts = ["".join(rng.choices([" the", " he", " in", " on", "s", "\n", "."], k=rng.randint(1, 4))) for _ in range(60)]
     for n in (1, 2, 3, 4):
-        got = {r.doc_id: r.scores for r in encode(spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], DOCS), model, n).collect()}
+        found = {r.doc_id: r for r in encode(spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], DOCS), model, n).collect()}
+        got = {i: r.scores for i, r in found.items()}
         for i, t in enumerate(texts):
-            assert got[i] == [s / 1e6 for s, _ in sorted(all_segmentations(" " + t, model), key=lambda x: -x[0])[:n]]
+            every = sorted(all_segmentations(" " + t, model), key=lambda x: -x[0])
+            assert got[i] == [s / 1e6 for s, _ in every[:n]]
+            score_of = {ids: s / 1e6 for s, ids in every}
+            spelt = [tuple(x) for x in segmentations(found[i].token_ids, found[i].others)]
+            assert [score_of[x] for x in spelt] == got[i] and len(set(spelt)) == len(spelt)
+            assert all(model.decode(list(x)) == t for x in spelt)
 
 
 def test_whole_texts_and_round_trip(spark, model):
