@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # ---- keys and hashes ------------------------------------------------------
 
@@ -26,12 +24,18 @@ def uuid_of(c: Column) -> Column:
 
 
 def hamming_hex(a: Column, b: Column) -> Column:
-    """Differing bits of two hexadecimal strings of up to 16 digits; the shorter is padded on the left."""
+    """Differing bits of two hexadecimal strings of any length; the shorter is padded on the left."""
+    a, b = F.lower(F.trim(a)), F.lower(F.trim(b))
 
-    def half(c: Column, at: int) -> Column:
-        return F.conv(F.substring(F.lpad(F.lower(c), 16, "0"), at, 8), 16, 10).cast("long")
+    def part(x: Column, width: Column | int, at: Column | int) -> Column:
+        return F.conv(F.substring(F.lpad(x, width, "0"), at, 8), 16, 10).cast("long")
 
-    return F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
+    def differ(width: Column | int, at: Column | int) -> Column:
+        return F.bit_count(part(a, width, at).bitwiseXOR(part(b, width, at)))
+
+    n = F.ceil(F.greatest(F.length(a), F.length(b)) / 8).cast("int")
+    long = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: differ(8 * n, 8 * i + 1)), F.lit(0), lambda s, d: s + d)
+    return F.when(n <= 2, differ(16, 1) + differ(16, 9)).otherwise(F.when(n > 2, long))
 
 
 def phash_prefix(c: Column, bits: int = 16) -> Column:
@@ -45,11 +49,10 @@ def content_key(c: Column, tenant: Column, extension: str) -> Column:
 
 
 def derived_keys(c: Column, tenant: Column) -> Column:
-    """Crop and thumbnail keys of an identifier ``sha:kind_number``; null where it has another form."""
-    ok = c.rlike("^[^:]+:[A-Za-z]+_[0-9]+$")
-    sha, name = F.regexp_extract(c, "^([^:]+):", 1), F.regexp_extract(c, ":(.+)$", 1)
-    made = F.struct(*(F.concat_ws("/", F.lit(kind), tenant.cast("string"), F.concat(sha, F.lit("_"), name, F.lit(".jpg"))).alias(kind) for kind in ("crops", "thumbs")))
-    return F.when(ok, made)
+    """crop and thumb: storage keys of an identifier ``sha:face_number``; null where it has another form."""
+    number = F.regexp_extract(c, r"^[^:]*:face_([0-9]+)(?:_.*)?$", 1)
+    base = F.concat(tenant.cast("string"), F.lit("/"), F.regexp_extract(c, "^([^:]*):", 1), F.lit("_face_"), number.try_cast("decimal(38,0)").cast("string"))
+    return F.when(number != "", F.struct(F.concat(base, F.lit(".jpg")).alias("crop"), F.concat(base, F.lit("_thumb.jpg")).alias("thumb")))
 
 
 def stem_group(filename: Column) -> Column:
@@ -114,29 +117,37 @@ def normalize_url(u: Column) -> Column:
     return F.regexp_replace(u, "[;?#].*$", "")
 
 
-@F.pandas_udf(StringType())
-def _join_dots(base: pd.Series, link: pd.Series) -> pd.Series:
-    from urllib.parse import urljoin
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved, and without empty ones inside."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    closed = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    size = F.size(closed)
+    inner = F.filter(closed, lambda x, i: (i > 0) & ((x != "") | (i == size - 1)))
+
+    def step(done: Column, x: Column) -> Column:
+        return F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
 
-    return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link, strict=True)])
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(inner, F.array().cast("array<string>"), step), "/"))
 
 
 def url_join(base: Column, link: Column, dots: bool = True) -> Column:
-    """Absolute form of a link. Only links with ``./`` or ``../`` leave the JVM, and only if ``dots``."""
+    """Absolute form of a link; ``./`` and ``../`` are resolved if ``dots``."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
     joined = (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, SCHEME, 1), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
         .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
         .when(link.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), link))
         .when(link == "", base)
     )
     if dots:
-        joined = joined.when(link.rlike(r"(^|/)\.\.?(/|$)"), _join_dots(base, link))
-    return joined.otherwise(F.concat(folder, link))
+        whole = F.when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, link))
+        path = F.substring(F.regexp_extract(whole, r"^([^?#]*)", 1), F.length(root) + 1, F.length(whole))
+        joined = joined.when(F.regexp_extract(link, "^([^?#]*)", 1).rlike(r"(^|/)\.\.?(/|$)"), F.concat(root, _without_dots(path), F.regexp_extract(whole, r"^[^?#]*(.*)$", 1)))
+    return joined.when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, link))
 
 
 def site_of(*fields: Column) -> Column:
@@ -199,9 +210,5 @@ def typed(c: Column) -> Column:
     return F.struct(F.when(is_whole, whole).alias("as_long"), F.when(~is_whole, real).alias("as_double"), F.when(~is_whole & real.isNull(), c).alias("as_text"))
 
 
-def epoch_to_ts(c: Column) -> Column:
-    return F.timestamp_seconds(c)
-
-
 def iso8601(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

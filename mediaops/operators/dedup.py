@@ -6,6 +6,9 @@ compared inside blocks only."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +21,30 @@ def wellformed(h: str) -> Column:
 
 
 def exact_flags(df: DataFrame, h: str, order: list[str]) -> DataFrame:
-    """is_dup: an earlier row has the same hash. Hashes that are null or under 4 digits are never duplicates."""
-    rn = F.row_number().over(Window.partitionBy(h).orderBy(*order))
-    return df.withColumn("is_dup", wellformed(h) & (rn > 1))
+    """is_dup: an earlier row has the same hash. Hashes that are null or under 4 digits are never duplicates.
+
+    The earliest row of a hash is a minimum, so a hot hash is reduced before it
+    shuffles; rows that agree in ``order`` too are told apart by none of them."""
+    place = F.struct(*order)
+    first = df.filter(wellformed(h)).groupBy(F.col(h).alias("_h")).agg(F.min(place).alias("_first"))
+    met = df.join(first, F.col(h) == F.col("_h"), "left")
+    return met.withColumn("is_dup", F.coalesce(wellformed(h) & (place != F.col("_first")), F.lit(False))).drop("_h", "_first")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, tenant: str, h: str, key: str, most: int = 8, bits: int = 16) -> DataFrame:
-    """Pairs (left key, right key, distance) of equal tenant and prefix within ``most`` bits."""
+    """Pairs (left key, right key, distance) of equal tenant and prefix within ``most`` bits.
+
+    Give one row a hash (see ``representatives``): equal hashes would meet all with all."""
     a = left.filter(wellformed(h)).select(tenant, F.col(key).alias("left_key"), F.col(h).alias("_a"), phash_prefix(F.lower(h), bits).alias("_p"))
     b = right.filter(wellformed(h)).select(tenant, F.col(key).alias("right_key"), F.col(h).alias("_b"), phash_prefix(F.lower(h), bits).alias("_p"))
     return a.join(b, [tenant, "_p"]).withColumn("distance", hamming_hex(F.col("_a"), F.col("_b"))).filter(F.col("distance") <= most).select("left_key", "right_key", "distance")
 
 
+def representatives(df: DataFrame, tenant: str, h: str, key: str) -> DataFrame:
+    """The smallest key of each hash of a tenant; with ``df`` itself, the membership of all rows."""
+    return df.filter(wellformed(h)).groupBy(tenant, h).agg(F.min(key).alias(key))
+
+
 def near_flags(df: DataFrame, tenant: str, h: str, key: str, most: int = 8) -> DataFrame:
     """near_dup: a row with a smaller key in the same block is within ``most`` bits.
 
@@ -44,26 +59,35 @@ def near_flags(df: DataFrame, tenant: str, h: str, key: str, most: int = 8) -> D
 
 def greedy(df: DataFrame, tenant: str, h: str, ts: str, key: str, most: int = 8, size: int = 1000, ttl: int = 3600) -> DataFrame:
     """kept: no remembered hash of the block is within ``most`` bits. Only kept rows are remembered, the ``size``
-    latest of a block and for ``ttl`` seconds; the oldest is forgotten first. Blocks are independent."""
-    fields = f"{key} {dict(df.dtypes)[key]}, {tenant} {dict(df.dtypes)[tenant]}, {h} string, kept boolean"
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, key])
-        memory: list[tuple[float, int]] = []
-        kept = []
-        for at, x in zip(pdf[ts], pdf[h], strict=True):
-            if x is None or len(x) < 4:
-                kept.append(True)
-                continue
-            now, value = pd.Timestamp(at).timestamp(), int(x, 16)
-            memory = [m for m in memory if now - m[0] <= ttl]
-            new = all((m[1] ^ value).bit_count() > most for m in memory)
-            kept.append(new)
-            if new:
-                memory = [*memory, (now, value)][-size:]
-        return pdf.assign(kept=kept)[[key, tenant, h, "kept"]]
-
-    return df.withColumn("_p", F.coalesce(phash_prefix(F.lower(h)), F.lit(""))).groupBy(tenant, "_p").applyInPandas(block, fields)
+    latest of a block and for ``ttl`` seconds; the oldest is forgotten first. Blocks are independent.
+
+    Rows pass in order, batch by batch; a task holds a block's memory, never its rows."""
+    kinds = dict(df.dtypes)
+    fields = f"{key} {kinds[key]}, {tenant} {kinds[tenant]}, {h} string, kept boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, memory = None, deque()
+        for pdf in batches:
+            kept = []
+            for name, p, now, x in zip(pdf[tenant], pdf["_p"], pdf["_at"], pdf[h], strict=True):
+                here = (None if pd.isna(name) else name, p)
+                if here != block:
+                    block, memory = here, deque(maxlen=size)
+                if x is None or len(x) < 4:
+                    kept.append(True)
+                    continue
+                while memory and now - memory[0][0] > ttl:
+                    memory.popleft()
+                value = int(x, 16)
+                new = all((m ^ value).bit_count() > most for _, m in memory)
+                kept.append(new)
+                if new:
+                    memory.append((now, value))
+            yield pdf.assign(kept=kept)[[key, tenant, h, "kept"]]
+
+    prefix = F.coalesce(phash_prefix(F.lower(h)), F.lit(""))
+    rows = df.select(key, tenant, h, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), prefix.alias("_p")).withColumn("_at", F.col("_us") / 1e6)
+    return rows.repartition(tenant, "_p").sortWithinPartitions(tenant, "_p", "_us", key).mapInPandas(run, fields)
 
 
 def outcomes(df: DataFrame, tenant: str, h: str, key: str, good: Column, most: int = 8) -> DataFrame:

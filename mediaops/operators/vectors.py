@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -10,22 +15,82 @@ from pyspark.sql import functions as F
 from ..functions.scalars import dot, has_dimension, l2_norm, l2_normalize, uuid_of
 
 
+BLOCK = 2048  # probes, and corpus rows, that meet in one task at a time
+
+
+def _meet(probes: DataFrame, corpus: DataFrame, scope: str | None, extra: list[str], pick: Callable[[np.ndarray, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Blocks of probes against blocks of corpus rows, inside each scope.
+
+    A block's products are one matrix product, of which ``pick`` keeps what is wanted.
+    Scopes are cut by their own sizes, so a hot one is spread over many tasks, and
+    every probe meets every corpus row of its scope exactly once. Rows without a
+    vector, or with nulls in it, take no part."""
+    keys = [scope] if scope else []
+    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    a, b = (d.filter(whole).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), *keys, *extra) for d in (probes, corpus))
+    if scope:
+        a, b = a.filter(F.col(scope).isNotNull()), b.filter(F.col(scope).isNotNull())
+
+    def blocks(d: DataFrame, name: str) -> DataFrame:
+        return d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name)).filter(F.col(name) > 0)
+
+    sizes = blocks(a, "_na").join(blocks(b, "_nb"), keys) if keys else None
+    if not keys:
+        na, nb = (int(blocks(d, "n").agg(F.max("n")).first()[0] or 1) for d in (a, b))
+        a, b = (d.withColumn("_na", F.lit(na)).withColumn("_nb", F.lit(nb)) for d in (a, b))
+    else:
+        a, b = a.join(sizes, keys), b.join(sizes, keys)
+    a = a.withColumn("_a", F.pmod(F.xxhash64("id"), "_na").cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_na", "_nb")
+    b = b.withColumn("_b", F.pmod(F.xxhash64("id"), "_nb").cast("int")).withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_na") - 1))).drop("_na", "_nb")
+
+    def products(rows: pa.Table) -> pa.Table:
+        left, right = rows.filter(rows["_probe"]), rows.filter(pc.invert(rows["_probe"]))
+        q, c = (np.array(t["v"].to_pylist(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+        if not len(q) or not len(c):
+            q, c = np.zeros((len(q), 1)), np.zeros((len(c), 1))
+        return pick(q @ c.T, left, right)
+
+    both = a.withColumn("_probe", F.lit(True)).unionByName(b.withColumn("_probe", F.lit(False)))
+    return both.groupBy(*keys, "_a", "_b").applyInArrow(products, schema)
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, and no negative zero, as SQL rounds."""
+    return np.copysign(np.floor(np.abs(x) * 10**digits + 0.5) / 10**digits, x) + 0.0
+
+
 def exact_top_k(probes: DataFrame, corpus: DataFrame, scope: str, k: int, threshold: float, digits: int = 4) -> DataFrame:
     """probe_id, id, score, rank: each probe's k best of its scope with a score of ``threshold`` at least.
 
-    Inputs have id, v and the scope. The scope is the join's equality; the rank keeps
-    at most k rows of a probe in every partition before it shuffles."""
-    a = probes.select(F.col("id").alias("probe_id"), F.col("v").alias("_p"), scope)
-    met = a.join(corpus.select("id", "v", scope), scope).filter("id <> probe_id").withColumn("score", F.round(dot(F.col("_p"), F.col("v")), digits)).filter(F.col("score") >= threshold)
+    Inputs have id, v and the scope. Each pair of blocks hands on at most k rows of a
+    probe; ties go to the smaller id."""
+    kind = dict(corpus.dtypes)["id"]
+
+    def pick(scores: np.ndarray, left: pa.Table, right: pa.Table) -> pa.Table:
+        scores, ids, own = _rounded(scores, digits), right["id"].to_numpy(), left["id"].to_numpy()
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k] if scores.size else np.empty((len(own), 0), np.int64)
+        rows = np.repeat(np.arange(len(own)), best.shape[1])
+        got = scores[rows, best.ravel()]
+        keep = (got >= threshold) & np.isfinite(got)
+        return pa.table({"probe_id": left["id"].take(pa.array(rows[keep])), "id": right["id"].take(pa.array(best.ravel()[keep])), "score": pa.array(got[keep])})
+
+    met = _meet(probes, corpus, scope, [], pick, f"probe_id {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("probe_id", "id", "score", "rank")
 
 
-def labelled_pairs(probes: DataFrame, corpus: DataFrame, digits: int = 4) -> DataFrame:
-    """a, b, same, score: a stated set of probes against all rows; inputs have id, v, label."""
-    a = probes.select(F.col("id").alias("a"), F.col("v").alias("_a"), F.col("label").alias("_la"))
-    b = corpus.select(F.col("id").alias("b"), F.col("v").alias("_b"), F.col("label").alias("_lb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("_la") == F.col("_lb")).alias("same"), F.round(dot(F.col("_a"), F.col("_b")), digits).alias("score"))
+def labelled_pairs(probes: DataFrame, corpus: DataFrame, digits: int = 4, threshold: float = float("-inf")) -> DataFrame:
+    """a, b, same, score: a stated set of probes against all other rows, with a score of ``threshold`` at least; inputs have id, v, label."""
+    kind = dict(corpus.dtypes)["id"]
+
+    def pick(scores: np.ndarray, left: pa.Table, right: pa.Table) -> pa.Table:
+        scores, ids, own = _rounded(scores, digits), right["id"].to_numpy(), left["id"].to_numpy()
+        x, y = np.nonzero((scores >= threshold) & (own[:, None] != ids[None, :]))
+        a, b = left["label"].take(pa.array(x)), right["label"].take(pa.array(y))
+        return pa.table({"a": left["id"].take(pa.array(x)), "b": right["id"].take(pa.array(y)), "same": pc.equal(a, b), "score": pa.array(scores[x, y])})
+
+    return _meet(probes, corpus, None, ["label"], pick, f"a {kind}, b {kind}, same boolean, score double")
 
 
 def upsertable(df: DataFrame, key: str, vector: str, dim: int, least: float = 1e-6) -> DataFrame:

@@ -245,10 +245,20 @@ def f4(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.phash_prefix(F.md5(F.col("text").cast("binary"))).alias("p"))
 
 
-@query("j8_blocked_hamming", _H + "SELECT a.id AS left_key, b.id AS right_key, bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT))::INT AS distance FROM x a JOIN x b ON a.lang = b.lang AND substr(a.h, 1, 4) = substr(b.h, 1, 4) WHERE b.id < a.id AND bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) <= 8")
+_ONE = _H + ", r AS (SELECT lang, h, min(id) AS id FROM x GROUP BY lang, h)\n"
+
+
+@query("j8_blocked_hamming", _ONE + "SELECT a.id AS left_key, b.id AS right_key, bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT))::INT AS distance FROM r a JOIN r b ON a.lang = b.lang AND substr(a.h, 1, 4) = substr(b.h, 1, 4) WHERE b.id < a.id AND bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) <= 8")
 def j8(t: Tables) -> DataFrame:
+    """Pairs of different hashes, by the smallest row of each; j8_members tells whose hash that is."""
+    one = D.representatives(_hashes(t), "lang", "h", "id")
+    return D.near_pairs(one, one, "lang", "h", "id").filter("right_key < left_key")
+
+
+@query("j8_members", _ONE + "SELECT x.id, r.id AS representative FROM x JOIN r ON r.lang = x.lang AND r.h = x.h")
+def j8_members(t: Tables) -> DataFrame:
     x = _hashes(t)
-    return D.near_pairs(x, x, "lang", "h", "id").filter("right_key < left_key")
+    return x.join(D.representatives(x, "lang", "h", "id").withColumnRenamed("id", "representative"), ["lang", "h"]).select("id", "representative")
 
 
 @query("d1_exact_flags", _H + "SELECT id, row_number() OVER (PARTITION BY h ORDER BY id) > 1 AS is_dup FROM x")
@@ -289,7 +299,7 @@ def _points(t: Tables) -> DataFrame:
 
 
 _DOT = "(round(list_dot_product({a}.embedding::DOUBLE[], {b}.embedding::DOUBLE[]), 4) + 0)"
-_PAIRS = f"WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, {_DOT.format(a='a', b='b')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id < b.vec_id)\n"
+_PAIRS = f"WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, {_DOT.format(a='a', b='b')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)\n"
 _STATS = _PAIRS + ", s AS (SELECT same, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS min, max(score) AS max FROM p GROUP BY same)\n"
 
 
@@ -336,7 +346,8 @@ def j10(t: Tables) -> DataFrame:
 
 @query("v3_pairs_over_threshold", _PAIRS + "SELECT a, b, score FROM p WHERE score >= 0.25")
 def v3(t: Tables) -> DataFrame:
-    return j10(t).filter("score >= 0.25").select("a", "b", "score")
+    p = _points(t)
+    return V.labelled_pairs(p.filter("id % 100 = 0"), p, threshold=0.25).select("a", "b", "score")
 
 
 @query("a16_score_stats", _STATS + "SELECT same, n, round(mean, 4) AS mean, round(std, 4) AS std, min, max FROM s")
@@ -366,12 +377,12 @@ def v5(t: Tables) -> DataFrame:
     return c.select("label", "members", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.array_max("centroid"), 4).alias("largest"))
 
 
-_SIM = _CENTRE + ", s AS (SELECT e.vec_id AS id, e.label, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n), 4) AS similarity FROM embeddings e JOIN c ON c.label = e.label JOIN n ON n.label = e.label WHERE e.vec_id % 50 = 0 GROUP BY 1, 2)\n"
+_SIM = _CENTRE + ", s AS (SELECT e.vec_id AS id, e.label, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n), 4) AS similarity FROM embeddings e JOIN c ON c.label = e.label JOIN n ON n.label = e.label GROUP BY 1, 2)\n"
 
 
 def _verified(t: Tables) -> DataFrame:
     p = _points(t)
-    return V.verify(p.filter("id % 50 = 0"), A.centroids(p, "label", "v"), "label", 0.15)
+    return V.verify(p, A.centroids(p, "label", "v"), "label", 0.15)
 
 
 @query("v6_verify", _SIM + "SELECT id, similarity, similarity >= 0.15 AS verified, CASE WHEN similarity < 0.15 THEN 'low_similarity' END AS reason FROM s")
@@ -386,10 +397,11 @@ def v6_all(t: Tables) -> DataFrame:
     return V.verify(p, A.centroids(p, "label", "v"), "label", 0.15).select("id", "similarity", "verified", "reason")
 
 
-@query("v7_gated_search", _SIM + f""", r AS (SELECT s.id AS probe_id, c2.vec_id AS id, {_DOT.format(a='p', b='c2')} AS score FROM s JOIN embeddings p ON p.vec_id = s.id JOIN embeddings c2 ON c2.label = s.label AND c2.vec_id <> s.id WHERE s.similarity >= 0.15)
+@query("v7_gated_search", _SIM + f""", r AS (SELECT s.id AS probe_id, c2.vec_id AS id, {_DOT.format(a='p', b='c2')} AS score FROM s JOIN embeddings p ON p.vec_id = s.id JOIN embeddings c2 ON c2.label = s.label AND c2.vec_id <> s.id WHERE s.similarity >= 0.15 AND s.id % 100 = 0)
 SELECT probe_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, id)::INT AS rank FROM r WHERE score >= 0.1) WHERE rank <= 5""")
 def v7(t: Tables) -> DataFrame:
-    return V.gated_search(_verified(t), _points(t), "label", 5, 0.1)
+    """Queries: the rows with an id divisible by 100, if they are verified."""
+    return V.gated_search(_verified(t).filter("id % 100 = 0"), _points(t), "label", 5, 0.1)
 
 
 @query("t7_seeded_sample")
@@ -403,10 +415,12 @@ def f21(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.stem_group(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jpg"))).alias("g"))
 
 
-@query("f22_derived_keys", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'crops/' || label || '/' || md5(vec_id::VARCHAR) || '_face_' || vec_id || '.jpg' END AS crop FROM embeddings")
+@query("f22_derived_keys", """SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label || '/' || md5(vec_id::VARCHAR) || '_face_' || vec_id || '.jpg' END AS crop,
+CASE WHEN vec_id % 2 = 0 THEN label || '/' || md5(vec_id::VARCHAR) || '_face_' || vec_id || '_thumb.jpg' END AS thumb FROM embeddings""")
 def f22(t: Tables) -> DataFrame:
-    key = F.concat(F.md5(F.col("vec_id").cast("string").cast("binary")), F.when(F.col("vec_id") % 2 == 0, ":face_").otherwise("face"), F.col("vec_id").cast("string"))
-    return t.embeddings.select("vec_id", S.derived_keys(key, F.col("label"))["crops"].alias("crop"))
+    key = F.concat(F.md5(F.col("vec_id").cast("string").cast("binary")), F.when(F.col("vec_id") % 2 == 0, ":face_").otherwise(":body_"), F.col("vec_id").cast("string"))
+    keys = S.derived_keys(key, F.col("label"))
+    return t.embeddings.select("vec_id", keys["crop"].alias("crop"), keys["thumb"].alias("thumb"))
 
 
 @query("f26_shorten", "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS t FROM documents")

@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import graph as G
 from ..operators import html as H
 from ..operators import windows as W
+from ..sources import readers
 from ..sources.shared import shared_path
 from ..streaming import jobs as T
 from .registry import Tables, query
@@ -37,7 +38,7 @@ def p5(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.when(c.isin("UNSAFE_SCHEME", "VALIDATION_ERROR"), c).otherwise("http").alias("kind"))
 
 
-@query("p6_content_class")
+@query("p6_content_class", "SELECT page_id, CASE WHEN page_id % 2 <> 0 THEN 'NOT_IMAGE_CONTENT' WHEN length(html) > 8388608 THEN 'CONTENT_TOO_LARGE' ELSE 'SAFE' END AS reason FROM pages")
 def p6(t: Tables) -> DataFrame:
     """Each page as if served as HTML, with its length."""
     return t.pages.select("page_id", P.content_class(F.when(F.col("page_id") % 2 == 0, "image/png").otherwise("text/html"), F.length("html")).alias("reason"))
@@ -174,17 +175,101 @@ def t8(t: Tables) -> DataFrame:
     return H.category_links(t.pages)
 
 
-@query("t4_listing_links")
+@query("t4_listing_links", ANCHORS.replace("a AS (SELECT *,", "m AS (SELECT page_id, array_to_string(regexp_extract_all(html, '<(?:nav|ul|div)[^>]*class\\s*=\\s*[\"''][^\"'']*(?:nav|menu)[^\"'']*[\"''].*?</(?:nav|ul|div)>|<nav.*?</nav>', 0, 'is'), ' ') AS menus FROM pages), a AS (SELECT *,").replace(" AS pos, regexp_extract(tag,", " AS pos, tag, regexp_extract(tag,").replace("SELECT page_id, url, pos, regexp_extract(tag", "SELECT page_id, url, pos, tag, regexp_extract(tag") + f""", s AS (SELECT a.page_id, target,
+CASE WHEN regexp_matches(text, '^(the|of|to|and)', 'i') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(href, '/(t|o|a)', 'i') THEN 2 ELSE 0 END + CASE WHEN contains(menus, tag) THEN 1 ELSE 0 END - CASE WHEN regexp_matches(text || ' ' || href, 'login|register|account', 'i') THEN 3 ELSE 0 END AS score
+FROM a JOIN m USING (page_id) WHERE {HOST.format(u='target')} = {HOST.format(u='url')})
+SELECT page_id, rank, target, score FROM (SELECT page_id, target, max(score)::INT AS score, row_number() OVER (PARTITION BY page_id ORDER BY max(score) DESC, target)::INT AS rank FROM s WHERE score > 0 GROUP BY 1, 2) WHERE rank <= 5""")
 def t4(t: Tables) -> DataFrame:
     return H.listing_links(t.pages, "^(the|of|to|and)", "/(t|o|a)", "nav|menu", "login|register|account").select("page_id", "rank", "target", "score")
 
 
+# ---- media of tags that are made of the pages' own addresses, as the pages hold no images
+
+_SET = "u || '/a.jpg 320w, ' || u || '/b.jpg ' || (320 + 160 * (page_id % 5)) || 'w, ' || u || '/c.jpg 640w'"
+
+
+def _addresses(t: Tables) -> DataFrame:
+    u = S.normalize_url(F.col("url"))
+    n = 320 + 160 * (F.col("page_id") % 5)
+    return t.pages.filter("url is not null").select("page_id", u.alias("u"), F.concat(u, F.lit("/a.jpg 320w, "), u, F.lit("/b.jpg "), n, F.lit("w, "), u, F.lit("/c.jpg 640w")).alias("srcset"))
+
+
+_ADDRESSES = f"WITH p AS (SELECT *, {_SET} AS srcset FROM (SELECT page_id, regexp_replace(url, '[;?#].*$', '') AS u FROM pages WHERE url IS NOT NULL)), e AS (SELECT page_id, regexp_extract(x, '^(\\S+)', 1) AS link, regexp_extract(x, ' ([0-9]+)w$', 1)::INT AS w, pos FROM (SELECT page_id, unnest(string_split(srcset, ', ')) AS x, unnest([1, 2, 3]) AS pos FROM p))\n"
+
+
+@query("t5_widest", _ADDRESSES + "SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY w DESC, pos) AS rn FROM e) WHERE rn = 1")
+def t5(t: Tables) -> DataFrame:
+    return _addresses(t).select("page_id", H.widest(F.col("srcset")).alias("link"))
+
+
+@query("t6_nearest_width", _ADDRESSES + "SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY abs(w - 640), pos) AS rn FROM e) WHERE rn = 1")
+def t6(t: Tables) -> DataFrame:
+    return _addresses(t).select("page_id", H.nearest_width(F.col("srcset")).alias("link"))
+
+
+@query("f13_background_urls", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN u || '/0.png' WHEN 1 THEN u || '/1.png' WHEN 2 THEN u || '/2.png' END AS link FROM (SELECT page_id, regexp_replace(url, '[;?#].*$', '') AS u FROM pages WHERE url IS NOT NULL)""")
+def f13(t: Tables) -> DataFrame:
+    u, n = F.col("u"), F.col("page_id") % 4
+    style = (
+        F.when(n == 0, F.concat(F.lit("color: red; background-image: url('"), u, F.lit("/0.png')"))).when(n == 1, F.concat(F.lit('background: #fff url("'), u, F.lit('/1.png") no-repeat')))
+        .when(n == 2, F.concat(F.lit("background-image:url("), u, F.lit("/2.png);"))).otherwise(F.lit("background: url(data:image/png;base64,AA)"))
+    )
+    return _addresses(t).select("page_id", S.background_url(style).alias("link"))
+
+
+@query("f17_image_sources", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN u || '/src.jpg' WHEN 1 THEN u || '/lazy.jpg' WHEN 2 THEN u || '/tn.jpg' WHEN 3 THEN u || '/wide.jpg' ELSE u || '/bg.jpg' END AS link
+FROM (SELECT page_id, regexp_replace(url, '[;?#].*$', '') AS u FROM pages WHERE url IS NOT NULL)""")
+def f17(t: Tables) -> DataFrame:
+    u, n = F.col("u"), F.col("page_id") % 5
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    tag = (
+        F.when(n == 0, text('<img data-src="', u, '/late.jpg" src="', u, '/src.jpg">')).when(n == 1, text('<img src="data:image/gif;base64,R0" data-lazy-src="', u, '/lazy.jpg">'))
+        .when(n == 2, text('<img alt="x" data-tn="', u, '/tn.jpg" srcset="', u, '/a.jpg 640w">')).when(n == 3, text('<img srcset="', u, "/a.jpg 1x, ", u, '/wide.jpg 2x">'))
+        .otherwise(text('<img style="background-image: url(', u, '/bg.jpg)">'))
+    )
+    return _addresses(t).select("page_id", H.image_source(tag).alias("link"))
+
+
+@query("f14_jsonld_media", """SELECT page_id, array_to_string([u || '/t.jpg', u || '/i.jpg', u || '/c1.jpg', u || '/c2.jpg'], ' ') AS links FROM (SELECT page_id, regexp_replace(url, '[;?#].*$', '') AS u FROM pages WHERE url IS NOT NULL)""")
+def f14(t: Tables) -> DataFrame:
+    """A list of three items, in each of the forms; a broken block beside it."""
+    one = F.struct(F.concat("u", F.lit("/t.jpg")).alias("thumbnailUrl"))
+    body = F.concat_ws(",", F.to_json(one), F.to_json(F.struct(F.struct(F.concat("u", F.lit("/i.jpg")).alias("url")).alias("image"))), F.to_json(F.struct(F.array(F.concat("u", F.lit("/c1.jpg")), F.concat("u", F.lit("/c2.jpg")), F.lit("data:x")).alias("contentUrl"))))
+    html = F.concat(F.lit('<script type="application/ld+json">['), body, F.lit(']</script><script type="application/ld+json">{"image": </script>'))
+    return _addresses(t).select("page_id", F.array_join(H.jsonld_urls(html), " ").alias("links"))
+
+
+@query("f15_json_media", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE array_to_string([u || '/a.jpg', u || '/b.PNG?x=1'], ' ') END AS links FROM (SELECT page_id, regexp_replace(url, '[;?#].*$', '') AS u FROM pages WHERE url IS NOT NULL)""")
+def f15(t: Tables) -> DataFrame:
+    deep = F.to_json(F.struct(F.struct(F.array(F.struct(F.concat("u", F.lit("/a.jpg")).alias("x.jpg"), F.lit("no image").alias("t"))).alias("list"), F.concat("u", F.lit("/b.PNG?x=1")).alias("deep")).alias("a"), F.concat("u", F.lit("/a.jpg")).alias("again")))
+    return _addresses(t).select("page_id", F.array_join(H.json_media(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('{"open": '), deep)).otherwise(deep)), " ").alias("links"))
+
+
+@query("s3_objects", "SELECT name FROM (VALUES ('documents'), ('benchmark'), ('conversations'), ('customer'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) AS v(name)")
+def s3(t: Tables) -> DataFrame:
+    """Stored objects of the folder by extension, documents first; of a table in many files, its name once."""
+    found = readers.objects(t.spark, t.folder, "*.parquet", first="documents")
+    return found.select(F.regexp_extract("path", r"/([a-z]+)\.parquet(?:/[^/]*)?$", 1).alias("name")).filter("name <> ''").distinct()
+
+
+@query("s4_lines", "SELECT trim(url) AS url FROM pages WHERE regexp_matches(url, '^https?://', 'i') AND page_id % 4 <> 0")
+def s4(t: Tables) -> DataFrame:
+    """A list made of the pages' addresses, with comments, blank lines and others than http."""
+    n, path = F.col("page_id") % 4, shared_path(t.spark)
+    line = F.when(n == 0, F.concat(F.lit("# "), "url")).when(n == 1, F.concat(F.lit("  "), "url", F.lit(" \n\nftp://x.example.com/"))).otherwise(F.col("url"))
+    t.pages.filter("url is not null").select(line.alias("value")).write.text(path)
+    return readers.lines(t.spark, path)
+
+
 @query("g1_link_edges", ANCHORS + f"SELECT DISTINCT regexp_replace(url, '#.*$', '') AS src, regexp_replace(target, '#.*$', '') AS dst FROM a WHERE {HOST.format(u='target')} = {HOST.format(u='url')} AND NOT regexp_matches(lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)), '/login|/register|/logout|/signup|/signin|/auth')")
 def g1(t: Tables) -> DataFrame:
     return H.link_edges(t.pages)
 
 
-@query("g2_walk")
+@query("g2_walk", "WITH RECURSIVE" + ANCHORS.removeprefix("WITH") + f""", e AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS src, regexp_replace(target, '#.*$', '') AS dst FROM a WHERE {HOST.format(u='target')} = {HOST.format(u='url')} AND NOT regexp_matches(lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)), '/login|/register|/logout|/signup|/signin|/auth')),
+h AS (SELECT DISTINCT regexp_extract(src, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) AS src, src AS dst FROM e), b AS (SELECT * FROM e UNION SELECT * FROM h),
+w AS (SELECT DISTINCT src AS node, 0 AS level FROM h UNION SELECT b.dst, w.level + 1 FROM w JOIN b ON b.src = w.node WHERE w.level < 2)
+SELECT node, min(level) AS level FROM w GROUP BY node""")
 def g2(t: Tables) -> DataFrame:
     """From each host's root page over its links, two levels."""
     root = F.regexp_extract("src", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
@@ -207,7 +292,7 @@ def g4(t: Tables) -> DataFrame:
 
 
 def _events(t: Tables) -> DataFrame:
-    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    return readers.stream(t.spark, f"{t.folder}/events.parquet*", t.events.schema)
 
 
 def _drained(t: Tables, df: DataFrame) -> DataFrame:
@@ -230,10 +315,10 @@ def st2(t: Tables) -> DataFrame:
     return _drained(t, _events(t).select("event_id", "user_id"))
 
 
-@query("st3_ttl_dedup", "SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
+@query("st3_ttl_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def st3(t: Tables) -> DataFrame:
     """A time to live longer than the table lasts: one row a key, whatever the order."""
-    return _drained(t, T.ttl_dedup(_events(t), ["user_id", "event_type"], ttl="3650 days").select("user_id", "event_type")).agg(F.count(F.lit(1)).alias("n"))
+    return _drained(t, T.ttl_dedup(_events(t), ["user_id", "event_type"], ttl="3650 days").select("user_id", "event_type"))
 
 
 @query("st4_idle_sessions", """SELECT user_id, count(*) AS n, min(ts)::VARCHAR AS first_seen FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
@@ -269,6 +354,21 @@ def st8(t: Tables) -> DataFrame:
     return _stateful(t, T.circuit_breaker(5, 0.25), "before string, after string")
 
 
+@query("s5_bounded_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def s5(t: Tables) -> DataFrame:
+    """Drained in batches of one file, counted over all."""
+    return _drained(t, _events(t).select("event_type")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LATE = """SELECT *, coalesce(ts < max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR, false) AS late FROM events"""
+
+
+@query("st12_late", f"SELECT event_id, late FROM ({_LATE})")
+def st12(t: Tables) -> DataFrame:
+    """Rows that come over an hour behind what their user has sent before, in the order of arrival (event_id)."""
+    return T.late_flags(t.events, "user_id", "ts", "event_id", "1 hour").select("event_id", "late")
+
+
 @query("st9_live_counters", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
 def st9(t: Tables) -> DataFrame:
     """Counters in update mode; the last batch that changed a counter has its value."""
@@ -279,9 +379,9 @@ def st9(t: Tables) -> DataFrame:
     return W.top_n(seen, ["user_id"], [F.col("batch").desc()], 1).select("user_id", "n")
 
 
-@query("st10_idempotency", "SELECT count(*) AS n FROM (SELECT DISTINCT props FROM events)")
+@query("st10_idempotency", "SELECT DISTINCT props FROM events")
 def st10(t: Tables) -> DataFrame:
-    return _drained(t, T.ttl_dedup(_events(t), ["props"], ttl="3650 days").select("props")).agg(F.count(F.lit(1)).alias("n"))
+    return _drained(t, T.ttl_dedup(_events(t), ["props"], ttl="3650 days").select("props"))
 
 
 @query("st11_lifecycle", "SELECT user_id, max_by(event_type, (ts, event_id)) AS status, min(ts)::VARCHAR AS created, max(ts)::VARCHAR AS updated, round(sum(value), 4) AS total FROM events GROUP BY 1")

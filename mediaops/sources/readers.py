@@ -1,4 +1,4 @@
-"""Sources: tables, JSON payloads, object listings, line lists, streams."""
+"""Sources: JSON payloads, object listings, line lists, streams."""
 
 from __future__ import annotations
 
@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, path: str, columns: list[str] | None = None, order: list | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    df = df.select(*columns) if columns else df
-    return df.orderBy(*order) if order else df
-
-
 def json_fields(df: DataFrame, col: str, fields: dict[str, str]) -> DataFrame:
     """Fields of a JSON column as typed columns; null where the text is broken or has none."""
     v = F.try_parse_json(col)

@@ -63,6 +63,12 @@ def limit_counts(stream: DataFrame, key: str, ts: str = "ts", width: str = "1 mi
     return with_event_time(stream, ts).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key).count().select(F.col("w.start").alias("start"), key, F.col("count").alias("n"))
 
 
+def late_flags(df: DataFrame, key: str, ts: str, order: str, delay: str) -> DataFrame:
+    """late: behind a key's watermark, its latest time so far less ``delay``, when it arrives in ``order``."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("late", F.coalesce(F.col(ts) < F.max(ts).over(before) - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+
+
 def live_counters(stream: DataFrame, key: str, *sums: Column) -> DataFrame:
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *sums)
 

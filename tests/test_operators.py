@@ -122,6 +122,27 @@ def test_lsh_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_blocks_meet_once(spark):
+    """Top-k and pairs over several blocks of both sides, with a hot scope, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v, g = rng.standard_normal((150, 8)), [1 if i % 3 else i % 5 + 2 for i in range(150)]
+    df = spark.createDataFrame([(i, v[i].tolist(), g[i]) for i in range(150)] + [(900, None, 1), (901, [1.0, None] + [0.0] * 6, 1), (902, [1.0] * 8, None)], "id int, v array<double>, label int")
+    V.BLOCK = 16
+    top = {(r.probe_id, r.rank): (r.id, r.score) for r in V.exact_top_k(df.filter("id % 2 = 0"), df, "label", 3, 0.5).collect()}
+    pairs = {(r.a, r.b): (r.same, r.score) for r in V.labelled_pairs(df.filter("id % 10 = 0 and id < 900"), df.filter("id < 900")).collect()}
+    V.BLOCK = 2048
+    score = np.round(v @ v.T, 4)
+    want = {}
+    for i in range(0, 150, 2):
+        best = sorted((-score[i, j], j) for j in range(150) if j != i and g[j] == g[i] and score[i, j] >= 0.5)[:3]
+        want |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(best)}
+    assert {k: x[0] for k, x in top.items()} == {k: x[0] for k, x in want.items()} and all(abs(top[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert set(pairs) == {(i, j) for i in range(0, 150, 10) for j in range(150) if i != j}
+    assert all(same == (g[i] == g[j]) and abs(s - score[i, j]) < 1.1e-4 for (i, j), (same, s) in pairs.items())
+
+
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "e"), ("b", "e"), ("e", "f"), ("x", "y")]
 
 
@@ -149,6 +170,28 @@ def test_media_references(spark):
     assert {r.method for r in H.first_rule(H.media_references(pages(spark))).collect()} == {"img"}
 
 
+def test_json_forms(spark):
+    block = lambda x: f'<script type="application/ld+json">{x}</script>'
+    rows = [
+        (block('[{"image": "/1.jpg"}, {"thumbnailUrl": [{"url": "//c/2.jpg"}, "3.jpg", {"x": 1}]}, 7, {"contentUrl": {"url": "/4.jpg"}}]'), ["/1.jpg", "//c/2.jpg", "3.jpg", "/4.jpg"]),
+        (block('{"image": "data:x", "contentUrl": ""}') + block("{broken") + block('{"image": "/5.jpg"}'), ["/5.jpg"]), ("", []),
+    ]
+    for r in spark.createDataFrame(rows, "h string, want array<string>").select("want", H.jsonld_urls(F.col("h")).alias("got")).collect():
+        assert r.got == r.want
+    deep = ['{"a.png": [{"b": "x.png", "c": "t"}, "y.JPG?q=1"], "e": "a\\"b.gif", "f": "http:\\/\\/h\\/z.webp", "again": "x.png"}', '"one.bmp"', "broken", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in deep], "t string").select(H.json_media(F.col("t"))).collect()]
+    assert got == [["x.png", "y.JPG?q=1", 'a"b.gif', "http://h/z.webp"], ["one.bmp"], [], []]
+
+
+def test_durations_near_media(spark):
+    card = lambda t: f'<div class="row"><div class="card"><a class="go" href="/x"><span><img src="i.jpg"></span></a><p>{t}</p></div></div>'
+    html = "<html><body><main>" + card("12:34 long") + card("none") + "<section><img src='j.jpg'></section></main><i>1:2345</i></body></html>"
+    nodes = H.node_signatures(spark.createDataFrame([(1, "https://e.com/", html)], "page_id long, url string, html string"), "img").collect()
+    assert [r.near_duration for r in nodes] == [True, False, True] and [r.video_above for r in nodes] == [True, True, False]
+    e = H.selector_evidence(H.node_signatures(spark.createDataFrame([(i, "https://e.com/", html) for i in range(3)], "page_id long, url string, html string"), "img")).filter("selector like '%span img'").first()
+    assert (e.repeats, e.duration, e.video_href, e.samples) == (6, 3, 6, ["i.jpg"]) and e.score == pytest.approx((1 + 2 + 2) / 8)
+
+
 def test_srcset(spark):
     df = spark.createDataFrame([("a.jpg 320w, b.jpg 640w, c.jpg 640w",), ("a.jpg 1x, b.jpg 3x",), ("a.jpg",), (None,)], "s string")
     assert [r[0] for r in df.select(H.widest(F.col("s"))).collect()] == ["b.jpg", "b.jpg", "a.jpg", None]
