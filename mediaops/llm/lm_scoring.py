@@ -11,19 +11,22 @@ target document doesn't read like the target for having been one.
 Counts come from every document and grow with the corpus, so no task and no driver
 holds them all. Documents are dealt into parts once; each part sends its distinct
 n-grams with its own counts to buckets, which add them up and send the sums back in
-the same order. N-grams go by 64-bit hashes, packed by part and bucket.
+the same order. N-grams go by 56-bit hashes, packed by part and bucket.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, cut, text_of
 
 #: Weight of the shorter context in tokens, the same for both models.
 BACKOFF = 4.0
@@ -40,6 +43,22 @@ def _unpack(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def _pack_steps(x: np.ndarray) -> bytes:
+    """Ascending numbers below 2^56 as the bytes of their differences, lowest bytes first."""
+    return _pack(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :7].T))
+
+
+def _unpack_steps(blob: bytes) -> np.ndarray:
+    planes = _unpack(blob, np.uint8).reshape(7, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :7] = planes.T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A hash of two hashes in order."""
     out = v * _M1 + (w ^ (w >> np.uint64(31))) * _M2
@@ -52,10 +71,13 @@ class Grams:
     """The n-grams of a part: distinct hashes by bucket, and where each token's lie among them."""
 
     def __init__(self, table: pa.Table, buckets: int):
+        targets = set(table.filter(pc.is_null(table["text"]))["doc_id"].to_pylist())  # labels come as rows without a text
+        table = table.filter(pc.is_valid(table["text"]))
         texts = [t.as_buffer().to_pybytes() for t in table["text"].cast(pa.large_binary()).combine_chunks()]
         ids = table["doc_id"].to_pylist()
         self.rows = np.array(sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i])), np.int64)  # one order each time
-        self.is_target = table["is_target"].to_numpy(zero_copy_only=False).astype(bool)[self.rows] if len(texts) else np.empty(0, bool)
+        self.doc_id = table["doc_id"].take(pa.array(self.rows))
+        self.is_target = np.array([ids[i] in targets for i in self.rows.tolist()], bool)
         number: dict[bytes, int] = {_MARK: 0}
         tokens, sizes = [], []
         for i in self.rows.tolist():
@@ -68,14 +90,10 @@ class Grams:
         self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
         w = np.array(tokens, np.int64)
         v = np.r_[0, w[:-1]] if len(w) else w  # before a text's first word stands the mark at the end of the text before
-        h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in number), np.uint64, len(number))
-        every = np.concatenate([h[w], _pair(h[v], h[w])]) if len(w) else np.empty(0, np.uint64)
-        hashes, at = np.unique(every, return_inverse=True)
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.hashes, self.bucket, at = hashes[order], bucket[order], place[at]
+        h = np.fromiter(map(_word_hash, number), np.uint64, len(number))
+        every = np.concatenate([h[w], _pair(h[v], h[w])]) >> np.uint64(8) if len(w) else np.empty(0, np.uint64)
+        self.hashes, at = np.unique(every, return_inverse=True)
+        self.bucket = (self.hashes // np.uint64(-(-(1 << 56) // buckets))).astype(np.int64)  # ranges of hashes
         self.unigram, self.bigram = at[: len(w)], at[len(w) :]
         # a context is the word of the token before, or the mark: its last token's
         self.context = np.r_[self._mark(), self.unigram[:-1]] if len(w) else self.unigram
@@ -116,6 +134,15 @@ def _losses(grams: Grams, counts: np.ndarray, total: int, words: int, has_own: n
     return -np.log((left(grams.bigram) + BACKOFF * p1) / (context + BACKOFF))
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the different words of each batch."""
+    for b in batches:
+        seen: set[bytes] = set()
+        for t in b.column("text").cast(pa.large_binary()):
+            seen.update(t.as_buffer().to_pybytes().split())
+        yield pa.record_batch({"word": pa.array(np.fromiter(map(_word_hash, seen), np.uint64, len(seen)).view(np.int64))})
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every row of ``docs``, in nats a token.
 
@@ -127,14 +154,22 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, part_bytes:
     part makes a part of its own length, which one task holds whole. An empty table
     gives no rows; further columns are ignored."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text"))
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    flagged = mine.join(ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))  # broadcast or not by size
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     n_words = F.regexp_count("text", F.lit(WORD))
-    size = flagged.select(F.octet_length("text").alias("bytes"), (n_words + F.least(n_words, F.lit(1))).alias("n"), "is_target")
-    total_bytes, total, target_total = size.agg(F.sum("bytes"), F.sum("n"), F.sum(F.when(F.col("is_target"), F.col("n")).otherwise(0))).first()
-    words = mine.select(F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("w")).filter("w <> ''").distinct().count() + 1
+    sizes = cut(mine.select("doc_id", F.octet_length("text").alias("bytes"), (n_words + F.least(n_words, F.lit(1))).alias("n")).groupBy("doc_id").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")))
+    total_bytes, total, most = sizes.agg(F.sum("bytes"), F.sum("n"), F.max(F.when(F.col("doc_id").isNotNull(), F.col("bytes")))).first()
+    target_total = sizes.join(ids, "doc_id", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = mine.select("text").mapInArrow(_distinct_words, "word long").distinct().count() + 1
     parts = max(1, -(-(total_bytes or 0) // part_bytes))
-    dealt = flagged.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    # an identifier's rows lie in as many parts as the largest needs, and so does its label
+    salts = max(1, -(-(most or 0) // part_bytes))
+
+    def part_of(salt: Column) -> Column:
+        return F.pmod(F.xxhash64("doc_id", salt), F.lit(parts)).cast("int")
+
+    salt = F.pmod(F.xxhash64("text"), F.when(F.col("doc_id").isNull(), F.lit(parts)).otherwise(F.lit(salts)))
+    labels = ids.select("doc_id", F.lit(None).cast("string").alias("text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")).select("doc_id", "text", part_of(F.col("salt")).alias("part"))
+    dealt = mine.withColumn("part", part_of(salt)).unionByName(labels)
 
     def name(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         grams = Grams(table, parts)
@@ -142,13 +177,13 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, part_bytes:
         cuts = grams.cuts()
         return pa.table({
             "part": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "bucket": pa.array([int(grams.bucket[s]) for s, _ in cuts], pa.int64()),
-            "hashes": pa.array([_pack(np.diff(grams.hashes[s:e], prepend=np.uint64(0))) for s, e in cuts], pa.binary()),
+            "hashes": pa.array([_pack_steps(grams.hashes[s:e]) for s, e in cuts], pa.binary()),
             "background": pa.array([_pack(background[s:e].astype(np.uint32)) for s, e in cuts], pa.binary()),
             "target": pa.array([_pack(target[s:e].astype(np.uint32)) for s, e in cuts], pa.binary()),
         })
 
     def add(table: pa.Table) -> pa.Table:
-        hashes = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table["hashes"].to_pylist()]
+        hashes = [_unpack_steps(x) for x in table["hashes"].to_pylist()]
         ends = np.cumsum([len(x) for x in hashes])
         kinds, at = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = [np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in table[c].to_pylist()]), len(kinds)).astype(np.int64)[at] for c in ("background", "target")]
@@ -168,7 +203,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, part_bytes:
             if len(full):
                 means[c][full] = np.add.reduceat(_losses(grams, counts, of, words, own), (np.cumsum(n) - n)[full]) / n[full]
         return pa.table({
-            "doc_id": left["doc_id"].take(pa.array(grams.rows)), "n_tokens": pa.array(n), "target_loss": pa.array(means["target"]), "background_loss": pa.array(means["background"]),
+            "doc_id": grams.doc_id, "n_tokens": pa.array(n), "target_loss": pa.array(means["target"]), "background_loss": pa.array(means["background"]),
             "score": pa.array(means["target"] - means["background"]),
         })
 

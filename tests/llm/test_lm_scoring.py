@@ -36,6 +36,7 @@ def test_against_brute_force(spark, part_bytes):
     words = ["a", "bb", "é", "the", "The", "c\xa0c", "x."]
     texts = [rng.choice([" ", "\n", "\t "]).join(rng.choices(words if i % 3 else words[:3], k=rng.randint(0, 30))) for i in range(60)] + [None, "", " \n ", "\0 \0", "q" * 100_000, "one " * 3000]
     rows = [(i, t, 1.0, True, 7) for i, t in enumerate(texts)] + [(None, "no id", None, None, None), (3, texts[3], None, None, None), (3, "other text of 3", None, None, None)]
+    rows += [(9, f"row {k} of one identifier " * 20, None, None, None) for k in range(30)] + [(None, f"row {k} of none " * 20, None, None, None) for k in range(10)]
     ids = spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(3,), (None,), (999,)], "doc_id long")
     got = cross_entropy_difference(spark.createDataFrame(rows, DOCS), ids, part_bytes=part_bytes).collect()
     want = brute(rows, set(range(0, 60, 3)))
