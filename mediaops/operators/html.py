@@ -164,9 +164,11 @@ def image_count(html: Column) -> Column:
 
 
 def media_references(pages: DataFrame) -> DataFrame:
-    """page_id, target, method, priority, width, height, media_type: media of a page, each URL once by its best rule."""
+    """page_id, target, method, priority, width, height, media_type: media of a page, each URL once by its best rule.
+
+    Links come out of generators, which keeps their long expressions from being copied into every filter above."""
     tags = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<img[^>]*>"), 0)).alias("pos", "tag"))
-    images = tags.select("page_id", "url", F.lit("img").alias("method"), F.lit(1).alias("priority"), "pos", image_source(F.col("tag")).alias("link"), int_or_null(attr(F.col("tag"), "width")).alias("width"), int_or_null(attr(F.col("tag"), "height")).alias("height"))
+    images = tags.select("page_id", "url", F.lit("img").alias("method"), F.lit(1).alias("priority"), "pos", F.explode(F.array(image_source(F.col("tag")))).alias("link"), int_or_null(attr(F.col("tag"), "width")).alias("width"), int_or_null(attr(F.col("tag"), "height")).alias("height"))
 
     def listed(name: str, priority: int, urls: Column) -> DataFrame:
         return pages.select("page_id", "url", F.lit(name).alias("method"), F.lit(priority).alias("priority"), F.posexplode(urls).alias("pos", "link"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))

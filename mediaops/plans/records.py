@@ -139,7 +139,7 @@ def s12(t: Tables) -> DataFrame:
     return V.upsertable(t.embeddings, "vec_id", "embedding", 64).select("vec_id", "point_id", F.round(F.aggregate("unit", F.lit(0.0), lambda s, x: s + x), 4).alias("unit_sum"))
 
 
-@query("s13_sidecars")
+@query("s13_sidecars", """SELECT doc_id, '{' || concat_ws(',', '"lang":' || to_json(lang), '"source":' || to_json(source), '"n_chars":' || n_chars) || '}' AS metadata FROM documents""")
 def s13(t: Tables) -> DataFrame:
     return writers.sidecar(t.documents, "doc_id", ["lang", "source", "n_chars"])
 

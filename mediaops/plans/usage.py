@@ -179,7 +179,8 @@ def a9(t: Tables) -> DataFrame:
     return A.counters(_k(t.events).withColumnRenamed("event_type", "name"), "user_id", "name", "k")
 
 
-@query("a9_counter_maps")
+@query("a9_counter_maps", """SELECT user_id, '{' || string_agg('"' || name || '":' || n, ',' ORDER BY name) || '}' AS counters
+FROM (SELECT user_id, event_type AS name, sum(coalesce((props::JSON->>'k')::INT, 0)) AS n FROM events GROUP BY 1, 2) GROUP BY user_id""")
 def a9_maps(t: Tables) -> DataFrame:
     return A.counter_maps(a9(t), "user_id", "name").select("user_id", F.to_json("counters").alias("counters"))
 

@@ -112,9 +112,12 @@ def f20(t: Tables) -> DataFrame:
     return t.pages.select("page_id", *H.hint_counts(F.col("html"))).select("page_id", F.col("durations").cast("long").alias("durations"))
 
 
-@query("f16_script_media")
+@query("f16_script_media", """SELECT page_id, u || '/n.jpg ' || u || '/s.PNG' AS links FROM (SELECT page_id, regexp_replace(url, '[;?#].*$', '') AS u FROM pages WHERE url IS NOT NULL)""")
 def f16(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.size(H.script_media(F.col("html"))).alias("n"), F.size(H.jsonld_urls(F.col("html"))).alias("n_jsonld"))
+    """Beside a page's own scripts, a noscript and a script that name media."""
+    made = F.concat(F.col("html"), F.lit('<noscript><img src="'), "u", F.lit("/n.jpg\"></noscript><p>http://not.example.com/a.jpg</p><script>load('"), "u", F.lit("/s.PNG'); again('"), "u", F.lit("/n.jpg')</script>"))
+    rows = t.pages.filter("url is not null").select("page_id", F.coalesce("html", F.lit("")).alias("html"), S.normalize_url(F.col("url")).alias("u"))
+    return rows.select("page_id", F.array_join(H.script_media(made), " ").alias("links"))
 
 
 @query("a34_image_counts", "SELECT page_id, len(regexp_extract_all(html, '<img[\\s>/]', 0, 'i')) AS n FROM pages")
@@ -278,14 +281,28 @@ def g2(t: Tables) -> DataFrame:
     return G.walk(edges.unionByName(hosts), hosts.select(F.col("src").alias("node")), 2)
 
 
-@query("g3_media_references")
+def _with_media(t: Tables) -> DataFrame:
+    """The pages, and in two of three of them an image, an og:image and a script's picture that they don't hold themselves."""
+    n, u = F.col("page_id") % 3, S.normalize_url(F.col("url"))
+    image = F.when(n == 0, F.concat(F.lit('<img src="data:x" data-src="'), u, F.lit('/i.jpg" width="7">'))).otherwise("")
+    more = F.when(n < 2, F.concat(F.lit('<meta property="og:image" content="'), u, F.lit('/o.png"><script>x("'), u, F.lit('/i.jpg")</script>'))).otherwise("")
+    return t.pages.filter("url is not null").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), image, more).alias("html"))
+
+
+_MEDIA = """WITH p AS (SELECT page_id, regexp_replace(url, '[;?#].*$', '') AS u FROM pages WHERE url IS NOT NULL), m AS (
+SELECT page_id, u || '/i.jpg' AS target, CASE WHEN page_id % 3 = 0 THEN 'img' ELSE 'script' END AS method, 'image/jpeg' AS media_type, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 4 END AS priority FROM p WHERE page_id % 3 < 2
+UNION ALL SELECT page_id, u || '/o.png', 'og:image', 'image/png', 2 FROM p WHERE page_id % 3 < 2)
+"""
+
+
+@query("g3_media_references", _MEDIA + "SELECT page_id, target, method, media_type FROM m")
 def g3(t: Tables) -> DataFrame:
-    return H.media_references(t.pages).select("page_id", "target", "method", "media_type")
+    return H.media_references(_with_media(t)).select("page_id", "target", "method", "media_type")
 
 
-@query("g4_first_rule")
+@query("g4_first_rule", _MEDIA + "SELECT page_id, target, method FROM m QUALIFY priority = min(priority) OVER (PARTITION BY page_id)")
 def g4(t: Tables) -> DataFrame:
-    return H.first_rule(H.media_references(t.pages)).select("page_id", "target", "method")
+    return H.first_rule(H.media_references(_with_media(t))).select("page_id", "target", "method")
 
 
 # ---- streams: the events table, drained once ------------------------------
