@@ -16,8 +16,8 @@ from .common import WORD, cut, text_of
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 64
+#: A source of n words has the square root of n / SHARD_WORDS shards, so shards and their words grow alike.
 SHARD_WORDS = 131_072
-MAX_SHARDS = 4096
 
 
 def _number(*parts: Column) -> Column:
@@ -93,19 +93,21 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK_WORDS, shard_words:
     """
     sizes = cut(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *([F.col(row_col).cast("string").alias("row")] if row_col else []),
+        F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
+        # of the text too: rows without an identifier, or of one, are spread like others
+        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.md5(text_of().cast("binary"))).alias("name"), *([F.col(row_col).cast("string").alias("row")] if row_col else []),
     ))
     targets = source_targets(sizes, weights, factor, most)
     quotas = apportion(
         targets.withColumn("seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5)), [], "target", "seats", ["pos"]
-    ).withColumn("n_shards", F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long"))
+    ).withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / shard_words))).cast("long"))
     quotas = cut(quotas.select("pos", "source", "source_size", "target", F.col("quota").alias("source_quota"), "n_shards"))
 
     placed = (
         sizes.withColumnRenamed("source", "src")
         .join(quotas, F.col("src").eqNullSafe(F.col("source")))
-        .withColumn("shard", _number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"shard{seed}")) % F.col("n_shards"))
-        .select("doc_id", *(["row"] if row_col else []), "source", "size", "pos", "source_size", "target", "source_quota", "shard")
+        .withColumn("shard", _number(F.col("name"), F.lit(f"shard{seed}")) % F.col("n_shards"))
+        .select("doc_id", "name", *(["row"] if row_col else []), "source", "size", "pos", "source_size", "target", "source_quota", "shard")
     )
     shards = placed.groupBy("pos", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
     shares = apportion(shards, ["pos"], "shard_size", "source_quota", ["shard"]).select("pos", "shard", "shard_size", "quota")
@@ -121,7 +123,7 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK_WORDS, shard_words:
 
     return (
         placed.join(shares, ["pos", "shard"])
-        .withColumn("turn", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"turn{seed}"))))
+        .withColumn("turn", F.md5(F.concat_ws(":", "name", F.lit(f"turn{seed}"))))
         .withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .withColumn("passes", passes)
         .withColumn("rest", words - F.col("passes") * n)
@@ -137,7 +139,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS name FROM documents
 ), s0 AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM sizes GROUP BY source
 ), s1 AS (
@@ -150,7 +152,7 @@ WITH sizes AS (
   SELECT *, sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ()::DOUBLE AS full_cap, sum(CASE WHEN filled THEN 0 ELSE w END) OVER ()::DOUBLE AS open_w FROM s3
 ), t AS (
   SELECT pos, source, source_size, CASE WHEN filled THEN cap::DOUBLE ELSE (goal - full_cap) * w / open_w END AS target,
-         greatest(1, least({MAX_SHARDS}, ceil(source_size::DOUBLE / {SHARD_WORDS})))::BIGINT AS n_shards FROM s4
+         greatest(1, ceil(sqrt(source_size::DOUBLE / {SHARD_WORDS})))::BIGINT AS n_shards FROM s4
 ), m AS (SELECT floor(sum(target) / {BLOCK_WORDS} + 0.5)::BIGINT AS seats, greatest(sum(target), 1) AS total, count(*) AS n FROM t
 ), won AS (
   SELECT pos, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, pos, k) AS rk, seats, target
@@ -158,8 +160,8 @@ WITH sizes AS (
 ), q AS (
   SELECT t.*, (SELECT count(*) FROM won WHERE won.pos = t.pos AND rk <= seats AND won.target > 0) AS quota FROM t
 ), placed AS (
-  SELECT doc_id, q.source, size, pos, source_size, target, quota,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':shard42'), 1, 8))::BIGINT % n_shards AS shard
+  SELECT doc_id, name, q.source, size, pos, source_size, target, quota,
+         ('0x' || substr(md5(name || ':shard42'), 1, 8))::BIGINT % n_shards AS shard
   FROM sizes JOIN q ON sizes.source IS NOT DISTINCT FROM q.source
 ), sh AS (SELECT pos, shard, any_value(quota) AS quota, sum(size)::BIGINT AS n, sum(sum(size)) OVER (PARTITION BY pos)::DOUBLE AS total,
          count(*) OVER (PARTITION BY pos) AS parts FROM placed GROUP BY pos, shard
@@ -170,7 +172,7 @@ WITH sizes AS (
   SELECT sh.pos, sh.shard, sh.n, (SELECT count(*) FROM shwon x WHERE x.pos = sh.pos AND x.shard = sh.shard AND rk <= x.quota AND x.n > 0) AS quota FROM sh
 ), f AS (
   SELECT p.doc_id, p.size, p.source_size, p.target, p.source, h.n, least(h.quota * {BLOCK_WORDS}, 2 * h.n) AS words,
-         coalesce(sum(p.size) OVER (PARTITION BY p.pos, p.shard ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':turn42'), doc_id, p.size
+         coalesce(sum(p.size) OVER (PARTITION BY p.pos, p.shard ORDER BY md5(name || ':turn42'), doc_id, p.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c,
          CASE WHEN h.n > 0 THEN ('0x' || substr(md5(p.pos || ':' || p.shard || ':start42'), 1, 8))::BIGINT % ceil(h.n / {float(BLOCK_WORDS)})::BIGINT * {BLOCK_WORDS} ELSE 0 END AS st
   FROM placed p JOIN shq h USING (pos, shard)
