@@ -1,12 +1,12 @@
 """Structured Streaming jobs and their batch twins.
 
 Stateful operators are one step function each, (state, row) to (state, output), used
-by ``applyInPandasWithState`` on streams and by ``applyInPandas`` on tables. State is
+by ``applyInPandasWithState`` on streams and by ``mapInPandas`` on sorted tables. State is
 a small tuple a key, whatever the number of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -138,22 +138,38 @@ def stateful(df: DataFrame, key: str, ts: str, order: str, step: Callable, outpu
     names = [o.split()[0] for o in outputs.split(", ")]
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {outputs}"
 
-    def go(held, rows: pd.DataFrame):
+    def over(held, rows: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
         out = []
-        for r in rows.sort_values([ts, order]).itertuples(index=False):
+        for r in rows.itertuples(index=False):
             held, made = step(held, _seconds(getattr(r, ts)), r)
             out += [(getattr(r, key), getattr(r, order), *m) for m in made]
-        return held, pd.DataFrame(out, columns=[key, order, *names])
+        return held, out
 
     if not streaming:
-        return df.groupBy(key).applyInPandas(lambda rows: go(None, rows)[1], schema)
+
+        def on_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # rows come key by key in time order: a task holds one key's state, never its rows
+            last, held = [], None
+            for rows in batches:
+                out = []
+                new = rows[key].ne(rows[key].shift()) & ~(rows[key].isna() & rows[key].shift().isna())
+                for _, part in rows.groupby(new.cumsum(), sort=False):
+                    name = part[key].iloc[0]
+                    name = None if pd.isna(name) else name
+                    held = held if last == [name] else None
+                    held, made = over(held, part)
+                    last = [name]
+                    out += made
+                yield pd.DataFrame(out, columns=[key, order, *names])
+
+        return df.repartition(key).sortWithinPartitions(key, ts, order).mapInPandas(on_table, schema)
 
     def on_stream(_key, batches, kept: GroupState):
         # a micro-batch may come in several pieces: one order over all of them
-        rows = pd.concat(list(batches))
-        held, out = go(kept.get if kept.exists else None, rows)
+        rows = pd.concat(list(batches)).sort_values([ts, order])
+        held, out = over(kept.get if kept.exists else None, rows)
         kept.update(tuple(held))
-        yield out
+        yield pd.DataFrame(out, columns=[key, order, *names])
 
     return df.groupBy(key).applyInPandasWithState(on_stream, schema, state, "append", GroupStateTimeout.NoTimeout)
 
