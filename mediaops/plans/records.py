@@ -102,7 +102,7 @@ def j13(t: Tables) -> DataFrame:
 
 
 @query("j15_probe_centroid", """WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, unnest(generate_series(1, 64)) AS u(i) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM c GROUP BY 1)
-SELECT e.vec_id, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n), 4) AS similarity FROM embeddings e JOIN c USING (label) JOIN n USING (label) GROUP BY 1""")
+SELECT e.vec_id, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS similarity FROM embeddings e JOIN c USING (label) JOIN n USING (label) GROUP BY 1""")
 def j15(t: Tables) -> DataFrame:
     c = A.centroids(t.embeddings, "label", "embedding")
     return t.embeddings.join(c, "label").select("vec_id", F.round(S.dot(F.col("embedding"), F.col("centroid")), 4).alias("similarity"))
@@ -377,7 +377,7 @@ def v5(t: Tables) -> DataFrame:
     return c.select("label", "members", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.array_max("centroid"), 4).alias("largest"))
 
 
-_SIM = _CENTRE + ", s AS (SELECT e.vec_id AS id, e.label, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n), 4) AS similarity FROM embeddings e JOIN c ON c.label = e.label JOIN n ON n.label = e.label GROUP BY 1, 2)\n"
+_SIM = _CENTRE + ", s AS (SELECT e.vec_id AS id, e.label, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS similarity FROM embeddings e JOIN c ON c.label = e.label JOIN n ON n.label = e.label GROUP BY 1, 2)\n"
 
 
 def _verified(t: Tables) -> DataFrame:
@@ -391,7 +391,7 @@ def v6(t: Tables) -> DataFrame:
 
 
 @query("v6_verify_all", _CENTRE + """SELECT id, similarity, similarity >= 0.15 AS verified, CASE WHEN similarity < 0.15 THEN 'low_similarity' END AS reason
-FROM (SELECT e.vec_id AS id, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n), 4) AS similarity FROM embeddings e JOIN c ON c.label = e.label JOIN n ON n.label = e.label GROUP BY e.vec_id)""")
+FROM (SELECT e.vec_id AS id, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS similarity FROM embeddings e JOIN c ON c.label = e.label JOIN n ON n.label = e.label GROUP BY e.vec_id)""")
 def v6_all(t: Tables) -> DataFrame:
     p = _points(t)
     return V.verify(p, A.centroids(p, "label", "v"), "label", 0.15).select("id", "similarity", "verified", "reason")
