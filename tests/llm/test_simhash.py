@@ -1,9 +1,12 @@
+import math
 import random
 import re
 
+import numpy as np
 import xxhash
 
-from mediaops.llm.simhash import fingerprint, near_links, simhash_groups
+from mediaops.llm.components import components
+from mediaops.llm.simhash import _masks, fingerprint, near_links, simhash_groups
 
 DOCS = "doc_id long, text string, fp string, key string"
 
@@ -89,3 +92,43 @@ def test_empty_table_and_null_id(spark):
     rows = simhash_groups(spark.createDataFrame([(None, "a b", None, None), (7, "q r s", None, None)], DOCS)).collect()
     assert {(r.doc_id, r.component_id) for r in rows} == {(None, None), (7, 7)}
     assert fingerprint(b"") == 0
+
+
+def test_keys_of_several_blocks_lose_no_pair():
+    """Whatever the number of blocks in a key, fingerprints within four bits share a key."""
+    rng = random.Random(31)
+    for j in range(1, 6):
+        masks = [m & (1 << 64) - 1 for m in _masks(j, 4)]
+        assert len(set(masks)) == len(masks) == math.comb(4 + j, j)
+        for _ in range(300):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), rng.randint(0, 4)):
+                b ^= 1 << bit
+            assert any(a & m == b & m for m in masks)
+
+
+def test_links_with_keys_of_two_blocks(spark):
+    """Enough fingerprints for keys of two blocks, against all pairs."""
+    rng = np.random.default_rng(32)
+    base = rng.integers(0, 1 << 63, 2500, np.int64)
+    near = base[:300] ^ (np.int64(1) << rng.integers(0, 62, 300)) ^ (np.int64(1) << rng.integers(0, 62, 300))
+    prints = np.unique(np.r_[base, near, near[:50] ^ np.int64(7)])
+    df = spark.createDataFrame([(int(x),) for x in prints], "fp long")
+    linked = {r.node: r.component for r in components(near_links(df)).collect()}
+    root = {int(x): int(x) for x in prints}
+    close = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    for i, k in zip(*np.nonzero(np.triu(close, 1)), strict=True):
+        a, b = (int(prints[x]) for x in (i, k))
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    assert all(linked.get(int(x), int(x)) == find(int(x)) for x in prints)
