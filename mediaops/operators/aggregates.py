@@ -18,34 +18,27 @@ def request_summary(df: DataFrame, by: list[str], error: Column, time: str, *mor
     return out.withColumn("error_rate", ratio(F.col("errors"), F.col("requests")))
 
 
-def rank_percentile(df: DataFrame, by: list[str], value: str, p: float, name: str = "p", slices: int = 1000) -> DataFrame:
-    """Exact ``sorted[int(n * p)]``, the last value if that is past the end.
-
-    Equal values are counted first, so a group is never gathered; the cumulative
-    count then finds the place. Without ``by`` the range of values is cut into
-    slices, their counts tell which slice holds the place, and only its values are
-    put in order."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    if not by:
-        return _rank_in_slice(counts, value, p, name, slices)
-    group = Window.partitionBy(*by)
-    placed = counts.withColumn("_n", F.sum("_c").over(group)).withColumn("_cum", F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    hit = placed.filter(F.col("_cum") >= F.least(F.floor(F.col("_n") * F.lit(p)) + 1, F.col("_n")))
-    return hit.groupBy(*by).agg(F.min(value).alias(name))
-
-
-def _rank_in_slice(counts: DataFrame, value: str, p: float, name: str, slices: int) -> DataFrame:
-    ends = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))  # one row
-    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    sliced = counts.crossJoin(F.broadcast(ends)).withColumn("_slice", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * slices)).otherwise(0))
-    place = F.least(F.floor(F.col("_n") * F.lit(p)) + 1, F.col("_n"))
-    every = Window.partitionBy(F.lit(0))
-    sums = sliced.groupBy("_slice", place.alias("_place")).agg(F.sum("_c").alias("_s"))  # slices + 1 rows at most
-    sums = sums.withColumn("_before", F.sum("_s").over(every.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
-    one = sums.filter((F.col("_before") < F.col("_place")) & (F.col("_before") + F.col("_s") >= F.col("_place"))).select("_slice", "_place", "_before")
-    inside = sliced.select(value, "_c", "_slice").join(F.broadcast(one), "_slice")
-    cum = F.col("_before") + F.sum("_c").over(every.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("_cum", cum).filter(F.col("_cum") >= F.col("_place")).agg(F.min(value).alias(name))
+def rank_percentile(df: DataFrame, by: list[str], value: str, p: float, name: str = "p", accuracy: int = 1000) -> DataFrame:
+    """Exact ``sorted[int(n * p)]`` of each group of ``by`` (none: of all rows), the last value if that is past the end.
+
+    Mergeable sketches say between which two values the place lies, wrong by a
+    share of 1 / accuracy of the rows at most; twice that on either side surely holds
+    it. What lies below is counted, and only the distinct values in between are put
+    in order, a few thousandths of a group, however large or skewed it is."""
+    rows = df.filter(F.col(value).isNotNull()).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col(value).alias("_v"))
+    keys = [f"_k{i}" for i in range(len(by))]
+    margin = 2 / accuracy
+    ends = F.percentile_approx("_v", F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), accuracy)
+    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), ends.alias("_e")).filter("_n > 0").select(*(F.col(k).alias(f"{k}b") for k in keys), "_n", F.col("_e")[0].alias("_low"), F.col("_e")[1].alias("_high"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}b")) for k in keys], F.lit(True))
+    met = rows.join(bounds, same) if keys else rows.join(F.broadcast(bounds))  # one row of bounds
+    place = F.least(F.floor(F.col("_n") * F.lit(p)) + 1, F.col("_n")).alias("_place")
+    # values below the slice fall together into one
+    at = F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_at")
+    counts = met.filter(F.col("_v") <= F.col("_high")).groupBy(*keys, place, at).agg(F.count(F.lit(1)).alias("_c"))
+    cum = F.sum("_c").over(Window.partitionBy(*keys, "_place").orderBy(F.col("_at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    hit = counts.withColumn("_cum", cum).filter(F.col("_cum") >= F.col("_place"))
+    return hit.groupBy(*keys).agg(F.min("_at").alias(name)).select(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True)), name)
 
 
 def state_counts(df: DataFrame, state: str, states: list[str]) -> DataFrame:

@@ -22,6 +22,22 @@ def test_rank_percentile(spark, n):
         assert A.rank_percentile(df, ["k"], "v", p).first().p == A.rank_percentile(df, [], "v", p).first().p == want
 
 
+def test_rank_percentile_of_large_skewed_groups(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(20_000)] + [("hot", 1e12), ("hot", -1e12)] + [("same", 5.0)] * 6000 + [("two", float(i % 2)) for i in range(4001)] + [(None, float(i)) for i in range(50)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for p in (0.001, 0.5, 0.95, 0.9999):
+        got = {r.k: r.p for r in A.rank_percentile(df, ["k"], "v", p).collect()}
+        for k in ("hot", "same", "two", None):
+            values = sorted(v for g, v in rows if g == k)
+            assert got[k] == values[min(int(len(values) * p), len(values) - 1)]
+        assert "none" not in got
+        values = sorted(v for _, v in rows if v is not None)
+        assert A.rank_percentile(df, [], "v", p).first().p == values[int(len(values) * p)]
+
+
 def test_counters_and_reconciliation(spark):
     rows = [("a", "processed", 3), ("a", "processed", None), ("b", "rejected", 2), ("b", "processed", 1)]
     df = spark.createDataFrame(rows, "scope string, name string, n int")
