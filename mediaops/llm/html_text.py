@@ -131,7 +131,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 ended()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if any(x[0] in _BLOCK or x[4] != (stack[k - 1][4] if k else ()) for x in stack[k:]):
+                    if any(x[0] in _BLOCK for x in stack[k:]):
                         ended()
                     del stack[k:]
                     break
@@ -167,14 +167,15 @@ def blocks(page: str) -> list[tuple[str, str]]:
             named = named - _HEADERS
         if tag in _SIDE and not (tag == "header" and in_main):
             named = named | {tag}
+        inside = False
         if named and tag in _CONTAINERS and tag not in ("body", "html"):
-            if parts and tag not in _BLOCK:
-                ended()
-            sides.append(named)
-            around = (*around, len(sides) - 1)
+            inside = tag not in _BLOCK  # a part of its block, which goes on after it
+            if not inside:
+                sides.append(named)
+                around = (*around, len(sides) - 1)
         if tag in _MAIN:
             mains.append(around)
-        stack.append((tag, f"{above[1]}/{tag}{style}[{like[tag + style]}]".replace(" ", "."), above[2] or tag in _NEVER or hidden, {}, around, in_main or tag in _MAIN))
+        stack.append((tag, f"{above[1]}/{tag}{style}[{like[tag + style]}]".replace(" ", "."), above[2] or tag in _NEVER or hidden or inside, {}, around, in_main or tag in _MAIN))
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
             at = end.end()

@@ -34,6 +34,7 @@ def text_of(page):
         ("<article class='elementor-widget'><p>t</p></article><article class='related'><p>more</p></article>", "t"),
         ("<div class='sidebar'><p>short</p></div><div class='subscribe'><p>the longest paragraph of this page, by far</p></div>", "the longest paragraph of this page, by far"),
         ("<div id=comments><p>many words by readers of this page</p></div><div><p>t</p></div>", "t"),
+        ("<article><p>one <span class='ad'>buy</span>two</p></article>", "one two"),
         ("<header><h1>site</h1></header><main><p>t</p></main><div class='google-ad'>x</div>", "t"),
     ],
 )
