@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-_KNOWN = 1_300_000  # chunks that a worker remembers at a time
+_KNOWN = 250_000  # chunks of a generation; a worker remembers two of them
 _NEVER, _LOWEST = 1 << 62, -(1 << 62)
 
 
@@ -114,6 +114,27 @@ class Lattice:
             into.append(edges)
         self.text = text
 
+    def best_path(self, text: str) -> tuple[int, list[int], int]:
+        """Score (in millionths) and piece identifiers of the best segmentation, and what the second best costs.
+
+        The second best leaves the best path, seen from the end, at one place by
+        another piece and is the best from there on."""
+        self.forward(text)
+        best, into, at = self.best, self.into, len(text)
+        pieces: list[tuple[int, ...]] = []
+        cost = _NEVER
+        while at:
+            top, onward = best[at], None
+            for start, found in into[at]:
+                gap = top - best[start] - found[0]
+                if gap == 0 and onward is None:
+                    onward = start
+                    pieces.append(found[1])
+                elif gap < cost:
+                    cost = gap
+            at = onward
+        return best[len(text)], [i for piece in reversed(pieces) for i in piece], cost
+
     def n_best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best segmentations of a string, as (score in millionths, piece identifiers), best first.
 
@@ -169,16 +190,19 @@ class _Chunks(dict):
     """Numbers of chunks that have been segmented.
 
     What a number stands for lies in flat arrays: piece identifiers, best score, what
-    the second to n-th best cost, and whether decoding gives the chunk again."""
+    the second best costs, and whether decoding gives the chunk again. Chunks of the
+    generation before are taken over when they occur again; the rest go."""
 
-    def __init__(self, model: Vocabulary, n: int):
+    def __init__(self, model: Vocabulary, n: int, before: _Chunks | None = None):
         super().__init__()
         self.model, self.n, self.lattice = model, n, Lattice(model)
-        self.ids, self.ends, self.best = array("i"), array("q", [0]), array("q")
-        self.costs = [array("q") for _ in range(n - 1)]
+        self.before = before
+        if before is not None:
+            before.before = None
+        self.ids, self.ends, self.best, self.costs = array("i"), array("q", [0]), array("q"), array("q")
         self.exact = bytearray()
-        #: piece identifiers of the segmentations after the best, of chunks that gave a text's next best one
-        self.others: dict[str, list[tuple[int, ...]]] = {}
+        #: the n best segmentations of chunks that gave a text's next best ones
+        self.found: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
         """Segment what is new, in order, so that neighbours begin alike."""
@@ -186,21 +210,25 @@ class _Chunks(dict):
             self.add(text)
 
     def add(self, text: str) -> None:
-        found = self.lattice.n_best(text, self.n)
-        top, ids = found[0]
-        self.ids.extend(ids)
+        old = self.before
+        if old is not None and text in old:
+            i = old[text]
+            self.ids.extend(old.ids[old.ends[i] : old.ends[i + 1]])
+            top, cost, exact = old.best[i], old.costs[i], old.exact[i]
+        else:
+            top, ids, cost = self.lattice.best_path(text)
+            self.ids.extend(ids)
+            exact = b"".join(map(self.model.bytes.__getitem__, ids)) == text.encode()
         self.ends.append(len(self.ids))
         self.best.append(top)
-        for i, costs in enumerate(self.costs, 1):
-            costs.append(top - found[i][0] if i < len(found) else _NEVER)
-        self.exact.append(b"".join(map(self.model.bytes.__getitem__, ids)) == text.encode())
+        self.costs.append(cost)
+        self.exact.append(exact)
         self[text] = len(self.best) - 1
 
-    def other(self, chunk: str, rank: int) -> tuple[int, ...]:
-        """Piece identifiers of a chunk's segmentation of a rank over 0."""
-        if chunk not in self.others:
-            self.others[chunk] = [ids for _, ids in self.lattice.n_best(chunk, self.n)]
-        return self.others[chunk][rank]
+    def n_best(self, chunk: str) -> list[tuple[int, tuple[int, ...]]]:
+        if chunk not in self.found:
+            self.found[chunk] = self.lattice.n_best(chunk, self.n)
+        return self.found[chunk]
 
     def text(self, chunks: list[str]) -> tuple[np.ndarray, list[float], list[list[tuple]], bool]:
         """Piece identifiers, the n best scores, what the second to n-th best change, and whether decoding is exact, for a text's chunks."""
@@ -210,15 +238,14 @@ class _Chunks(dict):
         lens = ends[at + 1] - begin
         after = np.cumsum(lens)
         ids = np.frombuffer(self.ids, np.int32)[np.repeat(begin - (after - lens), lens) + np.arange(after[-1])]
-        costs: list[tuple[int, ...]] = []
         few: list[int] = []
-        if self.costs:  # only the n - 1 chunks whose second best costs least can matter
-            second = np.frombuffer(self.costs[0], np.int64)[at]
+        if self.n > 1:  # only the n - 1 chunks whose second best costs least can matter
+            second = np.frombuffer(self.costs, np.int64)[at]
             few = sorted((np.argpartition(second, self.n - 2)[: self.n - 1] if len(at) >= self.n else np.arange(len(at))).tolist())
-            costs = [(0, *(c for c in (x[at[i]] for x in self.costs) if c < _NEVER)) for i in few]
+        made = [self.n_best(chunks[i]) for i in few]
         total = int(np.frombuffer(self.best, np.int64)[at].sum())
-        best = _choices(total, costs, self.n)
-        changes = [[(int(after[i] - lens[i]), int(after[i]), self.other(chunks[i], rank)) for i, rank in zip(few, o, strict=True) if rank] for _, o in best[1:]]
+        best = _choices(total, [tuple(x[0][0] - score for score, _ in x) for x in made], self.n)
+        changes = [[(int(after[i] - lens[i]), int(after[i]), x[rank][1]) for i, x, rank in zip(few, made, o, strict=True) if rank] for _, o in best[1:]]
         return ids, [x / 1e6 for x, _ in best], changes, bool(np.frombuffer(self.exact, np.uint8)[at].all())
 
 
@@ -228,8 +255,10 @@ _held: _Chunks | None = None
 def _chunks(model: Vocabulary, n: int) -> _Chunks:
     """The chunks that this worker remembers, over its tasks, up to a bound."""
     global _held
-    if _held is None or _held.model is not model or _held.n != n or len(_held) > _KNOWN:
+    if _held is None or _held.model is not model or _held.n != n:
         _held = _Chunks(model, n)
+    elif len(_held) > _KNOWN:
+        _held = _Chunks(model, n, _held)
     return _held
 
 

@@ -39,6 +39,8 @@ def test_n_best_against_all_segmentations(model):
         got = n_best(text, model, 5)
         assert [s for s, _ in got] == [s for s, _ in want[:5]]
         assert len({i for _, i in got}) == len(got) and set(got) <= set(want)
+        top, ids, cost = Lattice(model).best_path(text)
+        assert (top, tuple(ids)) == got[0] and (cost == got[0][0] - got[1][0] if len(got) > 1 else cost == 1 << 62)
 
 
 def test_one_lattice_for_many_strings(model):
@@ -63,6 +65,30 @@ def test_sums_of_whole_texts_against_all(spark, model):
             assert all(model.decode(list(x)) == t for x in spelt)
 
 
+def test_generations_of_chunks_change_nothing(model, monkeypatch):
+    from mediaops.llm import pieces
+
+    rng = random.Random(19)
+    words = ["".join(rng.choices("theraon漢", k=rng.randint(1, 6))) for _ in range(80)]
+    texts = [[" " + w for w in rng.choices(words[i % 60 : i % 60 + 20], k=12)] for i in range(150)]
+
+    def run():
+        monkeypatch.setattr(pieces, "_held", None)
+        out, seen = [], set()
+        for chunks in texts:
+            known = pieces._chunks(model, 3)
+            seen.add(id(known))
+            known.learn([chunks])
+            ids, best, changes, exact = known.text(chunks)
+            out.append((ids.tolist(), best, changes, exact))
+        return out, len(seen)
+
+    want, one = run()
+    monkeypatch.setattr(pieces, "_KNOWN", 25)
+    got, several = run()
+    assert got == want and one == 1 and several > 2
+
+
 def test_whole_texts_and_round_trip(spark, model):
     texts = [None, "", " ", "  two  spaces ", "tab\tand\nline\r\n", "▁literal mark", "\U0001f600 漢字 naïve", "x" * 60_000, "word " * 20_000, "\0control", "the house on the river"]
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "no id", "", 1), (3, texts[3], "", 1)]
