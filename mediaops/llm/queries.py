@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, quality, secrets, simhash, suffix_dedup
+from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, pivots, quality, secrets, simhash, suffix_dedup
 
 
 def pipeline(spark, sf_dir: str):
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_quality": quality.op10_quality,
+    "op11_centroids": pivots.op11_centroids,
     "pipeline": pipeline,
 }
 
@@ -31,4 +32,5 @@ ORACLES = {
     "op3_mixing": mixing.SQL,
     "op6_nearest": ann.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_centroids": pivots.SQL,
 }
