@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, pivots, quality, secrets, simhash, suffix_dedup
+from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, pivots, quality, resampling, secrets, simhash, suffix_dedup
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_html_text": html_text.op9_html_text,
     "op10_quality": quality.op10_quality,
     "op11_centroids": pivots.op11_centroids,
+    "op12_resampling": resampling.op12_resampling,
     "pipeline": pipeline,
 }
 
@@ -33,4 +34,5 @@ ORACLES = {
     "op6_nearest": ann.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op11_centroids": pivots.SQL,
+    "op12_resampling": resampling.SQL,
 }
