@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, lm_scoring, mixing, pieces, pivots, quality, resampling, secrets, simhash, suffix_dedup
+from . import ann, exact_dedup, html_text, language_id, lm_scoring, mixing, pieces, pivots, quality, resampling, secrets, simhash, suffix_dedup
 
 
 def pipeline(spark, sf_dir: str):
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_centroids": pivots.op11_centroids,
     "op12_resampling": resampling.op12_resampling,
+    "op13_language_id": language_id.op13_language_id,
     "pipeline": pipeline,
 }
 
