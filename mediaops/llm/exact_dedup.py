@@ -102,9 +102,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     vertical tabs, form feeds and carriage returns. The row with most code points
     in its original text stays, then the smallest identifier. A null text counts
     as empty; all empty texts form one group. A null identifier sorts after all
-    others. Of repeated rows exactly one is kept. An empty table gives no rows,
-    and further columns of ``docs`` are ignored; ``row_col``, a name of the row,
-    is carried along as a column ``row``.
+    others. Of rows that agree in length and identifier exactly one is kept: that with the
+    smallest ``row_col``, whatever files or tasks the rows come from (without it they
+    come out alike). Texts are compared whole; a task holds two texts at a time beside
+    a batch. An empty table gives no rows, and further columns of ``docs`` are ignored; ``row_col``,
+    a name of the row, is carried along as a column ``row``.
     """
     row = F.col(row_col).cast("string") if row_col else F.lit(None).cast("string")
     norm = F.col("raw")
@@ -116,7 +118,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("doc_id", "row", "n_cp", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
         .withColumn("prefix", F.substring("norm", 1, prefix_chars))
     )
-    order = [F.col("n_cp").desc(), F.col("doc_id").asc_nulls_last()]
+    order = [F.col("n_cp").desc(), F.col("doc_id").asc_nulls_last(), F.col("row")]
     ordered = keyed.repartitionByRange("prefix", "sha", *order).sortWithinPartitions("prefix", "sha", "norm", *order)
     runs = cut(ordered.select("doc_id", "row", "n_cp", "sha", "norm").mapInArrow(_compare_neighbours, _RUNS))
 

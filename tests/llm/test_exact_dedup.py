@@ -35,3 +35,15 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert exact_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_tie_between_rows_of_one_identifier_whatever_their_order(spark):
+    a, b = ([(7, "equal texts", "", None, name)] for name in ("first", "second"))
+    many = [(7, "hot " * 9, "", None, f"r{i:04d}") for i in range(900)]
+    frames = [spark.createDataFrame(x, f"{DOCS}, row string") for x in (a, b, many[::-1])]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    for order in ((0, 1, 2), (1, 0, 2), (2, 1, 0)):
+        table = frames[order[0]].union(frames[order[1]]).union(frames[order[2]]).repartition(5)
+        assert {r.row for r in exact_groups(table, row_col="row").collect() if r.kept} == {"first", "r0000"}
+    spark.conf.set("spark.sql.shuffle.partitions", before)

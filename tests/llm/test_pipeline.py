@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from mediaops.llm.pieces import MODEL, Vocabulary
 from tests.llm.test_minhash import brute_components, brute_set
@@ -81,6 +83,16 @@ def test_rows_keep_their_names_under_other_parallelism(spark, tmp_path):
     assert len({r.row for r in named}) == len(named)
 
 
+def test_exact_keeps_the_same_rows_of_other_files(spark, tmp_path):
+    make(tmp_path, spark)
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    tie = docs.filter("doc_id = 7").limit(1)
+    for n, many in enumerate((tie.union(tie.withColumn("n_chars", F.lit(99999).cast("long"))), tie.withColumn("n_chars", F.lit(99999).cast("long")).union(tie))):
+        docs.filter("doc_id <> 7").union(many).repartition(2 + 3 * n).write.parquet(f"{tmp_path}/tie{n}")
+        kept.append(sorted(map(str, corpus_pipeline.exact(spark, spark.read.parquet(f"{tmp_path}/tie{n}"), "").collect())))
+    assert kept[0] == kept[1]
+
+
 def test_stages_on_long_texts_and_further_columns(spark, tmp_path):
     make(tmp_path, spark)
     rng = random.Random(15)
