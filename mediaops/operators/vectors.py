@@ -24,7 +24,7 @@ def _meet(probes: DataFrame, corpus: DataFrame, scope: str | None, extra: list[s
     A block's products are one matrix product, of which ``pick`` keeps what is wanted.
     Scopes are cut by their own sizes, so a hot one is spread over many tasks, and
     every probe meets every corpus row of its scope exactly once. Rows without a
-    vector, or with nulls in it, take no part."""
+    vector, or with nulls in it, take no part; vectors meet those of their own length only."""
     keys = [scope] if scope else []
     whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
     a, b = (d.filter(whole).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), *keys, *extra) for d in (probes, corpus))
@@ -44,11 +44,13 @@ def _meet(probes: DataFrame, corpus: DataFrame, scope: str | None, extra: list[s
     b = b.withColumn("_b", F.pmod(F.xxhash64("id"), "_nb").cast("int")).withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_na") - 1))).drop("_na", "_nb")
 
     def products(rows: pa.Table) -> pa.Table:
-        left, right = rows.filter(rows["_probe"]), rows.filter(pc.invert(rows["_probe"]))
-        q, c = (np.array(t["v"].to_pylist(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
-        if not len(q) or not len(c):
-            q, c = np.zeros((len(q), 1)), np.zeros((len(c), 1))
-        return pick(q @ c.T, left, right)
+        parts = []
+        for n in pc.unique(pc.list_value_length(rows["v"])):
+            alike = rows.filter(pc.equal(pc.list_value_length(rows["v"]), n))
+            left, right = alike.filter(alike["_probe"]), alike.filter(pc.invert(alike["_probe"]))
+            q, c = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, n.as_py()) for t in (left, right))
+            parts.append(pick(q @ c.T, left, right))
+        return pa.concat_tables(parts)
 
     both = a.withColumn("_probe", F.lit(True)).unionByName(b.withColumn("_probe", F.lit(False)))
     return both.groupBy(*keys, "_a", "_b").applyInArrow(products, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import row_before, running_sums, sum_and_low
+
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group (latest samples, caps, best of a group, first seen)."""
@@ -14,14 +16,14 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
 def gaps(df: DataFrame, by: list[str], ts: str, key: str, latency: Column) -> DataFrame:
     """Seconds since the row before, and idle time: that without its latency, 0 at least."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    before = F.lag(micros).over(Window.partitionBy(*by).orderBy(ts, key))
-    return df.withColumn("gap", (micros - before) / 1e6).withColumn("idle", F.greatest(F.lit(0.0), F.col("gap") - latency))
+    out = row_before(df, by, [ts, key], "_before", micros).withColumn("gap", (micros - F.col("_before")) / 1e6).drop("_before")
+    return out.withColumn("idle", F.greatest(F.lit(0.0), F.col("gap") - latency))
 
 
 def running_success(df: DataFrame, by: list[str], ts: str, key: str, ok: Column, least: int = 10, worst: float = 0.5) -> DataFrame:
     """Success rate so far, and whether it has tripped: ``least`` requests with more failures than ``worst``."""
-    w = Window.partitionBy(*by).orderBy(ts, key).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("so_far", F.count(F.lit(1)).over(w)).withColumn("success_rate", F.sum(F.when(ok, 1).otherwise(0)).over(w) / F.col("so_far"))
+    out = running_sums(df, by, [ts, key], {"so_far": F.lit(1), "_ok": F.when(ok, 1).otherwise(0)})
+    out = out.withColumn("success_rate", F.col("_ok") / F.col("so_far")).drop("_ok")
     return out.withColumn("tripped", (F.col("so_far") >= least) & (1 - F.col("success_rate") > worst))
 
 
@@ -32,5 +34,5 @@ def connection_tier(average: Column, success: Column, base: int = 200) -> Column
 
 def floored_counter(df: DataFrame, by: list[str], ts: str, key: str, delta: Column) -> DataFrame:
     """Running sum that never goes below 0: the sum less its smallest value so far, where negative."""
-    w = Window.partitionBy(*by).orderBy(ts, key).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_s", F.sum(delta).over(w)).withColumn("level", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).drop("_s")
+    out = sum_and_low(df, by, [ts, key], delta)
+    return out.withColumn("level", F.col("_sum") - F.least(F.lit(0), F.col("_low"))).drop("_sum", "_low")

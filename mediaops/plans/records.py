@@ -105,7 +105,7 @@ def j13(t: Tables) -> DataFrame:
 SELECT e.vec_id, round(sum(e.embedding[c.i]::DOUBLE * c.m) / any_value(n.n * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS similarity FROM embeddings e JOIN c USING (label) JOIN n USING (label) GROUP BY 1""")
 def j15(t: Tables) -> DataFrame:
     c = A.centroids(t.embeddings, "label", "embedding")
-    return t.embeddings.join(c, "label").select("vec_id", F.round(S.dot(F.col("embedding"), F.col("centroid")), 4).alias("similarity"))
+    return t.embeddings.join(c, "label").select("vec_id", F.round(S.dot(S.l2_normalize(F.col("embedding")), F.col("centroid")), 4).alias("similarity"))
 
 
 @query("j16_purge", "SELECT 'events' AS table_name, count_if(user_id = 7) AS removed, count_if(user_id <> 7) AS kept FROM events UNION ALL SELECT 'orders', count_if(o_custkey = 7), count_if(o_custkey <> 7) FROM orders")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.predicates import split_valid
+from ..operators.scans import running_sums
 
 
 def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -53,10 +54,10 @@ def idle_sessions(df: DataFrame, keys: list[str], ts: str = "ts", ttl: str = "1
 
 def limit_decisions(df: DataFrame, key: str, ts: str, order: str, per_minute: int = 60, per_hour: int = 1000) -> DataFrame:
     """allowed: under both limits when it comes. Rejected rows do not count, so in each minute the first ones pass, and of those in each hour."""
-    minute = Window.partitionBy(key, F.date_trunc("minute", ts)).orderBy(ts, order)
-    in_minute = df.withColumn("_m", F.row_number().over(minute) <= per_minute)
-    hour = Window.partitionBy(key, F.date_trunc("hour", ts)).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
-    return in_minute.withColumn("_h", F.sum(F.when(F.col("_m"), 1).otherwise(0)).over(hour)).withColumn("allowed", F.col("_m") & (F.col("_h") <= per_hour)).drop("_m", "_h")
+    slots = df.withColumn("_minute", F.date_trunc("minute", ts)).withColumn("_hour", F.date_trunc("hour", ts))
+    in_minute = running_sums(slots, [key, "_minute"], [ts, order], {"_n": F.lit(1)}).withColumn("_m", F.col("_n") <= per_minute)
+    in_hour = running_sums(in_minute, [key, "_hour"], [ts, order], {"_h": F.when(F.col("_m"), 1).otherwise(0)})
+    return in_hour.withColumn("allowed", F.col("_m") & (F.col("_h") <= per_hour)).select(*df.columns, "allowed")
 
 
 def limit_counts(stream: DataFrame, key: str, ts: str = "ts", width: str = "1 minute", late: str = "1 hour") -> DataFrame:
