@@ -14,6 +14,7 @@ from ..operators import windows as W
 from ..sources import readers
 from ..sources.shared import shared_path
 from ..streaming import jobs as T
+from ..streaming import ordered as O
 from .registry import Tables, query
 
 HOST = "lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1))"
@@ -405,3 +406,78 @@ def st10(t: Tables) -> DataFrame:
 def st11(t: Tables) -> DataFrame:
     r = T.lifecycle(t.events, "user_id", "event_type", "ts", "event_id", "value")
     return r.select("user_id", "status", F.col("created").cast("string").alias("created"), F.col("updated").cast("string").alias("updated"), F.round("total", 4).alias("total"))
+
+
+# ---- streams in event-time order: the events as they might arrive, some of them late ------
+
+BATCHES, FILES = 4, 8
+#: Every ninth event arrives eight hours after its time, the others within two minutes; a batch holds what arrives in eight days. A row is late
+#: if it lies over two hours behind the latest of earlier batches.
+_ARRIVALS = f"""WITH RECURSIVE a AS (SELECT *, epoch_ms(ts) AS ms, greatest(0, least({BATCHES - 1}, (epoch_ms(ts) + CASE WHEN event_id % 9 = 0 THEN 28800000 ELSE event_id * 7919 % 120 * 1000 END - 1704067200000) // 691200000)) AS batch FROM events),
+m AS (SELECT b.batch, max(a.ms) - 7200000 AS mark FROM (SELECT DISTINCT batch FROM a) b JOIN a ON a.batch < b.batch GROUP BY 1),
+l AS (SELECT a.*, coalesce(a.ms < m.mark, false) AS late FROM a LEFT JOIN m USING (batch)),
+"""
+
+
+def _arriving(t: Tables) -> DataFrame:
+    e = t.events
+    behind = F.when(F.col("event_id") % 9 == 0, 28_800_000).otherwise(F.col("event_id") * 7919 % 120 * 1000)
+    batch = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) + behind - 1_704_067_200_000) / 691_200_000)
+    e = e.withColumn("batch", F.greatest(F.lit(0), F.least(F.lit(BATCHES - 1), batch)))
+    path = shared_path(t.spark)
+    for i in range(BATCHES):
+        e.filter(F.col("batch") == i).drop("batch").repartition(FILES).write.mode("append").parquet(path)
+    heartbeat = t.events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))  # one row without a name
+    heartbeat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(k).alias(c) for c, k in t.events.dtypes]).write.mode("append").parquet(path)
+    return readers.stream(t.spark, path, t.events.schema, FILES)
+
+
+def _in_order(t: Tables, keys: list[str], how: tuple) -> DataFrame:
+    stream = O.in_order(_arriving(t), keys, "ts", "event_id", "2 hours", *how)
+    out, checkpoint = shared_path(t.spark), shared_path(t.spark)
+    O.drained(stream, out, checkpoint)
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+def _expiring_sql(keys: str, ttl_ms: int) -> str:
+    return _ARRIVALS + f"""r AS (SELECT event_id, {keys}, ms, row_number() OVER (PARTITION BY {keys} ORDER BY ms, event_id) AS n FROM l WHERE NOT late),
+w AS (SELECT event_id, {keys}, n, ms + {ttl_ms} AS expiry, true AS fresh FROM r WHERE n = 1
+UNION ALL SELECT r.event_id, {', '.join(f'r.{k}' for k in keys.split(', '))}, r.n, CASE WHEN r.ms >= w.expiry THEN r.ms + {ttl_ms} ELSE w.expiry END, r.ms >= w.expiry FROM w JOIN r ON {' AND '.join(f'r.{k} = w.{k}' for k in keys.split(', '))} AND r.n = w.n + 1)
+SELECT event_id, late, fresh FROM l LEFT JOIN (SELECT event_id, fresh FROM w) USING (event_id)"""
+
+
+@query("st3_expiring_keys", _expiring_sql("user_id, event_type", 172_800_000))
+def st3_expiring(t: Tables) -> DataFrame:
+    """De-duplication with a time to live of two days from a key's last fresh row; the table lasts a month."""
+    return _in_order(t, ["user_id", "event_type"], O.expiring(172_800_000, renew=False)).select("event_id", "late", "fresh")
+
+
+@query("st4_renewed_keys", _ARRIVALS + """r AS (SELECT event_id, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM l WHERE NOT late)
+SELECT event_id, late, CASE WHEN NOT late THEN coalesce(gap >= 21600000, true) END AS fresh FROM l LEFT JOIN r USING (event_id)""")
+def st4_renewed(t: Tables) -> DataFrame:
+    """A time to live of six hours that each row renews."""
+    return _in_order(t, ["user_id"], O.expiring(21_600_000, renew=True)).select("event_id", "late", "fresh")
+
+
+@query("st10_expiring_requests", _expiring_sql("props", 86_400_000))
+def st10_expiring(t: Tables) -> DataFrame:
+    """A request (its payload is the key) counts once a day."""
+    return _in_order(t, ["props"], O.expiring(86_400_000, renew=False)).select("event_id", "late", "fresh")
+
+
+@query("st5_limit_stream", _ARRIVALS + """r AS (SELECT *, row_number() OVER (PARTITION BY event_type, ms // 60000 ORDER BY ms, event_id) AS n FROM l WHERE NOT late),
+h AS (SELECT event_id, n, sum(CASE WHEN n <= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, ms // 3600000 ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS h FROM r)
+SELECT event_id, late, n <= 1 AND h <= 2 AS allowed FROM l LEFT JOIN h USING (event_id)""")
+def st5_stream(t: Tables) -> DataFrame:
+    """The decisions of the batch form, made on a stream in several batches."""
+    return _in_order(t, ["event_type"], O.limits(1, 2)).select("event_id", "late", "allowed")
+
+
+@query("st12_late_side_table", _ARRIVALS + "s AS (SELECT event_id, CASE WHEN late THEN 'late' ELSE 'on_time' END AS side FROM l) SELECT event_id, side FROM s")
+def st12_side(t: Tables) -> DataFrame:
+    """Late rows in a table of their own; both tables together hold every row."""
+    stream = O.in_order(_arriving(t), ["user_id"], "ts", "event_id", "2 hours", *O.limits(60, 1000))
+    on_time, late, checkpoint = (shared_path(t.spark) for _ in range(3))
+    O.drained_apart(stream, on_time, late, checkpoint)
+    read = lambda p, side: t.spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(p).select("event_id", F.lit(side).alias("side"))
+    return read(on_time, "on_time").unionByName(read(late, "late"))
