@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-_KNOWN = 250_000  # chunks of a generation; a worker remembers two of them
+_KNOWN, _KNOWN_CHARACTERS = 250_000, 8_000_000  # of the chunks of a generation; a task remembers two of them
+_LONG = 20_000  # characters of a chunk that is cut further, or whose lattice is not held
 _NEVER, _LOWEST = 1 << 62, -(1 << 62)
 
 
@@ -74,6 +75,40 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+class _Edges:
+    """The pieces that end at each place of a text, looked up anew each time: for lattices too long to be held."""
+
+    def __init__(self, vocabulary: Vocabulary, text: str):
+        self.vocabulary, self.text = vocabulary, text
+
+    def __getitem__(self, at: int) -> list[tuple]:
+        node, i, edges, longest = self.vocabulary.trie, at - 1, [], self.vocabulary.longest
+        for c in self.text[at - 1 : at - 1 - longest if at > longest else None : -1]:
+            step = node.get(c)
+            if step is None:
+                break
+            node, found = step
+            if found is not None:
+                edges.append((i, found))
+            i -= 1
+        if not edges or edges[0][0] != at - 1:
+            edges.append((at - 1, (self.vocabulary.fallback, self.vocabulary.fall_back(self.text[at - 1]))))
+        return edges
+
+
+def cut_long(vocabulary: Vocabulary, chunk: str, least: int = _LONG // 4) -> list[str]:
+    """A long chunk in parts of ``least`` characters or more, cut where no piece lies across: every segmentation passes there.
+
+    Where pieces overlap all the way (one letter over and over), it stays whole."""
+    edges, low, cuts = _Edges(vocabulary, chunk), len(chunk), [len(chunk)]
+    for j in range(len(chunk), 1, -1):
+        low = min(low, min(start for start, _ in edges[j]))
+        if low >= j - 1 and cuts[-1] - (j - 1) >= least:
+            cuts.append(j - 1)
+    bounds = [0, *reversed(cuts)]
+    return [chunk[a:b] for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+
+
 class Lattice:
     """Piece lattices of strings, one after the other; what a string begins like the one before it is kept.
 
@@ -86,7 +121,14 @@ class Lattice:
         self.into: list[list[tuple]] = [[]]
 
     def forward(self, text: str) -> None:
-        """Viterbi from where the text parts from the last one."""
+        """Viterbi from where the text parts from the last one. Of a long text, only scores are held."""
+        if len(text) > _LONG:
+            self.best, self.into, self.text = array("q", [0]), _Edges(self.vocabulary, text), text
+            for j in range(1, len(text) + 1):
+                self.best.append(max(self.best[i] + found[0] for i, found in self.into[j]))
+            return
+        if len(self.text) > _LONG:
+            self.best, self.into, self.text = [0], [[]], ""
         old, same = self.text, 0
         for a, b in zip(old, text, strict=False):
             if a != b:
@@ -200,7 +242,7 @@ class _Chunks(dict):
         if before is not None:
             before.before = None
         self.ids, self.ends, self.best, self.costs = array("i"), array("q", [0]), array("q"), array("q")
-        self.exact = bytearray()
+        self.exact, self.characters = bytearray(), 0
         #: the n best segmentations of chunks that gave a text's next best ones
         self.found: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
 
@@ -223,6 +265,7 @@ class _Chunks(dict):
         self.best.append(top)
         self.costs.append(cost)
         self.exact.append(exact)
+        self.characters += len(text)
         self[text] = len(self.best) - 1
 
     def n_best(self, chunk: str) -> list[tuple[int, tuple[int, ...]]]:
@@ -253,15 +296,21 @@ _held: _Chunks | None = None
 
 
 def _chunks(model: Vocabulary, n: int) -> _Chunks:
-    """The chunks that this worker remembers, over its tasks, up to a bound."""
+    """The chunks that this task remembers, up to a bound."""
     global _held
     if _held is None or _held.model is not model or _held.n != n:
         _held = _Chunks(model, n)
-    elif len(_held) > _KNOWN:
+    elif len(_held) > _KNOWN or _held.characters > _KNOWN_CHARACTERS:
         _held = _Chunks(model, n, _held)
     return _held
 
 
+def _forget() -> None:
+    """After a task: its worker stays, idle or with other work, and should not hold chunks meanwhile."""
+    global _held
+    _held = None
+
+
 def _some(texts: list[str | None], size: int = 2_000_000) -> Iterator[list[str | None]]:
     """Texts in order, about ``size`` characters at a time."""
     held, total = [], 0
@@ -286,15 +335,29 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST, id_col: str
     pieces it always does. Null and empty texts have no tokens and the score 0.
     Segmentations of equal score come in the order that the search meets them, the
     same each time. A null identifier stays null; repeated rows are encoded each; an
-    empty table gives no rows; further columns are ignored."""
+    empty table gives no rows; further columns are ignored. Whole texts are encoded; of a very long one, a task
+    holds its pieces. An unbroken run of any length is cut where no piece lies across, and where
+    there is no such place only its scores are held (under 100 bytes a character)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the model file, whatever the corpus is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            _forget()
+
+    def chunks_of(text: str | None) -> list[str]:
+        found = _CHUNK.findall(" " + text) if text else []
+        if text and max(map(len, found)) > _LONG:
+            found = [part for c in found for part in (cut_long(shared.value, c) if len(c) > _LONG else (c,))]
+        return found
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lens, scores, others, same = [np.empty(0, np.int32)], [], [], [], []
             for texts in _some(b.column("text").to_pylist()):
                 known = _chunks(shared.value, n)
-                cut = [_CHUNK.findall(" " + x) if x else [] for x in texts]
+                cut = list(map(chunks_of, texts))
                 known.learn(cut)
                 for chunks in cut:
                     own, best, changes, exact = known.text(chunks) if chunks else (ids[0][:0], [0.0], [], True)

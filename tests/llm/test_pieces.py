@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from mediaops.llm import pieces
 from mediaops.llm.pieces import MODEL, Lattice, Vocabulary, decode, encode, n_best, segmentations
 
 DOCS = "doc_id long, text string, token_ids string, scores int"
@@ -106,3 +107,25 @@ def test_whole_texts_and_round_trip(spark, model):
 
 def test_empty_table(spark, model):
     assert encode(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_long_runs_are_cut_where_no_piece_lies_across(model, monkeypatch):
+    rng = random.Random(21)
+    for run in ("".join(rng.choices("abcXYZ0189+/=_", k=700)), "a" * 300, "ab" * 200 + "漢" * 9 + "x" * 80, "é" * 50):
+        parts = pieces.cut_long(model, run, 10)
+        assert "".join(parts) == run and all(len(p) >= 10 or i == 0 for i, p in enumerate(parts))
+        whole = n_best(run, model, 1)[0]
+        assert whole[0] == sum(n_best(p, model, 1)[0][0] for p in parts)
+        want = [n_best(run, model, 4), Lattice(model).best_path(run)]
+        monkeypatch.setattr(pieces, "_LONG", 20)
+        held = Lattice(model)
+        assert [held.n_best(run, 4), held.best_path(run)] == want
+        assert held.n_best("short", 2) == n_best("short", model, 2)
+        monkeypatch.undo()
+
+
+def test_five_million_characters_without_a_space(spark, model):
+    rng = random.Random(22)
+    texts = {1: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=5_000_000)), 2: "z" * 100_000}
+    rows = encode(spark.createDataFrame([(i, t, "", 1) for i, t in texts.items()], DOCS), model).collect()
+    assert all(r.round_trip and model.decode(r.token_ids) == texts[r.doc_id] and len(r.scores) == 3 for r in rows)
