@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    return df.join(seen.select(key).distinct(), key, "left_anti")
+from .bloom import unseen as unseen
 
 
 def prioritised_lookup(df: DataFrame, cache: DataFrame, first: str, second: str, payload: str) -> DataFrame:
