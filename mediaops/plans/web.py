@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import aggregates as A
+from ..operators import dom as DOM
 from ..operators import graph as G
 from ..operators import html as H
 from ..operators import windows as W
@@ -132,23 +133,79 @@ def a28(t: Tables) -> DataFrame:
     return A.elect_strategy(p, "host", "p", "a")
 
 
-@query("a24_selector_evidence")
+_VOID = ", ".join(f"'{x}'" for x in sorted(H._NO_END))
+#: Elements as intervals. An end tag closes the nearest open element of its name and all inside it: an element ends with its own
+#: end tag (of the same name and level) or with that of an element around it, whichever comes first. Scripts, styles and comments hold no elements.
+_ELEMENTS = f"""WITH h AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<(script|style)[^>]*>).*?(</(script|style)>)', '\\1\\3', 'gis') AS h FROM pages),
+k AS (SELECT *, x LIKE '</%' AS closes, lower(regexp_extract(x, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM (SELECT page_id, url, unnest(regexp_extract_all(h, '</?[a-zA-Z][^>]*>')) AS x, generate_subscripts(regexp_extract_all(h, '</?[a-zA-Z][^>]*>'), 1) AS i FROM h)),
+d AS (SELECT page_id, i FROM (SELECT page_id, unnest(string_split_regex(h, '</?[a-zA-Z][^>]*>')) AS x, generate_subscripts(string_split_regex(h, '</?[a-zA-Z][^>]*>'), 1) AS i FROM h) WHERE regexp_matches(x, '\\b[0-9]{{1,2}}:[0-9]{{2}}\\b')),
+v AS (SELECT *, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, tag ORDER BY i ROWS UNBOUNDED PRECEDING) + CASE WHEN closes THEN 1 ELSE 0 END AS level FROM k WHERE tag NOT IN ({_VOID})),
+own AS (SELECT o.page_id, o.i, coalesce(min(c.i), 1000000000) AS own FROM v o LEFT JOIN v c ON c.page_id = o.page_id AND c.tag = o.tag AND c.level = o.level AND c.closes AND c.i > o.i WHERE NOT o.closes GROUP BY 1, 2),
+o AS (SELECT k.page_id, k.url, k.i, k.x, k.tag, coalesce(own.own, k.i) AS own, row_number() OVER (PARTITION BY k.page_id ORDER BY k.i) AS node FROM k LEFT JOIN own USING (page_id, i) WHERE NOT k.closes),
+e AS (SELECT x.page_id, x.url, x.i, x.x, x.tag, x.node, least(x.own, coalesce(min(y.own), 1000000000)) AS ends FROM o x LEFT JOIN o y ON y.page_id = x.page_id AND y.i < x.i AND y.own > x.i GROUP BY x.page_id, x.url, x.i, x.x, x.tag, x.node, x.own),
+dom AS MATERIALIZED (SELECT e.*, (SELECT count(*) FROM e y WHERE y.page_id = e.page_id AND y.i < e.i AND y.ends > e.i) + 1 AS depth, (SELECT max(y.node) FROM e y WHERE y.page_id = e.page_id AND y.i >= e.i AND (y.i < e.ends OR y.i = e.i)) AS last,
+row_number() OVER (PARTITION BY e.page_id ORDER BY e.ends, e.i DESC) AS post, (SELECT count(*) FROM d WHERE d.page_id = e.page_id AND d.i > e.i AND d.i <= e.ends) AS times_within, (SELECT count(*) FROM d WHERE d.page_id = e.page_id) AS times_in_page,
+nullif(regexp_extract(x, '\\sclass\\s*=\\s*["'']([^"'']*)["'']', 1), '') AS class, nullif(regexp_extract(x, '\\shref\\s*=\\s*["'']([^"'']*)["'']', 1), '') AS href, nullif(regexp_extract(x, '\\ssrc\\s*=\\s*["'']([^"'']*)["'']', 1), '') AS src FROM e)
+"""
+
+
+def _signatures_sql(tags: str) -> str:
+    """Selector, classes, href, video_above and near_duration of the wanted elements, by ranges of the element table."""
+    plain = "|".join(H.CHANCE_NAMES).replace("'", "''")
+    return _ELEMENTS + f""", st AS (SELECT *, list_filter(string_split_regex(coalesce(class, ''), '\\s+'), lambda c: c <> '') AS names FROM dom),
+sp AS (SELECT *, concat_ws('.', tag, coalesce(list_filter(names, lambda c: regexp_matches(c, '{H.BEM.pattern}'))[1], list_filter(names, lambda c: length(c) > 2 AND NOT regexp_matches(c, '{plain}'))[1])) AS step FROM st),
+w AS (SELECT * FROM sp WHERE tag IN ({tags})),
+up AS (SELECT w.page_id, w.node, list(s.step ORDER BY s.depth DESC) FILTER (s.tag <> 'html') AS steps, array_to_string(list_reverse(flatten(list(list_reverse(s.names) ORDER BY s.depth DESC) FILTER (w.depth - s.depth < 3))), ' ') AS classes,
+coalesce(any_value(s.times_within) FILTER (w.depth - s.depth = 4), any_value(w.times_in_page)) > 0 AS near_duration FROM w JOIN sp s ON s.page_id = w.page_id AND w.node BETWEEN s.node AND s.last AND w.depth - s.depth <= 4 GROUP BY 1, 2),
+li AS (SELECT w.page_id, w.node, arg_max(s.href, s.node) FILTER (s.href IS NOT NULL) AS href, bool_or(regexp_matches(coalesce(s.href, ''), '(?i)/(video|watch|v|id)/|embed/|player/') OR contains(lower(coalesce(s.class, '')), 'go')) AS video FROM w JOIN sp s ON s.page_id = w.page_id AND w.node > s.node AND w.node <= s.last AND s.tag = 'a' GROUP BY 1, 2),
+sig AS MATERIALIZED (SELECT w.page_id, w.url, w.node, array_to_string(list_reverse(steps[1:4]), ' ') AS selector, classes, li.href, coalesce(li.video, false) AS video_above, 0 AS srcset_entries, w.src, near_duration FROM w JOIN up USING (page_id, node) LEFT JOIN li USING (page_id, node))
+"""
+
+
+_EVIDENCE = _signatures_sql("'a'") + f""", ev AS (SELECT {HOST.format(u='url')} AS host, selector, count(*) AS repeats, count_if(near_duration) AS duration, count_if(video_above) AS video_href,
+sum(CASE WHEN classes = '' THEN 0 ELSE greatest(0, len(list_filter(string_split(classes, ' '), lambda c: regexp_matches(lower(c), '{"|".join(H.POSITIVE_HINTS)}'))) - len(list_filter(string_split(classes, ' '), lambda c: regexp_matches(lower(c), '{"|".join(H.NEGATIVE_HINTS)}')))) END)::BIGINT AS class_hits,
+count_if(srcset_entries > 1) AS srcset_count, count(DISTINCT page_id) AS containers FROM sig GROUP BY 1, 2),
+sc AS (SELECT *, greatest(0, least(1, (CASE WHEN repeats >= 12 THEN 2 WHEN repeats >= 6 THEN 1 ELSE repeats / 12 END + CASE WHEN duration >= 3 THEN 2 ELSE greatest(duration, 0) / 3 END + CASE WHEN video_href >= 3 THEN 2 ELSE greatest(video_href, 0) / 3 END + CASE WHEN class_hits >= 3 THEN 1 ELSE greatest(class_hits, 0) / 3 END + CASE WHEN srcset_count >= 5 THEN 1 ELSE greatest(srcset_count, 0) / 5 END) / 8)) AS score FROM ev)
+"""
+_A24 = _EVIDENCE + "SELECT host, selector, repeats, video_href, class_hits, srcset_count, containers, round(score, 6) AS score FROM sc"
+
+
+@query("a24_selector_evidence", _A24)
 def a24(t: Tables) -> DataFrame:
     """Evidence for anchors, as the pages hold no images."""
     e = H.selector_evidence(H.node_signatures(t.pages, "a"))
     return e.select("host", "selector", "repeats", "video_href", "class_hits", "srcset_count", "containers", F.round("score", 6).alias("score"))
 
 
-@query("a25_repeated_containers")
+@query("a24_dom_evidence", _A24)
+def a24_dom(t: Tables) -> DataFrame:
+    """The same from the element table, by ranges."""
+    e = H.selector_evidence(DOM.signatures(DOM.elements(t.pages), ["a"]))
+    return e.select("host", "selector", "repeats", "video_href", "class_hits", "srcset_count", "containers", F.round("score", 6).alias("score"))
+
+
+@query("a25_repeated_containers", _EVIDENCE + """SELECT host, selector, rank, repeats, containers FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, selector)::INT AS rank FROM sc WHERE containers >= 3 AND repeats >= 2) WHERE rank <= 10""")
 def a25(t: Tables) -> DataFrame:
     return H.repeated_containers(H.selector_evidence(H.node_signatures(t.pages, "a"))).select("host", "selector", "rank", "repeats", "containers")
 
 
-@query("f19_stable_selectors")
+@query("f19_stable_selectors", _signatures_sql("'p', 'h1'") + "SELECT selector, count(*) AS n FROM sig GROUP BY 1")
 def f19(t: Tables) -> DataFrame:
     return H.node_signatures(t.pages, "p,h1").groupBy("selector").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("f19_dom_elements", _ELEMENTS + "SELECT page_id, node, last, post, depth, tag, class, href FROM dom")
+def f19_elements(t: Tables) -> DataFrame:
+    return DOM.elements(t.pages).select("page_id", *[F.col(c).cast("long").alias(c) for c in ("node", "last", "post", "depth")], "tag", "class", "href")
+
+
+@query("f19_dom_signatures", _signatures_sql("'a', 'p', 'b', 'h1', 'title'") + "SELECT page_id, node, selector, classes, href, video_above, near_duration FROM sig")
+def f19_signatures(t: Tables) -> DataFrame:
+    """Selector, classes and links above of each element of five kinds, by ranges of the element table."""
+    s = DOM.signatures(DOM.elements(t.pages), ["a", "p", "b", "h1", "title"])
+    return s.select("page_id", F.col("node").cast("long").alias("node"), "selector", "classes", "href", "video_above", "near_duration")
+
+
 @query("w2_first_seen_links", ANCHORS + "SELECT page_id, target, pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY pos) AS rn FROM a) WHERE rn = 1")
 def w2(t: Tables) -> DataFrame:
     return W.top_n(H.anchors(t.pages), ["page_id", "target"], [F.col("pos")], 1).select("page_id", "target", "pos")
