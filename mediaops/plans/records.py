@@ -16,6 +16,8 @@ from ..operators import joins as J
 from ..operators import vectors as V
 from ..operators import windows as W
 from ..sources import writers
+from ..sources.filetable import FileTable
+from ..sources.shared import shared_path
 from .registry import Tables, query
 
 AS_OF = dt.datetime(2024, 1, 25)
@@ -184,6 +186,50 @@ def r4(t: Tables) -> DataFrame:
     return t.orders.filter(F.col("o_orderstatus").isin("F", "P") & C.expired("o_orderdate", dt.datetime(1998, 1, 1), 1)).select("o_orderkey")
 
 
+# ---- changes to stored tables: only touched files are rewritten -----------
+
+
+def _stored(t: Tables, df: DataFrame, *by: str) -> FileTable:
+    return FileTable(t.spark, shared_path(t.spark)).create(df.repartitionByRange(16, *by))
+
+
+@query("s11_upsert_files", """SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def s11_files(t: Tables) -> DataFrame:
+    """A table of users' latest events; a later event of each of some users comes as a change, some users are new."""
+    e = t.events.select("user_id", "event_id", "ts", "value")
+    first = (F.col("event_id") % 3 == 0) & (F.col("user_id") % 10 != 1)
+    table = _stored(t, W.top_n(e.filter(first), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 1), "user_id")
+    table.upsert(e.filter(~first), ["user_id"], ["ts", "event_id"])
+    return table.read().select("user_id", "event_id", "value")
+
+
+@query("s12_upsert_files", """SELECT vec_id, regexp_replace(substr(sha256(vec_id::VARCHAR), 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS point_id, CASE WHEN vec_id % 50 = 3 THEN -1 ELSE label END AS label
+FROM embeddings WHERE len(embedding) = 64 AND sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) > 1e-6""")
+def s12_files(t: Tables) -> DataFrame:
+    """Points by their deterministic identifier: a change replaces one in fifty and adds one in fifty."""
+    p = V.upsertable(t.embeddings, "vec_id", "embedding", 64).select("vec_id", "point_id", "unit", "label", F.lit(0).alias("version"))
+    table = _stored(t, p.filter("vec_id % 50 <> 7"), "point_id")
+    change = p.filter("vec_id % 50 in (3, 7)").withColumn("version", F.lit(1)).withColumn("label", F.when(F.col("vec_id") % 50 == 3, -1).otherwise(F.col("label")))
+    table.upsert(change, ["point_id"], ["version"])
+    return table.read().select("vec_id", "point_id", "label")
+
+
+@query("p22_update_files", """SELECT c_custkey, CASE WHEN c_custkey BETWEEN 20 AND 120 THEN 'deleted' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 100 = 1 THEN 'renamed' ELSE c_name END AS c_name FROM customer""")
+def p22_files(t: Tables) -> DataFrame:
+    """A soft delete and a selective update."""
+    table = _stored(t, t.customer.select("c_custkey", "c_mktsegment", "c_name"), "c_custkey")
+    table.update(F.col("c_custkey").between(20, 120), {"c_mktsegment": F.lit("deleted")})
+    table.update(F.col("c_custkey") % 100 == 1, {"c_name": F.lit("renamed")})
+    return table.read()
+
+
+@query("r1_retention_files", f"SELECT event_id, user_id FROM events WHERE NOT (ts < {CUTOFF})")
+def r1_files(t: Tables) -> DataFrame:
+    table = _stored(t, t.events, "ts")
+    table.delete(C.expired("ts", AS_OF, 7))
+    return table.read().select("event_id", "user_id")
+
+
 # ---- quality gates --------------------------------------------------------
 
 _GATE = {p: v for p, v in P.QUALITY_PRESETS.items()}
