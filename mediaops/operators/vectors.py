@@ -61,12 +61,8 @@ def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.copysign(np.floor(np.abs(x) * 10**digits + 0.5) / 10**digits, x) + 0.0
 
 
-def exact_top_k(probes: DataFrame, corpus: DataFrame, scope: str, k: int, threshold: float, digits: int = 4) -> DataFrame:
-    """probe_id, id, score, rank: each probe's k best of its scope with a score of ``threshold`` at least.
-
-    Inputs have id, v and the scope. Each pair of blocks hands on at most k rows of a
-    probe; ties go to the smaller id."""
-    kind = dict(corpus.dtypes)["id"]
+def _best_of(k: int, threshold: float, digits: int) -> Callable[[np.ndarray, pa.Table, pa.Table], pa.Table]:
+    """Of a block's products, each probe's k best with a score of ``threshold`` at least, itself left out."""
 
     def pick(scores: np.ndarray, left: pa.Table, right: pa.Table) -> pa.Table:
         scores, ids, own = _rounded(scores, digits), right["id"].to_numpy(), left["id"].to_numpy()
@@ -77,7 +73,17 @@ def exact_top_k(probes: DataFrame, corpus: DataFrame, scope: str, k: int, thresh
         keep = (got >= threshold) & np.isfinite(got)
         return pa.table({"probe_id": left["id"].take(pa.array(rows[keep])), "id": right["id"].take(pa.array(best.ravel()[keep])), "score": pa.array(got[keep])})
 
-    met = _meet(probes, corpus, scope, [], pick, f"probe_id {kind}, id {kind}, score double")
+    return pick
+
+
+def exact_top_k(probes: DataFrame, corpus: DataFrame, scope: str, k: int, threshold: float, digits: int = 4) -> DataFrame:
+    """probe_id, id, score, rank: each probe's k best of its scope with a score of ``threshold`` at least.
+
+    Inputs have id, v and the scope. Each pair of blocks hands on at most k rows of a
+    probe; ties go to the smaller id."""
+    kind = dict(corpus.dtypes)["id"]
+
+    met = _meet(probes, corpus, scope, [], _best_of(k, threshold, digits), f"probe_id {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("probe_id", "id", "score", "rank")
 
@@ -121,3 +127,99 @@ def lsh_top_k(probes: DataFrame, corpus: DataFrame, k: int, radius: float, seed:
     met = model.fit(b).approxSimilarityJoin(a, b, radius, "d").filter("datasetA.id <> datasetB.id")
     out = met.select(F.col("datasetA.id").alias("probe_id"), F.col("datasetB.id").alias("id"), F.round(dot(F.col("datasetA.v"), F.col("datasetB.v")), 4).alias("score"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k)
+
+
+# ---- approximate top-k by sign hashes --------------------------------------
+
+TABLES, BUCKET_ROWS, FLIPPED, SAMPLE = 8, 24, 12, 64
+
+
+class SignIndex:
+    """Signs of random projections: ``tables`` keys of ``bits`` bits for each vector.
+
+    A query also probes the keys that its smallest margins might as well have had: flips of its ``FLIPPED``
+    least certain bits, the cheapest first, where a flip costs its squared margin."""
+
+    def __init__(self, rows: int, dim: int, tables: int = TABLES, seed: int = 42):
+        self.bits = int(min(40, max(2, round(np.log2(max(rows, 1) / BUCKET_ROWS)))))
+        self.planes = np.random.default_rng(seed).normal(size=(dim, tables * self.bits))
+        self.tables, self.weights = tables, 1 << np.arange(self.bits)
+        low = min(FLIPPED, self.bits)
+        self.patterns = (np.arange(1 << low)[:, None] >> np.arange(low) & 1).astype(bool)
+
+    def margins(self, v: np.ndarray) -> np.ndarray:
+        """Projections of each vector (row), table and bit."""
+        return (v @ self.planes).reshape(len(v), self.tables, self.bits)
+
+    def keys(self, margins: np.ndarray) -> np.ndarray:
+        """One number a table, different in all tables."""
+        return ((margins > 0) * self.weights).sum(axis=2) + (np.arange(self.tables) << self.bits)
+
+    def probes(self, margins: np.ndarray, n: int) -> np.ndarray:
+        """The n cheapest keys a table of each query, as many as there are at most."""
+        own, low = self.keys(margins), self.patterns.shape[1]
+        n = min(n, len(self.patterns))
+        order = np.argsort(np.abs(margins), axis=2)[:, :, :low]
+        cost = np.take_along_axis(margins, order, axis=2) ** 2 @ self.patterns.T
+        best = np.argpartition(cost, n - 1, axis=2)[:, :, :n]
+        flips = (self.patterns[best] * self.weights[order][:, :, None, :]).sum(axis=3)
+        return own[:, :, None] ^ flips
+
+    def needed(self, query: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """How many probes a table each query needs to meet the vector beside it in some table; more than there are, if none does."""
+        a, b, low = self.margins(query), self.margins(found), self.patterns.shape[1]
+        differ = (a > 0) != (b > 0)
+        order = np.argsort(np.abs(a), axis=2)[:, :, :low]
+        near = np.take_along_axis(a, order, axis=2) ** 2
+        own = (np.take_along_axis(differ, order, axis=2) * near).sum(axis=2)
+        rank = (near @ self.patterns.T <= own[:, :, None]).sum(axis=2)
+        rank[differ.sum(axis=2) > np.take_along_axis(differ, order, axis=2).sum(axis=2)] = len(self.patterns) + 1
+        return rank.min(axis=1)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _bucketed(df: DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """id, v, bucket: a row for each key that ``make`` gives a vector."""
+    kind = dict(df.dtypes)["id"]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                keys = make(_vectors(part.column("v"))).reshape(part.num_rows, -1)
+                take = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+                yield pa.record_batch({"id": part.column("id").take(take), "v": part.column("v").take(take), "bucket": pa.array(keys.reshape(-1))})
+
+    return df.select("id", "v").mapInArrow(run, f"id {kind}, v array<double>, bucket long")
+
+
+def sign_top_k(probes: DataFrame, corpus: DataFrame, k: int, recall: float = 0.95, seed: int = 42, digits: int = 4, n_probes: int | None = None) -> DataFrame:
+    """probe_id, id, score, rank: about the k best of each probe by inner product, ranked by exact products.
+
+    Unless it is given, the number of keys that a query probes is measured: ``SAMPLE`` probes, chosen by hash, are compared
+    with the whole corpus, and as many keys are probed as ``recall`` of their k best need. Vectors with structure need few; without
+    any, the buckets tell little and much of the corpus is compared. Buckets are compared in blocks, so a hot one is spread over many tasks.
+    Vectors that are null, hold nulls or have another length than the first by id take no part."""
+    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    a, b = (d.filter(whole).select("id", F.col("v").cast("array<double>").alias("v")) for d in (probes, corpus))
+    size = b.agg(F.count(F.lit(1)), F.min_by(F.size("v"), "id")).first()
+    schema = f"probe_id {dict(corpus.dtypes)['id']}, id {dict(corpus.dtypes)['id']}, score double"
+    if not size[0]:
+        return corpus.sparkSession.createDataFrame([], f"{schema}, rank int")
+    a, b = (d.filter(F.size("v") == size[1]) for d in (a, b))
+    index = SignIndex(size[0], size[1], seed=seed)
+    pick = _best_of(k, float("-inf"), digits)
+    if n_probes is None:
+        some = a.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE)
+        found = _meet(some, b, None, [], pick, schema)
+        order = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "id"))
+        best = found.withColumn("rank", order).filter(F.col("rank") <= k)
+        pairs = best.join(some.select(F.col("id").alias("probe_id"), F.col("v").alias("q")), "probe_id").join(b.select("id", F.col("v").alias("c")), "id").select("q", "c").collect()  # SAMPLE * k rows
+        n_probes = int(np.quantile(index.needed(*(np.array([r[i] for r in pairs]) for i in (0, 1))), recall, method="higher")) if pairs else 1
+    asked = _bucketed(a, lambda v: index.probes(index.margins(v), n_probes))
+    filed = _bucketed(b, lambda v: index.keys(index.margins(v))).join(asked.select("bucket").distinct(), "bucket", "left_semi")
+    met = _meet(asked, filed, "bucket", [], pick, schema).distinct()
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k).select("probe_id", "id", "score", "rank")

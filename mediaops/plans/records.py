@@ -384,6 +384,13 @@ def v2(t: Tables) -> DataFrame:
     return V.lsh_top_k(p.filter("id % 100 = 0"), p, 10, 1.35)
 
 
+@query("v2_sign_top_k")
+def v2_sign(t: Tables) -> DataFrame:
+    """By sign hashes; as many buckets are probed as sampled neighbours need."""
+    p = _points(t)
+    return V.sign_top_k(p.filter("id % 100 = 0"), p, 10)
+
+
 @query("j10_labelled_pairs", _PAIRS + "SELECT a, b, same, score FROM p")
 def j10(t: Tables) -> DataFrame:
     p = _points(t)
