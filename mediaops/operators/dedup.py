@@ -2,7 +2,7 @@
 
 Near duplicates share a tenant and a hash prefix by definition; close hashes with
 another prefix are not looked for. The block is the join's equality, so rows are
-compared inside blocks only."""
+compared inside blocks only, and crowded blocks are split further."""
 
 from __future__ import annotations
 
@@ -31,13 +31,48 @@ def exact_flags(df: DataFrame, h: str, order: list[str]) -> DataFrame:
     return met.withColumn("is_dup", F.coalesce(wellformed(h) & (place != F.col("_first")), F.lit(False))).drop("_h", "_first")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, tenant: str, h: str, key: str, most: int = 8, bits: int = 16) -> DataFrame:
+def _segments(h: str, n: int, bits: int) -> Column:
+    """The bits of a 16-digit hash behind its first ``bits``, in n segments of nearly equal width."""
+    rest, width = F.conv(F.substring(h, bits // 4 + 1, 16 - bits // 4), 16, 10).cast("long"), 64 - bits
+    ends = [width * i // n for i in range(n + 1)]
+    return F.array(*[F.shiftright(rest, x).bitwiseAND(F.lit((1 << (y - x)) - 1)) for x, y in zip(ends, ends[1:], strict=False)])
+
+
+def _subkeys(h: str, most: int, bits: int) -> Column:
+    """A number for each two of ``most + 2`` segments. Hashes within ``most`` bits have two segments in common, so they share a number."""
+    n = most + 2
+    two = [(i, j) for i in range(n) for j in range(i)]
+    s = _segments(h, n, bits)
+    return F.array(*[F.lit(place).cast("long") * (1 << 40) + s[i] * (1 << 20) + s[j] for place, (i, j) in enumerate(two)])
+
+
+CROWDED = 1000  # hashes of a tenant and prefix from which their block is split
+
+
+def near_pairs(left: DataFrame, right: DataFrame, tenant: str, h: str, key: str, most: int = 8, bits: int = 16, crowded: int = CROWDED) -> DataFrame:
     """Pairs (left key, right key, distance) of equal tenant and prefix within ``most`` bits.
 
-    Give one row a hash (see ``representatives``): equal hashes would meet all with all."""
-    a = left.filter(wellformed(h)).select(tenant, F.col(key).alias("left_key"), F.col(h).alias("_a"), phash_prefix(F.lower(h), bits).alias("_p"))
-    b = right.filter(wellformed(h)).select(tenant, F.col(key).alias("right_key"), F.col(h).alias("_b"), phash_prefix(F.lower(h), bits).alias("_p"))
-    return a.join(b, [tenant, "_p"]).withColumn("distance", hamming_hex(F.col("_a"), F.col("_b"))).filter(F.col("distance") <= most).select("left_key", "right_key", "distance")
+    Give one row a hash (see ``representatives``): equal hashes would meet all with all. A block with many hashes
+    is not compared all with all: behind the prefix, hashes this near have two of ``most + 2`` segments in common, and only
+    those that do meet, in blocks by tenant, prefix and these two. That takes hashes of 16 digits; the few of
+    another length in a crowded block meet all of it."""
+
+    def rows(df: DataFrame, side: str) -> DataFrame:
+        return df.filter(wellformed(h)).select(F.col(tenant).alias("_t"), F.col(key).alias(f"{side}_key"), F.lower(h).alias(f"_{side}"), phash_prefix(F.lower(h), bits).alias("_p"))
+
+    a, b = rows(left, "left"), rows(right, "right")
+    full = b.groupBy("_t", "_p").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select("_t", "_p", F.lit(True).alias("_full"))
+    a, b = (x.join(full, ["_t", "_p"], "left").withColumn("_full", F.coalesce("_full", F.lit(False))) for x in (a, b))
+    split_a, split_b = (F.col("_full") & (F.length(c) == 16) for c in ("_left", "_right"))
+
+    def distances(met: DataFrame) -> DataFrame:
+        return met.withColumn("distance", hamming_hex(F.col("_left"), F.col("_right"))).filter(F.col("distance") <= most).select("left_key", "right_key", "distance")
+
+    plain = distances(a.filter(~split_a).join(b.drop("_full"), ["_t", "_p"])).unionByName(distances(a.filter(split_a).join(b.filter(~split_b).drop("_full"), ["_t", "_p"])))
+    if most + 2 > 64 - bits:
+        return distances(a.join(b.drop("_full"), ["_t", "_p"]))
+    x, y = (df.filter(cond).withColumn("_k", F.explode(_subkeys(c, most, bits))).drop("_full") for df, cond, c in ((a, split_a, "_left"), (b, split_b, "_right")))
+    return plain.unionByName(distances(x.join(y, ["_t", "_p", "_k"])).distinct())
 
 
 def representatives(df: DataFrame, tenant: str, h: str, key: str) -> DataFrame:
@@ -50,7 +85,14 @@ def near_flags(df: DataFrame, tenant: str, h: str, key: str, most: int = 8) -> D
 
     Equal hashes meet once: blocks hold distinct hashes with their smallest key."""
     first = df.groupBy(tenant, h).agg(F.min(key).alias(key))
-    earlier = near_pairs(first, first, tenant, h, key, most).filter("right_key < left_key").select(F.col("left_key").alias("_k")).distinct()
+    prefix = phash_prefix(F.lower(h))
+    heads = first.filter(wellformed(h)).groupBy(F.col(tenant).alias("_t"), prefix.alias("_p")).agg(F.min(F.struct(key, h)).alias("_head"))
+    met = first.filter(wellformed(h)).withColumn("_q", prefix).join(heads, (F.col(tenant) == F.col("_t")) & (F.col("_q") == F.col("_p")))
+    by_head = (F.col(key) > F.col(f"_head.{key}")) & (hamming_hex(F.col(h), F.col(f"_head.{h}")) <= most)
+    # a block's first hash settles those around it; only the others look for an earlier one
+    settled = met.filter(by_head).select(F.col(key).alias("_k"))
+    open_ = met.filter(~by_head).select(tenant, h, key)
+    earlier = near_pairs(open_, first, tenant, h, key, most).filter("right_key < left_key").select(F.col("left_key").alias("_k")).unionByName(settled).distinct()
     near = first.join(earlier, F.col(key) == F.col("_k"), "left").select(tenant, h, F.col(key).alias("_first"), F.col("_k").isNotNull().alias("_near"))
     met = df.alias("d").join(near.alias("n"), F.col(f"d.{tenant}").eqNullSafe(F.col(f"n.{tenant}")) & F.col(f"d.{h}").eqNullSafe(F.col(f"n.{h}")), "left")
     flag = wellformed(f"d.{h}") & (F.coalesce(F.col("_near"), F.lit(False)) | (F.col(f"d.{key}") > F.col("_first")))
