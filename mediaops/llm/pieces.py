@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-_KNOWN, _KNOWN_CHARACTERS = 250_000, 8_000_000  # of the chunks of a generation; a task remembers two of them
+_KNOWN, _KNOWN_CHARACTERS = 250_000, 8_000_000  # of the chunks of a generation; a task remembers two of them, an idle worker one
 _LONG = 20_000  # characters of a chunk that is cut further, or whose lattice is not held
 _NEVER, _LOWEST = 1 << 62, -(1 << 62)
 
@@ -296,7 +296,7 @@ _held: _Chunks | None = None
 
 
 def _chunks(model: Vocabulary, n: int) -> _Chunks:
-    """The chunks that this task remembers, up to a bound."""
+    """The chunks that this worker remembers, over its tasks, up to a bound."""
     global _held
     if _held is None or _held.model is not model or _held.n != n:
         _held = _Chunks(model, n)
@@ -305,10 +305,11 @@ def _chunks(model: Vocabulary, n: int) -> _Chunks:
     return _held
 
 
-def _forget() -> None:
-    """After a task: its worker stays, idle or with other work, and should not hold chunks meanwhile."""
-    global _held
-    _held = None
+def _rest() -> None:
+    """After a task: its worker may stay idle or do other work, and holds one generation of chunks meanwhile."""
+    if _held is not None:
+        _held.before, _held.lattice = None, Lattice(_held.model)
+        _held.found.clear()
 
 
 def _some(texts: list[str | None], size: int = 2_000_000) -> Iterator[list[str | None]]:
@@ -344,7 +345,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST, id_col: str
         try:
             yield from encoded(batches)
         finally:
-            _forget()
+            _rest()
 
     def chunks_of(text: str | None) -> list[str]:
         found = _CHUNK.findall(" " + text) if text else []
