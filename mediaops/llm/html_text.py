@@ -22,7 +22,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,13 +58,20 @@ _CLOSED_BY = {
 }
 _COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
 _HEADERS = frozenset("header masthead banner".split())
+#: Words of a header that is an article's own.
+_ARTICLE_WORDS = frozenset("article content entry post section story title".split())
+#: Words that inside an article name parts of it as well: a warning, the dishes of a restaurant.
+_OWN = frozenset("menu notice notices".split())
 _SIDE_WORDS = _COMMENTS | _HEADERS | frozenset(
     "ad ads adbox advert adverts advertisement advertising banners sponsor sponsored promo promotion sidebar rail nav navbar navigation menu "
     "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal "
     "overlay share sharing social related recommended recommendations pagination pager toolbar".split()
 )
 #: Words of a class that say nothing of what the part is.
-_PLAIN_WORDS = frozenset("area bar block bottom box col column container div global group inner item items left link links list main outer page panel post primary reader right secondary section site slot top unit user wrap wrapper the".split())
+_PLAIN_WORDS = frozenset("area bar block bottom box col column container div global group inner item items left link links list main outer page panel post posts articles stories primary reader right secondary section site slot top unit user wrap wrapper the".split())
+#: Words that tell even of a paragraph or a link that it is no part of the text.
+_STRONG = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe share sharing".split())
+_SMALL = frozenset("p a b i em strong small figure h2 h3 h4 h5 h6".split())
 _SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _CONTAINERS = frozenset("address article aside body center details div dl fieldset figure footer form header main menu nav ol search section table tbody td tr ul li span".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.DOTALL)
@@ -82,7 +90,8 @@ def _attributes(attrs: str) -> tuple[str, set[str], bool]:
             for one in value.split():
                 words = {w.lower() for w in _WORDS.findall(one)}
                 if words & _SIDE_WORDS and words <= _SIDE_WORDS | _PLAIN_WORDS or re.fullmatch("(?i)(.*[-_])?ads?([-_].*)?", one):
-                    side |= words & _SIDE_WORDS or {"ad"}
+                    if not (words & _SIDE_WORDS <= _HEADERS and words & _ARTICLE_WORDS):
+                        side |= words & _SIDE_WORDS or {"ad"}
         elif name == "role":
             side |= {value.strip().lower()} & _SIDE_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -92,147 +101,208 @@ def _attributes(attrs: str) -> tuple[str, set[str], bool]:
     return style, side, hidden
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(node path, text) of each block of a page, in page order, without parts that are never main text.
-
-    Text is decoded, its white space is single spaces, and empty blocks are left
-    out. End tags that were left out are implied as browsers imply them."""
-    stack: list[tuple[str, str, bool, dict[str, int], tuple[int, ...], bool]] = []  # tag, path, left out, children so far, side parts around, in main
-    top: dict[str, int] = {}
-    parts: list[str] = []
-    sides: list[set[str]] = []  # what names each side part
-    mains: list[tuple[int, ...]] = []  # side parts around each <article> and <main>
-    found: list[tuple[str, str, tuple[int, ...], bool]] = []
-    at, n = 0, len(page)
-
-    def ended() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
+class _Element(NamedTuple):
+    """An open element: its tag, node, innermost block element and side part around it (places in the stack, and in the list of sides)."""
+
+    tag: str
+    node: int
+    muted: bool
+    like: dict[str, int]
+    block: int
+    side: int
+    in_main: bool
+
+
+class Page:
+    """A page's nodes and blocks, in one pass. Memory is linear in the page whatever its nesting: a node holds its step and its parent, no path.
+
+    ``parents`` and ``steps`` of each node; ``stated``: whether it lies in <article> or <main>; ``found``: node, text and
+    innermost side part of each block, with whether it is a paragraph. Text is decoded, its white space is single spaces, and empty
+    blocks are left out. End tags that were left out are implied as browsers imply them."""
+
+    def __init__(self, page: str):
+        self.parents, self.steps, self.stated = [-1], [""], [False]
+        self.found: list[tuple[int, str, int, bool]] = []
+        self.sides: list[tuple[set[str], int, bool]] = []  # what names each side part, the one around it, and whether it is too small to hold an article
+        self.mains: list[int] = []  # side part around each <article> and <main>
+        self.stack = [_Element("", 0, False, {}, 0, -1, False)]
+        self.open: dict[str, list[int]] = {}  # places in the stack of each tag's open elements
+        self.parts: list[str] = []
+        self._read(page)
+
+    def _ended(self) -> None:
+        text = " ".join(html.unescape("".join(self.parts)).split())
+        self.parts.clear()
         if text:
-            owner = next((x for x in reversed(stack) if x[0] in _BLOCK), ("", "", False, top, (), False))
-            around = stack[-1][4] if stack else ()
-            found.append((owner[1], text, around, owner[0] in _PARAGRAPH))
-
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not stack or not stack[-1][2]:
-            parts.append(page[at : m.start() if m else n])
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if m[1]:
-            if tag == "p" and not any(x[0] == "p" for x in stack):
-                ended()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(x[0] in _BLOCK for x in stack[k:]):
-                        ended()
-                    del stack[k:]
-                    break
-                if tag not in _BLOCK and stack[k][0] in _BLOCK:
-                    break  # a stray inline end tag closes no block
-            continue
+            top = self.stack[-1]
+            owner = self.stack[top.block]
+            self.found.append((owner.node, text, top.side, owner.tag in _PARAGRAPH))
+
+    def _shut(self, k: int) -> None:
+        """Close the elements from place k of the stack on."""
+        for x in self.stack[k:]:
+            self.open[x.tag].pop()
+        del self.stack[k:]
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        return max((at[-1] for at in map(self.open.get, tags) if at), default=0)
+
+    def _end_tag(self, tag: str) -> None:
+        k = self._last((tag,))
+        if tag == "p" and not k:
+            self._ended()
+        # a stray inline end tag closes no block
+        if k and (tag in _BLOCK or k > self.stack[-1].block):
+            if self.stack[-1].block >= k:
+                self._ended()
+            self._shut(k)
+
+    def _start_tag(self, tag: str, attrs: str) -> bool:
+        """Whether the element has content to come."""
         if tag in _BLOCK:
-            ended()
-            if tag in _ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _BLOCK:
-                        break
+            self._ended()
+            if tag in _ENDS_P and self.stack[self.stack[-1].block].tag == "p":
+                self._shut(self.stack[-1].block)
         if tag in _CLOSED_BY:
-            ends, within = _CLOSED_BY[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    ended()
-                    del stack[k:]
-                    break
-                if stack[k][0] in within:
-                    break
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
-            continue
-        style, named, hidden = _attributes(m[3]) if m[3].strip() else ("", set(), False)
-        above = stack[-1] if stack else ("", "", False, top, (), False)
-        like = above[3]
-        like[tag + style] = like.get(tag + style, 0) + 1
-        around, in_main = above[4], above[5]
-        if in_main:  # an article's own header
-            named = named - _HEADERS
+            ends, within = map(self._last, _CLOSED_BY[tag])
+            if ends and ends > within:
+                self._ended()
+                self._shut(ends)
+        if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
+            return False
+        style, named, hidden = _attributes(attrs) if attrs.strip() else ("", set(), False)
+        above = self.stack[-1]
+        above.like[tag + style] = above.like.get(tag + style, 0) + 1
+        side, in_main = above.side, above.in_main
+        if in_main:  # an article's own header, a warning or a list of dishes in it
+            named = named - _HEADERS - _OWN
         if tag in _SIDE and not (tag == "header" and in_main):
             named = named | {tag}
         inside = False
-        if named and tag in _CONTAINERS and tag not in ("body", "html"):
+        if named and tag not in ("body", "html") and (tag in _CONTAINERS or tag in _SMALL and named & _STRONG):
             inside = tag not in _BLOCK  # a part of its block, which goes on after it
             if not inside:
-                sides.append(named)
-                around = (*around, len(sides) - 1)
+                self.sides.append((named, side, tag in _SMALL and tag not in _CONTAINERS))
+                side = len(self.sides) - 1
         if tag in _MAIN:
-            mains.append(around)
-        stack.append((tag, f"{above[1]}/{tag}{style}[{like[tag + style]}]".replace(" ", "."), above[2] or tag in _NEVER or hidden or inside, {}, around, in_main or tag in _MAIN))
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
-            at = end.end()
-            stack.pop()
-    ended()
-    gone = _side_parts(sides, mains, found) if sides else set()
-    return [(path, text) for path, text, around, _ in found if not gone.intersection(around)]
-
-
-def _side_parts(sides: list[set[str]], mains: list[tuple[int, ...]], found: list[tuple[str, str, tuple[int, ...], bool]]) -> set[int]:
-    """The side parts that go: all, but for those around the article."""
-    gone = set(range(len(sides)))
-    if mains:
-        if all(mains):
-            for around in mains:
-                gone.difference_update(i for i in around if not sides[i] & _COMMENTS)
+            self.mains.append(above.side)
+        node, place = len(self.parents), len(self.stack)
+        self.parents.append(above.node)
+        self.steps.append(f"{tag}{style}[{above.like[tag + style]}]")
+        self.stated.append(in_main or tag in _MAIN)
+        self.stack.append(_Element(tag, node, above.muted or tag in _NEVER or hidden or inside, {}, place if tag in _BLOCK else above.block, side, in_main or tag in _MAIN))
+        self.open.setdefault(tag, []).append(place)
+        return True
+
+    def _read(self, page: str) -> None:
+        at, n = 0, len(page)
+        while at < n:
+            m = _TOKEN.search(page, at)
+            if not self.stack[-1].muted:
+                self.parts.append(page[at : m.start() if m else n])
+            if not m:
+                break
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if tag == "br":
+                self.parts.append(" ")
+            elif tag and m[1]:
+                self._end_tag(tag)
+            elif tag and self._start_tag(tag, m[3]) and tag in _RAW:
+                at = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(page, at).end()
+                self._shut(len(self.stack) - 1)
+        self._ended()
+
+    def blocks(self) -> list[tuple[int, str]]:
+        """Node and text of each block that is not in a side part, in page order."""
+        gone = self._side_parts()
+        return [(node, text) for node, text, side, _ in self.found if side < 0 or not gone[side]]
+
+    def _side_parts(self) -> list[bool]:
+        """Of each side part, whether what lies in it goes: all do, but for those around the article."""
+        gone = [True] * len(self.sides)
+        if self.mains:
+            if min(self.mains) >= 0:
+                for side in self.mains:
+                    while side >= 0 and gone[side] is True:
+                        gone[side] = None if self.sides[side][0] & _COMMENTS else False
+                        side = self.sides[side][1]
+        else:
+            paragraphs = any(x[3] for x in self.found)
+            inside, total = [0] * len(self.sides), 0
+            for _, text, side, paragraph in self.found:
+                if paragraph or not paragraphs:
+                    total += len(text)
+                    if side >= 0:
+                        inside[side] += len(text)
+            for i in range(len(inside) - 1, -1, -1):
+                if self.sides[i][1] >= 0:
+                    inside[self.sides[i][1]] += inside[i]
+            gone = [small or bool(names & _COMMENTS) or 2 * n <= total for (names, _, small), n in zip(self.sides, inside, strict=True)]
+        for i, (_, around, _) in enumerate(self.sides):
+            gone[i] = gone[i] is not False or (around >= 0 and bool(gone[around]))
         return gone
-    total, inside = 0, [0] * len(sides)
-    for _, text, around, paragraph in found:
-        if paragraph:
-            total += len(text)
-            for i in around:
-                inside[i] += len(text)
-    return {i for i in gone if sides[i] & _COMMENTS or 2 * inside[i] <= total}
+
+    def keys(self) -> list[int]:
+        """A hash of each node's path: of its parent's and its own step."""
+        out = [0]
+        for parent, step in zip(self.parents[1:], self.steps[1:], strict=True):
+            out.append(step_key(out[parent], step))
+        return out
+
+
+def blocks(page: str) -> list[tuple[str, str]]:
+    """(node path, text) of each block of a page, in page order, without parts that are never main text; for looking at, as paths may be long."""
+    p, paths = Page(page), [""]
+    for parent, step in zip(p.parents[1:], p.steps[1:], strict=True):
+        paths.append(f"{paths[parent]}\n{step}")
+    return [(paths[node], text) for node, text in p.blocks()]
 
 
 def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _chains(path: str) -> Iterator[str]:
-    at = path.find("/", 1)
-    while at > 0:
-        yield path[:at]
-        at = path.find("/", at + 1)
-    yield path
+def _kind(step: str) -> str:
+    """A step without its place."""
+    return step[: step.rfind("[")]
+
 
+def step_key(parent: int, step: str) -> int:
+    return int.from_bytes(hashlib.blake2b(parent.to_bytes(8, "little", signed=True) + step.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-def _kind(node: str) -> str:
-    """The last step of a path without its place."""
-    return node[node.rfind("/") + 1 : node.rfind("[")]
 
+_BASE, _BITS = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
-def node_contents(page: str) -> tuple[dict[str, int], dict[str, list[str]]]:
-    """Each node's content (a hash of all blocks below it) and its children in page order."""
-    below: dict[str, int] = {}
-    children: dict[str, list[str]] = {}
-    for path, text in blocks(page):
-        k, above = _key(text), None
-        for node in _chains(path):
-            if node not in below:
-                children[node] = []
-                if above is not None:
-                    children[above].append(node)
-            below[node] = (below.get(node, 17) * 31 + k) & 0xFFFFFFFFFFFFFFFF
-            above = node
-    return below, children
+
+def node_contents(page: Page) -> list[tuple[int, int, int, list[int]]]:
+    """Node, number and hash of all blocks below it, and its children in page order, of each node with a block below.
+
+    A sequence's hash is a polynomial, so a node's is put together from its own blocks' and its children's: each node is looked at once.
+    Its own blocks come in page order, a child where its first block lies."""
+    own: dict[int, list[tuple[int, int, int]]] = {}  # (child or -1, hash, number) in page order
+    known: set[int] = set()
+    for node, text in page.blocks():
+        own.setdefault(node, []).append((-1, _key(text) & _BITS, 1))
+        while node not in known:  # children are entered once, where their first block lies
+            known.add(node)
+            parent = page.parents[node]
+            if parent < 0:
+                break
+            own.setdefault(parent, []).append((node, 0, 0))
+            node = parent
+    done: dict[int, tuple[int, int]] = {}
+    out = []
+    for node in sorted(known, reverse=True):  # children have larger numbers than their parents
+        total, n = 0, 0
+        for child, h, many in own[node]:
+            if child >= 0:
+                h, many = done[child]
+            total, n = (total * pow(_BASE, many, 1 << 64) + h) & _BITS, n + many
+        done[node] = (total, n)
+        out.append((node, n, (total * 31 + n) & _BITS, [c for c, _, _ in own[node] if c >= 0]))
+    return out[::-1]
 
 
 def page_contents(pages: DataFrame) -> DataFrame:
@@ -244,15 +314,16 @@ def page_contents(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts, nodes, stated, kinds, contents, styles, keys = [], [], [], [], [], [], []
-            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                below, children = node_contents(page or "")
-                whole = _key(" ".join(f"{x}:{c}" for x, c in below.items()))
+            for host, html_ in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                page = Page(html_ or "")
+                below, key = [x for x in node_contents(page) if x[0]], page.keys()
+                whole = _key(" ".join(f"{key[x]}:{c}" for x, _, c, _ in below))
                 hosts += [host] * len(below)
-                nodes += [_key(x) for x in below]
-                stated += ["/article" in x or "/main" in x for x in below]
-                steps = [[_kind(c) for c in children[x]] for x in below]
+                nodes += [key[x] for x, *_ in below]
+                stated += [page.stated[x] for x, *_ in below]
+                steps = [[_kind(page.steps[c]) for c in children] for *_, children in below]
                 kinds += [len(set(x)) for x in steps]
-                contents += [x - (1 << 64) if x >> 63 else x for x in below.values()]
+                contents += [x - (1 << 64) if x >> 63 else x for _, _, x, _ in below]
                 styles += [_key(" ".join(x)) for x in steps]
                 keys += [whole] * len(below)
             yield pa.record_batch({
@@ -294,14 +365,14 @@ def low_nodes(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_page
 
 def main_text(page: str | None, low: frozenset[int]) -> str:
     """The blocks of a page that lie under no low node, one a line."""
-    seen: dict[str, bool] = {}
-
-    def is_low(path: str) -> bool:
-        if path not in seen:
-            seen[path] = any(_key(x) in low for x in _chains(path))
-        return seen[path]
-
-    return "\n".join(text for path, text in blocks(page or "") if not (low and is_low(path)))
+    p = Page(page or "")
+    found = p.blocks()
+    if low:
+        under = [False]
+        for parent, key in zip(p.parents[1:], p.keys()[1:], strict=True):
+            under.append(under[parent] or key in low)
+        found = [(node, text) for node, text in found if not under[node]]
+    return "\n".join(text for _, text in found)
 
 
 def extract_pages(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -311,6 +382,7 @@ def extract_pages(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_
     their own. A node counts once a page, and is judged only where at least
     ``min_pages`` different pages of its host show it, so that a host with few pages
     keeps all that names and elements do not rule out. Copies of a page count once.
+    Pages are read whole, in time and memory in proportion to their length, however long or deeply nested they are.
     An empty table gives no rows; further columns are ignored."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"://([^/?#]*)", 1))
     mine = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))

@@ -1,10 +1,13 @@
 import math
+import resource
+import time
 from collections import Counter, defaultdict
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
-from mediaops.llm.html_text import _key, blocks, extract_pages, main_text, style_tree
+from mediaops.llm.html_text import Page, blocks, extract_pages, main_text, node_contents, step_key, style_tree
 
 PAGES = "page_id long, url string, html string, host int, text string"
 
@@ -36,6 +39,16 @@ def text_of(page):
         ("<div id=comments><p>many words by readers of this page</p></div><div><p>t</p></div>", "t"),
         ("<article><p>one <span class='ad'>buy</span>two</p></article>", "one two"),
         ("<header><h1>site</h1></header><main><p>t</p></main><div class='google-ad'>x</div>", "t"),
+        ("<div class='post-header'><h1>Title</h1></div><p>t</p>", "Title\nt"),
+        ("<div class='section-header'><h2>Part</h2></div><p>t</p>", "Part\nt"),
+        ("<article><div class='notice'><p>Hot fat burns.</p></div><p>t</p></article>", "Hot fat burns.\nt"),
+        ("<article><p>t</p><ul class='menu'><li>soup<li>fish</ul></article>", "t\nsoup\nfish"),
+        ("<div class='notice'>all there is</div>", "all there is"),
+        ("<p class='cookie-notice'>we use cookies</p><p>t</p>", "t"),
+        ("<p class='ad'>buy</p><p>t</p>", "t"),
+        ("<p>t <a class='share'>share this</a></p>", "t"),
+        ("<p>t</p><div class='relatedPosts'><p>x</p></div>", "t"),
+        ("<p>t</p><div class='w-1/2'><p>u</p></div>", "t\nu"),
     ],
 )
 def test_blocks(page, want):
@@ -98,18 +111,18 @@ def test_tree_against_brute_force(spark):
         nodes = defaultdict(list)
         under = defaultdict(list)
         for path, text in blocks(page):
-            steps = path.split("/")[1:]
+            steps = path.split("\n")[1:]
             for d in range(1, len(steps) + 1):
-                node = "/" + "/".join(steps[:d])
+                node = tuple(steps[:d])
                 nodes[node].append(text)
                 if d < len(steps) and steps[d] not in under[node]:
                     under[node].append(steps[d])
         for node, t in nodes.items():
             texts[node].append(tuple(t))
             children[node].append(tuple(x[: x.rfind("[")] for x in under[node]))
-    assert set(got) == {_key(x) for x in texts}
+    assert set(got) == {reduce(step_key, x, 0) for x in texts}
     for node, seen in texts.items():
-        r = got[_key(node)]
+        r = got[reduce(step_key, node, 0)]
         kinds = sum(len(set(c)) for c in children[node]) / len(seen)
         weight = 0.9**kinds
         assert r.pages == len(seen) and r.kinds == pytest.approx(kinds)
@@ -118,3 +131,22 @@ def test_tree_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "x", "<div>" * 100_000 + "x" + "</i>" * 100_000, "<div class=ad>" * 100_000 + "x</div>y", "<b>" * 50_000 + "x<hr>" * 50_000, "<li>" * 100_000 + "x", "<p><b>" * 50_000 + "x"])
+def test_deep_and_broken_pages_take_linear_time_and_memory(page):
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    p = Page(page)
+    contents = node_contents(p)
+    assert main_text(page, frozenset([1])) == "\n".join(t for _, t in p.blocks()) and len(contents) <= len(p.parents)
+    assert time.process_time() - began < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB
+
+
+def test_hosts_where_the_tree_decides_inside_and_outside_of_names(spark):
+    """Boilerplate in plain elements goes by the tree; an article's own notice stays, as it differs from page to page."""
+    rows = []
+    for i in range(24):
+        html = f"<div>Our house, since 1901</div><div><h1>Dish {i}</h1><div class='steps'><p>Step one of {i}</p><p>Step two of {i}</p></div><div class='x'>Mind the fat of {i}</div></div><div><div>Call us</div><div>Find us</div></div>"
+        rows.append((i, f"http://kitchen.example.com/{i}", html, 1, ""))
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"Dish {i}\nStep one of {i}\nStep two of {i}\nMind the fat of {i}" for i in range(24)}
