@@ -6,9 +6,9 @@ compared inside blocks only, and crowded blocks are split further."""
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +99,38 @@ def near_flags(df: DataFrame, tenant: str, h: str, key: str, most: int = 8) -> D
     return met.select("d.*", F.coalesce(flag, F.lit(False)).alias("near_dup"))
 
 
+class _Memory:
+    """The latest hashes of a block with their times, oldest first, as 64-bit words in flat arrays; all are compared in one step."""
+
+    def __init__(self, size: int):
+        self.size, self.start, self.end = size, 0, 0
+        self.at, self.words = np.zeros(2 * size), np.zeros((2 * size, 1), np.uint64)
+
+    def split(self, digits: str) -> np.ndarray:
+        n = -(-len(digits) // 16)
+        if n > self.words.shape[1]:
+            self.words = np.pad(self.words, ((0, 0), (0, n - self.words.shape[1])))
+        value = int(digits, 16)
+        return np.array([value >> 64 * i & (1 << 64) - 1 for i in range(self.words.shape[1])], np.uint64)
+
+    def forget(self, now: float, ttl: float) -> None:
+        while self.start < self.end and now - self.at[self.start] > ttl:
+            self.start += 1
+
+    def near(self, words: np.ndarray, most: int) -> bool:
+        return bool((np.bitwise_count(self.words[self.start : self.end] ^ words).sum(axis=1) <= most).any())
+
+    def add(self, now: float, words: np.ndarray) -> None:
+        if self.end - self.start == self.size:
+            self.start += 1
+        if self.end == len(self.at):  # move what is held to the front
+            n = self.end - self.start
+            self.at[:n], self.words[:n] = self.at[self.start : self.end].copy(), self.words[self.start : self.end].copy()
+            self.start, self.end = 0, n
+        self.at[self.end], self.words[self.end] = now, words
+        self.end += 1
+
+
 def greedy(df: DataFrame, tenant: str, h: str, ts: str, key: str, most: int = 8, size: int = 1000, ttl: int = 3600) -> DataFrame:
     """kept: no remembered hash of the block is within ``most`` bits. Only kept rows are remembered, the ``size``
     latest of a block and for ``ttl`` seconds; the oldest is forgotten first. Blocks are independent.
@@ -108,23 +140,22 @@ def greedy(df: DataFrame, tenant: str, h: str, ts: str, key: str, most: int = 8,
     fields = f"{key} {kinds[key]}, {tenant} {kinds[tenant]}, {h} string, kept boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, memory = None, deque()
+        block, memory = None, _Memory(size)
         for pdf in batches:
             kept = []
             for name, p, now, x in zip(pdf[tenant], pdf["_p"], pdf["_at"], pdf[h], strict=True):
                 here = (None if pd.isna(name) else name, p)
                 if here != block:
-                    block, memory = here, deque(maxlen=size)
+                    block, memory = here, _Memory(size)
                 if x is None or len(x) < 4:
                     kept.append(True)
                     continue
-                while memory and now - memory[0][0] > ttl:
-                    memory.popleft()
-                value = int(x, 16)
-                new = all((m ^ value).bit_count() > most for _, m in memory)
+                memory.forget(now, ttl)
+                words = memory.split(x)
+                new = not memory.near(words, most)
                 kept.append(new)
                 if new:
-                    memory.append((now, value))
+                    memory.add(now, words)
             yield pdf.assign(kept=kept)[[key, tenant, h, "kept"]]
 
     prefix = F.coalesce(phash_prefix(F.lower(h)), F.lit(""))

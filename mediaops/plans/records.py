@@ -13,6 +13,7 @@ from ..operators import aggregates as A
 from ..operators import changes as C
 from ..operators import dedup as D
 from ..operators import joins as J
+from ..operators import quantiles as Q
 from ..operators import vectors as V
 from ..operators import windows as W
 from ..sources import writers
@@ -317,7 +318,14 @@ def d2(t: Tables) -> DataFrame:
     return D.near_flags(_hashes(t), "lang", "h", "id").select("id", "near_dup")
 
 
-@query("d3_greedy")
+_GREEDY = _H.replace("WITH a", "WITH RECURSIVE a") + """, o AS (SELECT *, ('0x' || h)::UBIGINT AS v, substr(h, 1, 4) AS p, id % 10000000000 AS sec, row_number() OVER (PARTITION BY lang, substr(h, 1, 4) ORDER BY id % 10000000000, id) AS n FROM x),
+g AS (SELECT lang, p, n, id, true AS kept, [{'s': sec, 'v': v}] AS memory FROM o WHERE n = 1
+UNION ALL SELECT lang, p, n, id, kept, (CASE WHEN kept THEN list_append(alive, {'s': sec, 'v': v}) ELSE alive END)[-1000:] FROM (
+SELECT *, len(list_filter(alive, lambda m: bit_count(xor(m.v, v)) <= 8)) = 0 AS kept FROM (SELECT o.lang, o.p, o.n, o.id, o.v, o.sec, list_filter(g.memory, lambda m: o.sec - m.s <= 3600) AS alive FROM g JOIN o ON o.lang = g.lang AND o.p = g.p AND o.n = g.n + 1)))
+SELECT id, kept FROM g"""
+
+
+@query("d3_greedy", _GREEDY)
 def d3(t: Tables) -> DataFrame:
     x = _hashes(t).withColumn("ts", F.timestamp_seconds(F.col("id") % 10_000_000_000))
     return D.greedy(x, "lang", "h", "ts", "id").select("id", "kept")
@@ -410,7 +418,8 @@ def a16(t: Tables) -> DataFrame:
 
 @query("a17_percentiles", _PAIRS + "SELECT round(quantile_cont(score, 0.9), 4) AS p90, round(median(score), 4) AS median FROM p")
 def a17(t: Tables) -> DataFrame:
-    return j10(t).agg(F.round(F.percentile("score", F.lit(0.9)), 4).alias("p90"), F.round(F.median("score"), 4).alias("median"))
+    q = Q.quantiles(j10(t), [], "score", {"p90": 0.9, "median": 0.5})
+    return q.select(F.round("p90", 4).alias("p90"), F.round("median", 4).alias("median"))
 
 
 @query("v4_calibration", _STATS + """, o AS (SELECT max(mean) FILTER (same) AS pm, max(std) FILTER (same) AS ps, max(mean) FILTER (NOT same) AS nm, max(std) FILTER (NOT same) AS ns FROM s)
