@@ -12,7 +12,8 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = 3, budget: int | None
     """node, level of what is reached from ``seeds`` (node) over ``edges`` (src, dst) in ``depth`` steps, each node once.
 
     With a budget, the first nodes by level and name are kept. Each level is one
-    join of the frontier and one anti join with the visited; lineage is cut by writing."""
+    join of the frontier and one anti join with the visited, and is written once; the visited are
+    the levels' tables together, none of which is written again."""
     visited = written(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     frontier = visited
     for level in range(1, depth + 1):
@@ -20,7 +21,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = 3, budget: int | None
         frontier = written(reached.join(visited.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
-        visited = written(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return visited.orderBy("level", "node").limit(budget) if budget is not None else visited
 
 

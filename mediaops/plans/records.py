@@ -472,6 +472,12 @@ def t7(t: Tables) -> DataFrame:
     return t.embeddings.orderBy(F.xxhash64("vec_id", F.lit(42)), "vec_id").limit(100).select("vec_id", "label")
 
 
+@query("t7_seeded_order", "SELECT vec_id, label FROM embeddings ORDER BY sha256(vec_id || ':42'), vec_id LIMIT 100")
+def t7_order(t: Tables) -> DataFrame:
+    """A seeded sample by a hash that SQL has too."""
+    return t.embeddings.orderBy(F.sha2(F.concat(F.col("vec_id").cast("string"), F.lit(":42")), 256), "vec_id").limit(100).select("vec_id", "label")
+
+
 @query("f21_stem_groups", "SELECT p_partkey, regexp_replace(replace(p_name, ' ', '_'), '_[^_]*$', '') AS g FROM part")
 def f21(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.stem_group(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jpg"))).alias("g"))

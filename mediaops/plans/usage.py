@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,22 @@ def s8(t: Tables) -> DataFrame:
     return writers.bundle({"customer": t.customer.select(F.col("c_custkey").alias("tenant")), "orders": o.select(F.col("o_custkey").alias("tenant")), "lineitem": t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("tenant"))}, "tenant")
 
 
+@query("s8_tenant_bundle", """SELECT c_nationkey AS tenant, 'customer' AS section, c_custkey AS item, round(c_acctbal, 2) AS amount FROM customer
+UNION ALL SELECT c_nationkey, 'orders', o_orderkey, round(o_totalprice, 2) FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT c_nationkey, 'lineitem', l_orderkey * 10 + l_linenumber, round(l_extendedprice, 2) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey""")
+def s8_bundle(t: Tables) -> DataFrame:
+    """The bundle itself: each section with its joined children, written by tenant (a nation here) and read back."""
+    c = t.customer
+    o = t.orders.join(c, F.col("c_custkey") == F.col("o_custkey"))
+    line = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    row = lambda df, item, amount: df.select(F.col("c_nationkey").cast("long").alias("tenant"), F.expr(item).cast("long").alias("item"), F.round(amount, 2).alias("amount"))
+    sections = {"customer": row(c, "c_custkey", "c_acctbal"), "orders": row(o, "o_orderkey", "o_totalprice"), "lineitem": row(line, "l_orderkey * 10 + l_linenumber", "l_extendedprice")}
+    path = shared_path(t.spark)
+    writers.bundle(sections, "tenant", path)
+    parts = [t.spark.read.schema("item long, amount double, tenant long").json(f"{path}/{name}").withColumn("section", F.lit(name)) for name in sections]
+    return reduce(DataFrame.unionByName, parts).select("tenant", "section", "item", "amount")
+
+
 @query("p1_optional_filters", "SELECT event_id, user_id, ts::VARCHAR AS ts FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'")
 def p1(t: Tables) -> DataFrame:
     kept = P.optional_filters(t.events, "event_type", "ts", "purchase", START, END)
