@@ -174,7 +174,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprint zero and link like any other. Rows with a null identifier take
     part, but name no component unless they are alone (then it is null). Repeated
     rows share their component; an empty table gives no rows; further columns are
-    ignored."""
+    ignored. Whole texts are read, however long; of one a task holds the text, its words and a number for each shingle."""
     rows = cut(fingerprints(docs, id_col, text_col, width))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = components(near_links(prints.select("fp"), radius, most))

@@ -457,8 +457,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     Texts are taken as UTF-8 bytes (null: empty) and whole; strings never cross
     documents and are judged on the input. A null identifier is larger than all
     others; rows of one identifier do not remove each other's bytes. Texts shorter
-    than ``length`` bytes stay as they are. An empty table gives no rows; further
-    columns are ignored."""
+    than ``length`` bytes stay as they are. A very long text is read whole: one that is longer than a part
+    is held by one task with its minimizers. An empty table gives no rows; further columns are ignored."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, buckets = max(1, -(-total // part_bytes)), max(1, -(-total // (part_bytes * BUCKET_BYTES // PART_BYTES)))

@@ -55,5 +55,14 @@ def test_highest_quotients(spark):
             assert got[g, i] == sum(b[1] == i for b in best)
 
 
+def test_very_long_text_and_a_hot_source(spark):
+    rows = [(1, "word " * 1_500_000, "hot", "", 1), (2, "one long run" + "x" * 3_000_000, "hot", "", 1), *((10 + i, "a few words", "s", "", 1) for i in range(300))]
+    got = {r.doc_id: r for r in mix(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1].size == 1_500_000 and got[2].size == 3 and len(got) == 302
+    assert all(r.taken <= 2 * r.size for r in got.values())
+    hot = [r for r in got.values() if r.source == "hot"]
+    assert abs(sum(r.taken for r in hot) - hot[0].target) <= 64 + 3
+
+
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], DOCS)).count() == 0

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mediaops.llm.pieces import MODEL, Vocabulary
+from mediaops.llm.common import shared_dir
 from tests.llm.test_minhash import brute_components, brute_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -108,6 +110,14 @@ def test_stages_on_long_texts_and_further_columns(spark, tmp_path):
         assert name == "sentencepiece" or out.columns == corpus_pipeline.COLUMNS
 
 
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    make(tmp_path, spark)
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert rows > 100 and len(set(os.listdir(folder)) - before) == len(corpus_pipeline.STAGES) - 1
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
