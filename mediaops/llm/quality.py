@@ -5,25 +5,35 @@ good and a bad document is a match the good one should win: w minimises the
 logistic loss on feature differences. The threshold is the score quantile that
 leaves out the labelled share of bad documents; scores are shifted so that it
 lies at 0.7.
+
+A pair's loss depends on its two strengths only, by a smooth function. As a
+polynomial of either strength (Chebyshev, exact to ten digits or so) it falls apart
+into sums over the good and sums over the bad documents, so a pass over the labelled
+rows gives the loss's slope over all pairs, and a second one its curvature.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from numpy.polynomial.chebyshev import chebvander
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import cut
+
 CUT = 0.7
-#: At most so many labelled rows of either class are used for fitting, chosen by hash.
-MAX_LABELLED = 6000
+#: Matches drawn for each bad document by a model of rows in memory; ``fit`` takes all pairs.
 PAIRS_PER_BAD = 12
 SEED = 42
+L2, ROUNDS = 1e-3, 60
+#: A Newton step is shortened if it might move a strength by more.
+FURTHEST = 30.0
 
 _CLASSES = {
     "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "space": b" \t", "line": b"\n",
@@ -72,25 +82,25 @@ def learnable(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("quality").alias("y"))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """y, x of a bounded sample of labelled rows outside the held-out fold."""
-    known = learnable(labels).withColumn("h", F.xxhash64("doc_id", F.lit(SEED)))
-    sample = known.filter("y = 1").orderBy("h", "doc_id").limit(most).unionByName(known.filter("y = 0").orderBy("h", "doc_id").limit(most))
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """y, x of every labelled document outside the held-out fold. Features, not texts, meet the labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _feature_rows(b.column("text"))
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "y": b.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "x": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))})
 
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id")
-    met = met.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one row of an identifier, however often it repeats
-    return met.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x array<double>")
+    known = learnable(labels).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"))
+    rows = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    # one row of an identifier, however often it repeats
+    return found.join(known.hint("merge"), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("y", "x")
 
 
 class BradleyTerry:
     """w, centre and scale of the features, and the strength at the threshold."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs_per_bad: int = PAIRS_PER_BAD, l2: float = 1e-3, rounds: int = 30):
+    def __init__(self, x: np.ndarray, y: np.ndarray, pairs_per_bad: int = PAIRS_PER_BAD, l2: float = L2, rounds: int = 30):
         self.centre, self.scale = np.zeros(len(FEATURES)), np.ones(len(FEATURES))
         self.w, self.threshold = np.zeros(len(FEATURES)), 0.0
         good, bad = x[y == 1], x[y == 0]
@@ -110,31 +120,124 @@ class BradleyTerry:
             if np.abs(step).max() < 1e-6:
                 break
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.scale, -20, 20)
+
     def strength(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.centre) / self.scale, -20, 20)
-        return (z * self.w).sum(axis=1)
+        return (self.standard(x) * self.w).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         at = np.clip(self.strength(x) - self.threshold + np.log(CUT / (1 - CUT)), -700, 700)
         return 1 / (1 + np.exp(-at))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> BradleyTerry:
-    """Learn from at most ``most`` labelled rows of either class (feature rows, not texts, reach the driver)."""
-    rows = sorted(labelled_features(docs, labels, most).collect())
-    x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
-    y = np.array([r.y for r in rows])
-    model = BradleyTerry(x, y)
-    if len(y) and 0 < y.mean() < 1:
-        # of the fitted rows the sample may hold fewer good ones than the table: weigh them back
-        known = learnable(labels).agg(F.avg("y")).first()[0]
-        s, good = model.strength(x), y == 1
-        weight = np.where(good, known / good.sum(), (1 - known) / (~good).sum())
-        order = np.argsort(s)
-        below = np.cumsum(weight[order])
-        at = min(int(np.searchsorted(below, 1 - known)), len(s) - 2)
-        lo, hi = s[order][max(at - 1, 0)], s[order][at + 1]
-        model.threshold = float((lo + hi) / 2)
+def _arrays(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """x, y of a batch, some rows at a time."""
+    x, y = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)), b.column("y").to_numpy()
+    for at in range(0, len(y), 1024):
+        yield x[at : at + 1024], y[at : at + 1024]
+
+
+def _summed(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], tuple[float, np.ndarray]]) -> tuple[float, np.ndarray]:
+    """Of what ``part`` gives for some rows' x, y: the largest number and the sum of the arrays. A task hands on one of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, total = 0.0, None
+        for b in batches:
+            for x, y in _arrays(b):
+                high, more = part(x, y)
+                most, total = max(most, high), more if total is None else total + more
+        if total is not None:
+            yield pa.record_batch({"most": pa.array([most]), "shape": pa.array([list(total.shape)], pa.list_(pa.int32())), "total": pa.array([total.tobytes()], pa.binary())})
+
+    got = rows.mapInArrow(run, "most double, shape array<int>, total binary").collect()
+    return max(r.most for r in got), sum(np.frombuffer(r.total).reshape(r.shape) for r in got)
+
+
+def _coefficients(of: Callable[[np.ndarray], np.ndarray], reach: float, degree: int) -> np.ndarray:
+    """c with of(a - b) = sum of c[i, j] T_i(a / reach) T_j(b / reach) for a and b up to ``reach``."""
+    u = np.cos(np.pi * (np.arange(degree + 1) + 0.5) / (degree + 1))
+    inverse = np.linalg.inv(chebvander(u, degree))
+    return inverse @ of(reach * (u[:, None] - u[None, :])) @ inverse.T
+
+
+def _lost(v: np.ndarray) -> np.ndarray:
+    """Probability that the good document loses, for a lead of v."""
+    return 1 / (1 + np.exp(np.clip(v, -700, 700)))
+
+
+def _fit_pairs(rows: DataFrame, model: BradleyTerry, n_pairs: int) -> None:
+    """Newton steps of model.w on the logistic loss over all pairs of a good and a bad row of y, x."""
+    standard = model.standard
+    longest, _ = _summed(rows, lambda x, y: (float(np.sqrt((standard(x) ** 2).sum(axis=1)).max()), np.zeros(1)))
+    w, most, reach = model.w, 0.0, 1.0
+    for _ in range(ROUNDS):
+        degree = int(8 * reach) + 16
+
+        def basis(z: np.ndarray, w: np.ndarray = w, reach: float = reach, degree: int = degree) -> tuple[np.ndarray, np.ndarray]:
+            s = z @ w
+            return s, chebvander(np.clip(s / reach, -1, 1), degree)
+
+        def moments(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+            z = standard(x)
+            s, t = basis(z)
+            z = np.hstack([np.ones((len(z), 1)), z])
+            return float(np.abs(s).max()), np.stack([t[y == c].T @ z[y == c] for c in (0, 1)])
+
+        most, (bad, good) = _summed(rows, moments)
+        slope = _coefficients(_lost, reach, degree)
+        bend = _coefficients(lambda v: _lost(v) * _lost(-v), reach, degree)
+        grad = (bad[:, 1:].T @ (slope.T @ good[:, 0]) - good[:, 1:].T @ (slope @ bad[:, 0])) / n_pairs + L2 * w
+        cross = good[:, 1:].T @ bend @ bad[:, 1:] / n_pairs
+        weights = np.stack([bend.T @ good[:, 0], bend @ bad[:, 0]], axis=1) / n_pairs
+
+        def curvature(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+            z = standard(x)
+            weight = (basis(z)[1] @ weights)[np.arange(len(y)), y]
+            return 0.0, (z * weight[:, None]).T @ z
+
+        step = np.linalg.solve(_summed(rows, curvature)[1] - cross - cross.T + L2 * np.eye(len(w)), grad)
+        far = longest * float(np.sqrt((step**2).sum()))
+        step = step * min(1.0, FURTHEST / max(far, 1e-300))
+        w, reach = w - step, max(1.0, (most + min(far, FURTHEST)) * (1 + 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    model.w = np.round(w, 6)  # the order of adding shows in later digits
+
+
+def _placed(values: DataFrame, place: int) -> float:
+    """The value at a place, from 1, of the ordered column s: of the bucket that it lies in, buckets are made again."""
+    low, high = values.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        bucket = F.floor((F.col("s") - low) / (high - low) * 1000)
+        parts = values.filter(F.col("s").between(low, high)).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
+        for part in sorted(parts.collect(), key=lambda r: r.bucket):
+            if place <= part.n:
+                break
+            place -= part.n
+        low, high = part.low, part.high
+    return low
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> BradleyTerry:
+    """Learn from every labelled row outside the held-out fold, and from all pairs of a good and a bad one; only sums reach the driver."""
+    rows = cut(labelled_features(docs, labels))
+    model = BradleyTerry(np.empty((0, len(FEATURES))), np.empty(0))
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        return model
+    of_feature = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread")).orderBy("i").collect()
+    model.centre = np.array([float(f"{r.mean:.6g}") for r in of_feature])
+    model.scale = np.array([float(f"{r.spread:.6g}") if r.spread > 1e-9 else 1.0 for r in of_feature])
+    _fit_pairs(rows, model, n[0] * n[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, _ in _arrays(b):
+                yield pa.record_batch({"s": pa.array(model.strength(x))})
+
+    strengths = cut(rows.mapInArrow(run, "s double"))
+    model.threshold = (_placed(strengths, n[0]) + _placed(strengths, n[0] + 1)) / 2
     return model
 
 
@@ -154,17 +257,17 @@ def score_documents(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).select("doc_id", "score")
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     held_out: crc32 of the identifier as text leaves 2 modulo 4; such labels are
     never learned from. A null text scores as an empty one. A null identifier is
-    not held out. Of rows of one identifier, that with the smallest text is learned
-    from. Labels that are null or other than 0 and 1 are ignored; where a
+    not held out. Every labelled document outside the fold is learned from; of rows of
+    one identifier, that with the smallest features. Labels that are null or other than 0 and 1 are ignored; where a
     document has several, the largest counts. With labels of one class only, or
     none, every score is 0.7. Repeated rows score alike; an empty table gives no
     rows; further columns are ignored. Whole texts are looked at, however long: a task holds one with its words."""
-    scored = score_documents(docs, fit(docs, labels, most))
+    scored = score_documents(docs, fit(docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from mediaops.llm.quality import CUT, FEATURES, PAIRS_PER_BAD, SEED, BradleyTerry, classify, features, fit
+from mediaops.llm.quality import CUT, FEATURES, PAIRS_PER_BAD, SEED, BradleyTerry, classify, features, fit, labelled_features
 
 DOCS = "doc_id long, text string, score double, y int"
 LABELS = "doc_id long, quality int, toxic int"
@@ -76,3 +76,23 @@ def test_very_long_texts(spark):
     docs += [(900, docs[[q for _, q, _ in labels].index(1)][1] * 20_000, None, 1), (901, "BUY!! NOW### $$$ " * 200_000, None, 1)]
     got = {r.doc_id: r.predicted for r in classify(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
     assert got[901] == 0 and 900 in got
+
+
+def test_every_labelled_row_and_every_pair_is_learned_from(spark):
+    """The model is the minimum of the loss over all pairs, and copies of a row beyond the first 6000 still count."""
+    docs, labels = corpus(300, random.Random(11))
+    docs += [(i, f"The {i} houses. " * (i % 7 + 1) + "x | y " * (i % 3), None, 1) for i in range(300, 380)]
+    labels += [(i, i % 2, 0) for i in range(300, 380)]
+    fitted = fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    known = [(features(docs[i][1].encode()), q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    z, y = fitted.standard(np.array([x for x, _ in known])), np.array([q for _, q in known])
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, len(FEATURES))
+    slope = -(d / (1 + np.exp(d @ fitted.w))[:, None]).mean(axis=0) + 1e-3 * fitted.w
+    assert np.abs(slope).max() < 1e-5
+    assert (fitted.strength(np.array([x for x, _ in known])) < fitted.threshold).sum() <= (y == 0).sum()
+
+    many = [(i, "good words. " if i % 8 else "BAD!! | ", None, 1) for i in range(10_000)]
+    more = [(i, "other words, " * 3, None, 1) for i in range(10_000, 20_000)]
+    marks = [(i, int(i % 8 > 0), 0) for i in range(10_000)] + [(i, 1, 0) for i in range(10_000, 20_000)]
+    rows = labelled_features(spark.createDataFrame(many + more, DOCS), spark.createDataFrame(marks, LABELS))
+    assert rows.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(20_000))
