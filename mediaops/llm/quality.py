@@ -156,9 +156,15 @@ def _summed(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], tuple[floa
 
 def _coefficients(of: Callable[[np.ndarray], np.ndarray], reach: float, degree: int) -> np.ndarray:
     """c with of(a - b) = sum of c[i, j] T_i(a / reach) T_j(b / reach) for a and b up to ``reach``."""
-    u = np.cos(np.pi * (np.arange(degree + 1) + 0.5) / (degree + 1))
-    inverse = np.linalg.inv(chebvander(u, degree))
-    return inverse @ of(reach * (u[:, None] - u[None, :])) @ inverse.T
+    n = degree + 1
+    u = np.cos(np.pi * (np.arange(n) + 0.5) / n)
+    c = of(reach * (u[:, None] - u[None, :]))
+    turn = np.exp(-0.5j * np.pi * np.arange(n) / n) / n
+    for _ in range(2):  # cosine transform along either side
+        c = (np.fft.rfft(np.concatenate([c, c[::-1]]), axis=0)[:n] * turn[:, None]).real
+        c[0] /= 2
+        c = c.T
+    return c
 
 
 def _lost(v: np.ndarray) -> np.ndarray:

@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+from numpy.polynomial.chebyshev import chebvander
 
-from mediaops.llm.quality import CUT, FEATURES, PAIRS_PER_BAD, SEED, BradleyTerry, classify, features, fit, labelled_features
+from mediaops.llm.quality import CUT, FEATURES, PAIRS_PER_BAD, SEED, BradleyTerry, _coefficients, _lost, classify, features, fit, labelled_features
 
 DOCS = "doc_id long, text string, score double, y int"
 LABELS = "doc_id long, quality int, toxic int"
@@ -96,3 +97,11 @@ def test_every_labelled_row_and_every_pair_is_learned_from(spark):
     marks = [(i, int(i % 8 > 0), 0) for i in range(10_000)] + [(i, 1, 0) for i in range(10_000, 20_000)]
     rows = labelled_features(spark.createDataFrame(many + more, DOCS), spark.createDataFrame(marks, LABELS))
     assert rows.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(20_000))
+
+
+def test_coefficients_of_a_pair_function():
+    reach, degree = 40.0, 336
+    c = _coefficients(_lost, reach, degree)
+    a, b = np.random.default_rng(3).uniform(-reach, reach, (2, 200))
+    got = np.einsum("ni,ij,nj->n", chebvander(a / reach, degree), c, chebvander(b / reach, degree), optimize=["einsum_path", (0, 1), (0, 1)])
+    assert np.abs(got - _lost(a - b)).max() < 1e-9
