@@ -51,7 +51,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the smallest doc_id (null last).
 
-    Documents are linked if at least 0.8 of their five-word shingles are common. A
+    Documents are linked if at least 0.8 of their five-word shingles are common; SimHash and
+    MinHash name candidates, and the sets themselves are compared. A
     null text counts as empty; all texts without words are one group; a very long text's whole set
     of shingles is compared; an empty table stays empty; columns beside those of documents go."""
     rows = _named(docs)

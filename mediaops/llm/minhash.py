@@ -1,8 +1,10 @@
-"""Near copies by the share of common word shingles: MinHash bands, then an exact check.
+"""Near copies by the share of common word shingles: SimHash and MinHash bands, then an exact check.
 
 A text is its set of five-word shingles. Sixteen bands of four minima each bring
 two texts with a Jaccard similarity of 0.8 together with probability
-1 - (1 - 0.8^4)^16 = 0.9998, more similar ones oftener. What meets is only a
+1 - (1 - 0.8^4)^16 = 0.9998, more similar ones oftener. Texts whose SimHash fingerprints of
+the same shingles differ in at most four bits meet by pigeonhole blocks; few pairs at
+0.8 are that close, so the bands bring the others together. What meets is only a
 candidate: it is linked if the sets themselves are similar enough.
 
 Texts of one set are one node. Each bucket's nodes are first compared with one of
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .simhash import _LOWER
+from .simhash import _LOWER, majority, near_links
 
 WIDTH, BANDS, ROWS = 5, 16, 4
 #: Similarity from which texts are near copies, as a fraction of whole numbers.
@@ -41,15 +43,20 @@ _PLUS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
 _MARKS = [f"s{i}" for i in range(4)]
 
 
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Ascending XXH64 of a text's different shingles; a shorter text is one shingle."""
+def hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of a text's shingles in order, repeats too; a shorter text is one shingle."""
     words = text.translate(_LOWER).split()  # on the six ASCII spaces
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
         return np.array([digest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1][: len(words) - width + 1]
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Ascending XXH64 of a text's different shingles."""
+    return np.unique(hashes(text, width))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -77,13 +84,15 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """row, id (of the text's set), n (its size), s0 to s3, keys of every row of row, text."""
+    """row, id (of the text's set), n (its size), fp (SimHash), s0 to s3, keys of every row of row, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n, keys, bits = [], [], [np.empty(0, np.int64)], []
+            ids, n, fp, keys, bits = [], [], [], [np.empty(0, np.int64)], []
             for t in _texts(b.column("text")):
-                s = shingles(t)
+                h = hashes(t)
+                s = np.unique(h)
+                fp.append(majority(h))
                 low = minima(s)
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()))
                 n.append(len(s))
@@ -91,11 +100,11 @@ def sketches(rows: DataFrame) -> DataFrame:
                 bits.append(marks(low))
             four = np.array(bits, np.int64).reshape(-1, 4)
             yield pa.record_batch({
-                "row": b.column("row"), "id": pa.array(ids, pa.binary()), "n": pa.array(n, pa.int32()), **{m: pa.array(four[:, i].copy()) for i, m in enumerate(_MARKS)},
+                "row": b.column("row"), "id": pa.array(ids, pa.binary()), "n": pa.array(n, pa.int32()), "fp": pa.array(np.array(fp, np.uint64).view(np.int64)), **{m: pa.array(four[:, i].copy()) for i, m in enumerate(_MARKS)},
                 "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys))),
             })
 
-    return rows.select(F.col("row").cast("string").alias("row"), "text").mapInArrow(run, f"row string, id binary, n int, {', '.join(f'{m} long' for m in _MARKS)}, keys array<long>")
+    return rows.select(F.col("row").cast("string").alias("row"), "text").mapInArrow(run, f"row string, id binary, n int, fp long, {', '.join(f'{m} long' for m in _MARKS)}, keys array<long>")
 
 
 def _sets(rows: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -220,6 +229,15 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """id, centre: nodes of one fingerprint with one of them, and those that hang fingerprints within four bits together."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("id").alias("centre")))
+    same = nodes.join(prints, "fp").filter("id <> centre").select("id", "centre")
+    first = prints.select(F.col("fp").alias("a"), F.col("centre").alias("id"))
+    near = near_links(prints.select("fp")).distinct().join(first, "a").join(prints.withColumnRenamed("fp", "b"), "b")
+    return same.unionByName(near.select("id", "centre"))
+
+
 def _links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     thin = nodes.select(F.explode("keys").alias("key"), "id")
     several = thin.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -229,7 +247,8 @@ def _links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     centres = standing.groupBy("key").agg(F.max(F.struct("standing", "id"))["id"].alias("centre"))
     node = F.struct("id", "n", *_MARKS)
     met = cut(met.join(centres, "key").select("key", "id", "centre"))
-    first = met.filter("id <> centre").select("id", "centre").distinct().join(nodes.select("id", node.alias("node")), "id").join(nodes.select(F.col("id").alias("centre"), node.alias("hub")), "centre")
+    candidates = met.filter("id <> centre").select("id", "centre").unionByName(_simhash_pairs(nodes)).distinct()
+    first = candidates.join(nodes.select("id", node.alias("node")), "id").join(nodes.select(F.col("id").alias("centre"), node.alias("hub")), "centre")
     pairs = cut(first.filter(_may_be_near("node", "hub")).select(F.col("centre").alias("a"), F.col("id").alias("b")))
     sets = _sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")), nodes)
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
@@ -264,7 +283,7 @@ def _links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _nodes(sketched: DataFrame) -> DataFrame:
     """One row a set: its smallest row, size, marks and keys."""
-    return cut(sketched.groupBy("id").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", *_MARKS, "keys"))))
+    return cut(sketched.groupBy("id").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", *_MARKS, "keys"))))
 
 
 def jaccard_links(rows: DataFrame) -> DataFrame:

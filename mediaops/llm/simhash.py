@@ -46,6 +46,14 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned number whose bits are set in over half the hashes."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        votes += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """doc_id, fp (as signed long) of every row; a null or blank text has fingerprint zero."""
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from mediaops.llm import minhash
 from mediaops.llm.minhash import jaccard_groups, jaccard_links
@@ -96,3 +98,16 @@ def test_chains_around_a_large_group(spark):
         minhash.BLOCK, minhash.BLOCK_SHINGLES = 512, 1 << 21
         assert len(group) == len(texts) and all((group[str(i)] == group[str(j)]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
     assert len(group) == len(texts) and all((group[str(i)] == group[str(j)]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_simhash_alone_links_near_copies(spark):
+    """Without MinHash keys, texts whose fingerprints are close are still linked, and only after the sets are compared."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["river", "slowly", "past", "old", "houses", "stone", "light"]) + str(rng.randint(0, 99)) for _ in range(600)) for _ in range(12)]
+    texts += [t + " bridge" for t in texts[:8]]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "row string, text string")
+    nodes = minhash._nodes(minhash.cut(minhash.sketches(rows)))
+    names = {bytes(r.id): int(r.row) for r in nodes.select("id", "row").collect()}
+    links = minhash._links(rows, nodes.withColumn("keys", F.array().cast("array<long>"))).collect()
+    found = {tuple(sorted((names[bytes(r.a)], names[bytes(r.b)]))) for r in links}
+    assert len(found) >= 6 and found <= {(i, 12 + i) for i in range(8)}
