@@ -106,30 +106,48 @@ def _listed(rows: DataFrame, lists: Lists, probes: int, query: bool) -> DataFram
 
 
 def scan(q: np.ndarray, x_blocks: list[np.ndarray], k: int, known: float = np.inf, epsilon: float = EPSILON) -> np.ndarray:
-    """Rows that may be among the k nearest to q. x_blocks: the list's columns, block by block.
+    """Rows that may be among the k nearest to q; ``scan_many`` for one query."""
+    return scan_many(q[None, :], x_blocks, k, np.array([known]), epsilon)[1]
 
-    known: squared distance of the k-th nearest found elsewhere. Without it the
-    first rows set the bound; the others are abandoned by their partial distances,
-    in ever later blocks."""
-    n, d = len(x_blocks[0]), len(q)
-    first = min(n, 4 * k if np.isinf(known) else 0)
+
+def scan_many(q: np.ndarray, x_blocks: list[np.ndarray], k: int, known: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and rows (by number) that may be among the query's k nearest. x_blocks: the list's columns, block by block.
+
+    known: squared distances of the k-th nearest found elsewhere. Without one the
+    first rows set the bound; others are abandoned by their partial distances, in
+    ever later blocks: all pairs by matrix products while many are left, then those left."""
+    n, d = len(x_blocks[0]), q.shape[1]
     edges = np.cumsum([0, *(b.shape[1] for b in x_blocks)])
-    whole = sum(((b[:first] - q[lo:hi]) ** 2).sum(axis=1) for b, lo, hi in zip(x_blocks, edges, edges[1:], strict=False))
-    if n <= k and np.isinf(known):
-        return np.arange(n)
-    bound = min(known, np.partition(whole, k - 1)[k - 1]) if first else known
-    alive, partial = np.arange(first, n), np.zeros(n - first, np.float32)
-    for b, lo, hi in zip(x_blocks, edges, edges[1:], strict=False):
-        partial = partial + ((b[alive] - q[lo:hi]) ** 2).sum(axis=1)
-        done = hi / d
-        keep = partial <= bound * (1 + 1e-5) * (done * (1 + epsilon / np.sqrt(hi)) ** 2 if hi < d else 1)
-        alive, partial = alive[keep], partial[keep]
-        if not len(alive):
-            break
-    near = np.r_[np.flatnonzero(whole <= bound * (1 + 1e-5)), alive]
-    dist = np.r_[whole[whole <= bound * (1 + 1e-5)], partial]
-    best = np.partition(dist, k - 1)[k - 1] if len(dist) > k else np.inf
-    return near[dist <= best * (1 + 1e-5) + 1e-12]
+    squares = [(b * b).sum(axis=1) for b in x_blocks]
+    # distances are differences of products: what single precision may lose is allowed for
+    slack = 4e-6 * ((q * q).sum(axis=1) + sum(squares).max())
+    bound, unset = known.astype(np.float64), np.isinf(known)
+    if n > k and unset.any():
+        some = np.hstack([b[: 4 * k] for b in x_blocks])
+        whole = (q[unset] ** 2).sum(axis=1)[:, None] + (some * some).sum(axis=1)[None, :] - 2 * q[unset] @ some.T
+        bound[unset] = np.partition(whole, k - 1, axis=1)[:, k - 1]
+    partial, at, rows = np.zeros((len(q), n), np.float32), None, None
+    for b, square, lo, hi in zip(x_blocks, squares, edges, edges[1:], strict=False):
+        part, done = q[:, lo:hi], hi / d
+        limit = (bound * (1 + 1e-5) * (done * (1 + epsilon / np.sqrt(hi)) ** 2 if hi < d else 1) + slack).astype(np.float32)
+        if at is None:
+            partial += (part * part).sum(axis=1)[:, None] + square[None, :] - 2 * part @ b.T
+            alive = partial <= limit[:, None]
+            if hi == d or np.count_nonzero(alive) * 16 < alive.size:
+                at, rows = np.nonzero(alive)
+                partial = partial[at, rows]
+        else:
+            partial = partial + ((b[rows] - part[at]) ** 2).sum(axis=1)
+            alive = partial <= limit[at]
+            at, rows, partial = at[alive], rows[alive], partial[alive]
+    order = np.lexsort((partial, at))
+    starts = np.searchsorted(at[order], np.arange(len(q)))
+    counts = np.bincount(at, minlength=len(q))
+    best = np.full(len(q), np.inf)
+    more = counts > k
+    best[more] = partial[order][starts[more] + k - 1]
+    keep = partial <= best[at] * (1 + 1e-5) + slack[at]
+    return at[keep], rows[keep]
 
 
 def _meet(lists: Lists, k: int, block: int):
@@ -142,19 +160,28 @@ def _meet(lists: Lists, k: int, block: int):
         qv = np.frombuffer(b"".join(right["v"].to_pylist()), np.float64).reshape(-1, d)
         qx = lists.place(qv, True)
         # k-th best product so far, as a squared distance in the evened-out space
-        known = lists.longest**2 + (qv * qv).sum(axis=1) - 2 * right["least"].to_numpy()
-        right_least = right["least"].to_numpy()
+        least = right["least"].to_numpy()
+        known = lists.longest**2 + (qv * qv).sum(axis=1) - 2 * least
         blocks = [np.ascontiguousarray(x[:, a : a + block]) for a in range(0, d + 1, block)]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i, own in enumerate(q_ids) if len(ids) else ():
-            rows = scan(qx[i], blocks, k + 1, known[i])  # one more: the query itself may lie here
-            rows = rows[ids[rows] != own]
-            score = np.add.accumulate(v[:, rows] * qv[i][:, None], axis=0)[-1]  # component by component, in order
-            best = np.lexsort((ids[rows], -score))
-            best = best[score[best] >= right_least[i]][:k]
-            out.append((np.full(len(best), own), ids[rows][best], score[best]))
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        step = max(1, 4_000_000 // max(len(ids), 1))  # queries whose distances are held at once
+        for s in range(0, len(q_ids), step) if len(ids) else ():
+            at, rows = scan_many(qx[s : s + step], blocks, k + 1, known[s : s + step])  # one more: the query itself may lie here
+            at = at + s
+            other = ids[rows] != q_ids[at]
+            at, rows = at[other], rows[other]
+            for e in range(0, len(at), 1_000_000):
+                a, r = at[e : e + 1_000_000], rows[e : e + 1_000_000]
+                score = v[0, r] * qv[a, 0]
+                for c in range(1, d):  # component by component, in order
+                    score += v[c, r] * qv[a, c]
+                good = score >= least[a]
+                out.append((a[good], r[good], score[good]))
+        at, rows, score = (np.concatenate(z) for z in zip(*out, strict=True))
+        order = np.lexsort((ids[rows], -score, at))
+        at, rows, score = at[order], rows[order], score[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return pa.table({"query_id": pa.array(q_ids[at[best]], pa.int64()), "vec_id": pa.array(ids[rows[best]], pa.int64()), "score": pa.array(score[best], pa.float64())})
 
     return run
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from mediaops.llm.ann import SEED, Lists, nearest, scan
+from mediaops.llm.ann import SEED, Lists, nearest, scan, scan_many
 
 VECTORS = "vec_id long, embedding array<float>, label int, score int, list string"
 
@@ -97,3 +97,16 @@ def test_vectors_without_structure_need_most_lists():
     v = np.random.default_rng(SEED).standard_normal((4000, 64))
     lists = Lists(v, 64, float((v * v).sum(axis=1).max()) ** 0.5, 20)
     assert lists.probes(v, 20, 0.97) >= 12
+
+
+def test_many_queries_are_scanned_at_once():
+    rng = np.random.default_rng(2)
+    x, q = rng.standard_normal((2000, 64)).astype(np.float32), rng.standard_normal((100, 64)).astype(np.float32)
+    x[:300] = x[0]  # copies: all of them may be among the nearest
+    q[0] = x[0]
+    blocks = [x[:, a : a + 16] for a in range(0, 64, 16)]
+    at, rows = scan_many(q, blocks, 10, np.full(100, np.inf))
+    assert set(rows[at == 0]) >= set(range(300))
+    best = np.argsort(((q[1:, None, :] - x[None, :, :]) ** 2).sum(axis=2), axis=1)[:, :10]
+    found = set(zip(at.tolist(), rows.tolist(), strict=True))
+    assert sum((i + 1, int(r)) not in found for i, b in enumerate(best) for r in b) <= 10
