@@ -7,7 +7,9 @@ Viterbi scores are its exact heuristic, so segmentations come out best first.
 No piece has a space after its first letter, so a text's lattice falls apart in
 front of each run of spaces (and around line feeds, which no piece holds). These
 chunks are segmented on their own, repeated ones once a task, and a text's N best
-segmentations are the N best sums over its chunks.
+segmentations are the N best sums over its chunks. Viterbi goes through many new
+chunks at once, a place at a time, as steps on arrays; what ends at a place is told
+by an Aho-Corasick automaton of the pieces.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ N_BEST = 3
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _KNOWN, _KNOWN_CHARACTERS = 250_000, 8_000_000  # of the chunks of a generation; a task remembers two of them, an idle worker one
 _LONG = 20_000  # characters of a chunk that is cut further, or whose lattice is not held
+_FEW = 64  # chunks that must reach a place for a step on arrays to be worth it; those that go on alone take a lattice each
+_AT_ONCE = 400_000  # characters of chunks that are segmented at once, at some 60 bytes each
 _NEVER, _LOWEST = 1 << 62, -(1 << 62)
 
 
@@ -51,6 +55,7 @@ class Vocabulary:
         self.bytes = [p.encode() for p in pieces]
         for b, i in byte_ids.items():
             self.bytes[i] = bytes([b])
+        self.automaton = _Automaton(pieces, [round(s * 1e6) for s in scores])
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -75,6 +80,140 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+def _runs(begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places from each begin on, as many as its length, one run after the other."""
+    after = np.cumsum(lens)
+    return np.repeat(begin - (after - lens), lens) + np.arange(after[-1] if len(after) else 0)
+
+
+class _Automaton:
+    """Aho-Corasick automaton of pieces, in arrays by state; state 0 has read nothing that a piece begins with.
+
+    The pieces that end in a state are ``match`` of it, the longest one, ``after`` of
+    that, and so on to 0. A piece is named by the state it leads to."""
+
+    def __init__(self, pieces: list[str], scores: list[int]):
+        step: dict[int, int] = {}  # state and code point to state
+        back, depth, piece = [(0, 0)], [0], [-1]
+        for i, p in enumerate(pieces):
+            at = 0
+            for c in map(ord, p):
+                key = at << 21 | c
+                if key not in step:
+                    step[key] = len(depth)
+                    back.append((at, c))
+                    depth.append(depth[at] + 1)
+                    piece.append(-1)
+                at = step[key]
+            if p:
+                piece[at] = i
+        fail, match, after, lone = [0] * len(depth), [0] * len(depth), [0] * len(depth), [False] * len(depth)
+        for at in sorted(range(1, len(depth)), key=depth.__getitem__):
+            (before, c), to = back[at], 0
+            while before and not to:
+                before = fail[before]
+                to = step.get(before << 21 | c, 0)
+            fail[at], after[at] = to, match[to]
+            match[at] = at if piece[at] >= 0 else match[to]
+            lone[at] = lone[to] if to else depth[at] == 1 and piece[at] >= 0
+        #: the state of the longest proper end; whether the last character is a piece
+        self.fail, self.match, self.after, self.lone = np.array(fail, np.int32), np.array(match, np.int32), np.array(after, np.int32), np.array(lone)
+        self.size, self.piece = np.array([1, *depth[1:]], np.int64), np.array(piece, np.int64)  # state 0 stands for one character without a piece
+        self.score = np.array([scores[i] if i >= 0 else 0 for i in piece], np.int64)
+        #: the steps as a hash table of four times their number, the next place taken where one is taken already
+        self.bits = max(4 * len(step), 2).bit_length()
+        self.keys, self.states = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        keys, states = np.array(list(step), np.int64), np.array(list(step.values()), np.int32)
+        for slot, key, state in zip(self._slots(keys).tolist(), keys.tolist(), states.tolist(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.states[slot] = key, state
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _child(self, keys: np.ndarray) -> np.ndarray:
+        """States that steps lead to, 0 where there is none."""
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = self.states[slots]
+        open_ = np.flatnonzero(there != keys)
+        while len(open_):
+            open_ = open_[self.keys[slots[open_]] >= 0]
+            slots[open_] = (slots[open_] + 1) & ((1 << self.bits) - 1)
+            out[open_] = self.states[slots[open_]]
+            open_ = open_[self.keys[slots[open_]] != keys[open_]]
+        return out
+
+    def onward(self, states: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """States after a code point each."""
+        out = self._child(states.astype(np.int64) << 21 | points)
+        open_ = np.flatnonzero((out == 0) & (states > 0))
+        before = states[open_]
+        while len(open_):
+            before = self.fail[before]
+            out[open_] = self._child(before.astype(np.int64) << 21 | points[open_])
+            more = (out[open_] == 0) & (before > 0)
+            open_, before = open_[more], before[more]
+        return out
+
+
+def best_paths(vocabulary: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``Lattice.best_path`` of many strings at once: scores, piece identifiers of all, where each string's end, costs of the second best.
+
+    Strings lie longest first, so that those that reach a place are the first ones;
+    a row a place holds what ``Lattice.best`` does, the best piece that ends there and
+    what the next best piece costs."""
+    a, n = vocabulary.automaton, len(texts)
+    lens = np.fromiter(map(len, texts), np.int64, n)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    order = np.argsort(-lens, kind="stable")
+    begin, lens = (np.cumsum(lens) - lens)[order], lens[order]
+    reach = np.searchsorted(-lens, -np.arange(lens[0]), "left")  # strings longer than that
+    row = np.concatenate([[0, n], n + np.cumsum(reach)])
+    best, piece, cost = np.zeros(row[-1], np.int64), np.zeros(row[-1], np.int32), np.empty(row[-1], np.int64)
+    state = np.zeros(n, np.int32)
+    for j, m in enumerate(reach.tolist()):
+        state = a.onward(state[:m], points[begin[:m] + j])
+        top = np.where(a.lone[state], _LOWEST, best[row[j] : row[j] + m] + vocabulary.fallback)
+        second, chosen = np.full(m, _LOWEST), np.zeros(m, np.int32)
+        at = np.flatnonzero(a.match[state])
+        found = a.match[state[at]]
+        while len(at):  # from the longest piece on; of equal scores the shortest goes
+            score, old = best[row[j + 1 - a.size[found]] + at] + a.score[found], top[at]
+            second[at] = np.maximum(second[at], np.minimum(score, old))
+            top[at] = np.maximum(score, old)
+            chosen[at] = np.where(score >= old, found, chosen[at])
+            found = a.after[found]
+            more = np.flatnonzero(found)
+            at, found = at[more], found[more]
+        held = slice(row[j + 1], row[j + 1] + m)
+        best[held], piece[held], cost[held] = top, chosen, np.where(second == _LOWEST, _NEVER, top - second)
+    who, at, least, taken = np.arange(n), lens.copy(), np.full(n, _NEVER), []
+    while len(who):
+        k = row[at] + who
+        least[who] = np.minimum(least[who], cost[k])
+        taken.append((who, np.where(piece[k], a.piece[piece[k]], -1 - points[begin[who] + at - 1])))
+        at = at - a.size[piece[k]]
+        more = np.flatnonzero(at)
+        who, at = who[more], at[more]
+    counts, total, costs = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    counts[order], total[order], costs[order] = np.bincount(np.concatenate([w for w, _ in taken]), minlength=n), best[row[lens] + np.arange(n)], least
+    ends = np.cumsum(counts)
+    ids = np.empty(ends[-1], np.int64)
+    for k, (who, value) in enumerate(taken):
+        ids[ends[order[who]] - 1 - k] = value
+    if ids.min() < 0:  # characters without a piece
+        lacking, which = np.unique(-1 - ids[ids < 0], return_inverse=True)
+        spelt = [vocabulary.fall_back(chr(c)) for c in lacking.tolist()]
+        size, widths = np.ones(len(ids), np.int64), np.array(list(map(len, spelt)))
+        size[ids < 0] = widths[which]
+        ids[ids < 0] = (len(vocabulary.bytes) + np.cumsum(widths) - widths)[which]
+        ids = np.concatenate([np.arange(len(vocabulary.bytes)), *spelt])[_runs(ids, size)]
+        ends = np.cumsum(size)[ends - 1]
+    return total, ids, ends, costs
+
+
 class _Edges:
     """The pieces that end at each place of a text, looked up anew each time: for lattices too long to be held."""
 
@@ -247,26 +386,41 @@ class _Chunks(dict):
         self.found: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Segment what is new, in order, so that neighbours begin alike."""
-        for text in sorted(set().union(*texts).difference(self)):
-            self.add(text)
-
-    def add(self, text: str) -> None:
-        old = self.before
-        if old is not None and text in old:
-            i = old[text]
-            self.ids.extend(old.ids[old.ends[i] : old.ends[i + 1]])
-            top, cost, exact = old.best[i], old.costs[i], old.exact[i]
-        else:
-            top, ids, cost = self.lattice.best_path(text)
-            self.ids.extend(ids)
-            exact = b"".join(map(self.model.bytes.__getitem__, ids)) == text.encode()
-        self.ends.append(len(self.ids))
-        self.best.append(top)
-        self.costs.append(cost)
-        self.exact.append(exact)
-        self.characters += len(text)
-        self[text] = len(self.best) - 1
+        """Take over or segment what is new: most at once, the few longest in order, so that neighbours begin alike."""
+        new, old = set().union(*texts).difference(self), self.before
+        if old is not None:
+            known = list(new.intersection(old))
+            at = np.fromiter(map(old.__getitem__, known), np.int64, len(known))
+            ends = np.frombuffer(old.ends, np.int64)
+            lens = ends[at + 1] - ends[at]
+            ids, best, costs, exact = (np.frombuffer(x, t) for x, t in ((old.ids, np.int32), (old.best, np.int64), (old.costs, np.int64), (old.exact, np.uint8)))
+            self.add(known, best[at], ids[_runs(ends[at], lens)], np.cumsum(lens), costs[at], exact[at].tobytes())
+            new.difference_update(known)
+        for some in _some(sorted(new, key=len), _AT_ONCE):
+            rest = max(len(some) - _FEW + 1, 0)
+            while 0 < rest < len(some) and len(some[rest]) == len(some[rest - 1]):
+                rest += 1
+            if rest:
+                self.check(some[:rest], *best_paths(self.model, some[:rest]))
+            for text in sorted(some[rest:]):
+                top, ids, cost = self.lattice.best_path(text)
+                self.check([text], np.array([top]), np.array(ids), np.array([len(ids)]), np.array([cost]))
+
+    def check(self, texts: list[str], best: np.ndarray, ids: np.ndarray, ends: np.ndarray, costs: np.ndarray) -> None:
+        """Add segmented chunks, with whether they decode."""
+        spelt = list(map(self.model.bytes.__getitem__, ids.tolist()))
+        bounds = [0, *ends.tolist()]
+        exact = bytes(b"".join(spelt[a:b]) == text.encode() for text, a, b in zip(texts, bounds, bounds[1:], strict=False))
+        self.add(texts, best, ids, ends, costs, exact)
+
+    def add(self, texts: list[str], best: np.ndarray, ids: np.ndarray, ends: np.ndarray, costs: np.ndarray, exact: bytes) -> None:
+        first, base = len(self.best), len(self.ids)
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        for held, values in ((self.ends, ends + base), (self.best, best), (self.costs, costs)):
+            held.frombytes(values.astype(np.int64).tobytes())
+        self.exact.extend(exact)
+        self.characters += sum(map(len, texts))
+        self.update(zip(texts, range(first, first + len(texts)), strict=True))
 
     def n_best(self, chunk: str) -> list[tuple[int, tuple[int, ...]]]:
         if chunk not in self.found:
@@ -275,12 +429,11 @@ class _Chunks(dict):
 
     def text(self, chunks: list[str]) -> tuple[np.ndarray, list[float], list[list[tuple]], bool]:
         """Piece identifiers, the n best scores, what the second to n-th best change, and whether decoding is exact, for a text's chunks."""
-        at = np.array(list(map(self.__getitem__, chunks)))
+        at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         ends = np.frombuffer(self.ends, np.int64)
-        begin = ends[at]
-        lens = ends[at + 1] - begin
+        lens = ends[at + 1] - ends[at]
         after = np.cumsum(lens)
-        ids = np.frombuffer(self.ids, np.int32)[np.repeat(begin - (after - lens), lens) + np.arange(after[-1])]
+        ids = np.frombuffer(self.ids, np.int32)[_runs(ends[at], lens)]
         few: list[int] = []
         if self.n > 1:  # only the n - 1 chunks whose second best costs least can matter
             second = np.frombuffer(self.costs, np.int64)[at]
