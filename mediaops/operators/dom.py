@@ -125,27 +125,47 @@ def stable_step(tag: Column, classes: Column) -> Column:
     return F.concat_ws(".", tag, F.coalesce(named, plain))
 
 
+_READ = ["page_id", "node", "last", "tag", "_step", "_names", "times_within", "times_in_page", "_to", "_video", "_wanted"]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of the wanted elements of pages that come whole and in order of opening. Only the elements that are open are held."""
+    page, above = None, []
+    for b in batches:
+        at, made = [], []
+        for i, (of, node, last, tag, step, names, times, in_page, to, video, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in _READ), strict=True)):
+            if of != page:
+                page, above = of, []
+            while above and above[-1][0] < node:
+                above.pop()
+            href, seen = above[-1][5:] if above else (None, False)
+            above.append((last, tag, step, names, times, href if to is None else to, seen or video))
+            if wanted:
+                near = above[-5:]
+                steps = [x[2] for x in near if x[1] != "html"][-4:]
+                at.append(i)
+                made.append((" ".join(steps), " ".join(x[3] for x in near[-3:] if x[3]), href, seen, (near[0][4] if len(near) == 5 else in_page) > 0))
+        selector, classes, links, videos, durations = zip(*made, strict=True) if made else [()] * 5
+        own = {c: b.column(c).take(pa.array(at, pa.int32())) for c in ("page_id", "url", "node", "srcset_entries", "src")}
+        text = {"selector": selector, "classes": classes, "href": links}
+        yield pa.record_batch(own | {c: pa.array(x, pa.string()) for c, x in text.items()} | {"video_above": pa.array(videos, pa.bool_()), "near_duration": pa.array(durations, pa.bool_())})
+
+
 def signatures(dom: DataFrame, wanted: list[str]) -> DataFrame:
     """page_id, url, node of the wanted elements with selector, classes, href, video_above, srcset_entries, src, near_duration.
 
     selector: steps of the element and up to three above it, ``html`` left out; classes: of the element and two above;
     href and video_above: of the links above it, the nearest first; near_duration: whether the element four levels above,
-    or else the page, holds a duration."""
-    own = dom.filter(F.col("tag").isin(wanted)).select("page_id", "url", "node", "last", "depth", "src", "srcset", "times_in_page")
-    step = dom.withColumn("_step", stable_step(F.col("tag"), F.col("class")))
-    near = inside(step, own, {"depth": "level", "tag": "of_tag", "_step": "step", "class": "of_class", "times_within": "times"}, 4)
-    row = F.struct("level", "of_tag", "step", "of_class", "times")
-    up = near.groupBy("page_id", "node").agg(F.sort_array(F.collect_list(row)).alias("up"))  # five elements at most
-    links = inside(dom.filter("tag = 'a'"), own.select("page_id", "node", "depth"), {"node": "link", "href": "to", "class": "of_class"}).filter("link <> node")
-    video = F.coalesce(F.col("to").rlike(r"(?i)/(video|watch|v|id)/|embed/|player/"), F.lit(False)) | F.coalesce(F.lower("of_class").contains("go"), F.lit(False))
-    above = links.groupBy("page_id", "node").agg(F.max_by("to", F.when(F.col("to") != "", F.col("link"))).alias("href"), F.bool_or(video).alias("video_above"))
-    met = own.join(up, ["page_id", "node"]).join(above, ["page_id", "node"], "left")
-    levels = F.filter("up", lambda x: x["of_tag"] != "html")
-    steps = F.transform(F.slice(levels, F.greatest(F.size(levels) - 3, F.lit(1)), 4), lambda x: x["step"])
-    three = F.slice(F.col("up"), F.greatest(F.size("up") - 2, F.lit(1)), 3)
-    classes = F.array_join(F.filter(F.split(F.array_join(F.transform(three, lambda x: F.coalesce(x["of_class"], F.lit(""))), " "), r"\s+"), lambda c: c != ""), " ")
+    or else the page, holds a duration. A page's elements are read once in order of opening, its intervals telling which are
+    still open: time is linear in the elements whatever their nesting, memory in the depth."""
+    kinds, link, own = dict(dom.dtypes), F.col("tag") == "a", F.col("tag").isin(wanted)
+    video = F.coalesce(F.col("href").rlike(r"(?i)/(video|watch|v|id)/|embed/|player/"), F.lit(False)) | F.coalesce(F.lower("class").contains("go"), F.lit(False))
+    names = F.array_join(F.filter(F.split(F.coalesce("class", F.lit("")), r"\s+"), lambda c: c != ""), " ")
     entries = F.size(F.filter(F.split(F.coalesce("srcset", F.lit("")), ","), lambda e: F.trim(e) != ""))
-    times = F.when(F.col("depth") > 4, F.element_at("up", 1)["times"]).otherwise(F.col("times_in_page"))
-    return met.select(
-        "page_id", "url", "node", F.array_join(steps, " ").alias("selector"), classes.alias("classes"), "href", F.coalesce("video_above", F.lit(False)).alias("video_above"), entries.alias("srcset_entries"), "src", (times > 0).alias("near_duration"),
+    rows = dom.filter("page_id is not null").select(
+        "page_id", F.when(own, F.col("url")).alias("url"), "node", "last", "tag", stable_step(F.col("tag"), F.col("class")).alias("_step"), names.alias("_names"), "times_within", "times_in_page",
+        F.when(link & (F.col("href") != ""), F.col("href")).alias("_to"), (link & video).alias("_video"), F.when(own, entries).alias("srcset_entries"), F.when(own, F.col("src")).alias("src"), own.alias("_wanted"),
     )
+    schema = f"page_id {kinds['page_id']}, url string, node {kinds['node']}, srcset_entries int, src string, selector string, classes string, href string, video_above boolean, near_duration boolean"
+    met = rows.repartition("page_id").sortWithinPartitions("page_id", "node").mapInArrow(_scanned, schema)
+    return met.select("page_id", "url", "node", "selector", "classes", "href", "video_above", "srcset_entries", "src", "near_duration")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mediaops.operators import dom as D
 from mediaops.operators import html as H
+from mediaops.plans import QUERIES
 
 SCHEMA = "page_id long, url string, html string, node string"
 
@@ -84,3 +85,27 @@ def test_deep_nesting_is_joined_by_blocks(spark):
 
 def test_no_pages(spark):
     assert D.signatures(D.elements(pages(spark)), ["img"]).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_scanned_over_batches_without_joins(spark, many):
+    """No estimate of a page's elements decides on a broadcast; what is open goes on from batch to batch."""
+    simple = many.filter("html not like '%<html%'")
+    columns = ["page_id", "selector", "classes", "href", "video_above", "srcset_entries", "src", "near_duration"]
+    want = sorted(map(str, H.node_signatures(simple, "p,a,b").select(*columns).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = D.signatures(D.elements(simple), ["p", "a", "b"])
+        assert sorted(map(str, got.select(*columns).collect())) == want and len(want) > 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    evidence = plan(QUERIES["a24_dom_evidence"](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in evidence and evidence.count("Join") <= 1 and "Generate" not in evidence
+
+
+def test_every_level_of_a_deep_page(spark):
+    got = D.signatures(D.elements(pages(spark, "<a href='/v/'>" + "<p class='x-y'>" * 20_000)), ["p"])
+    assert got.agg(F.count("*"), F.count_if("video_above"), F.count_distinct("selector")).first()[:] == (20_000, 20_000, 4)
