@@ -114,7 +114,8 @@ def inside(outer: DataFrame, inner: DataFrame, outer_cols: dict[str, str], level
     if levels is not None:
         b = b.withColumn("_d", F.explode(F.sequence(F.greatest(F.col("depth") - levels, F.lit(1)), F.col("depth"))))
         same &= F.col("_d") == F.col("_depth")
-    return b.join(a, same).select(*inner.columns, *outer_cols.values())
+    # merged, never broadcast: Spark's estimate knows nothing of how many rows the blocks make
+    return b.join(a.hint("merge"), same).select(*inner.columns, *outer_cols.values())
 
 
 def stable_step(tag: Column, classes: Column) -> Column:
