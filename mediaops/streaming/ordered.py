@@ -1,24 +1,27 @@
 """Stateful streams in event-time order, with late rows aside.
 
-A key's rows wait in list state until the watermark has passed them; a timer at the first
+Rows wait in list state, by shards of keys, until the watermark has passed them; a timer at the first
 waiting row then hands them on in order of time, so results depend neither on how
 rows are dealt into micro-batches nor on the order inside one. Rows that come behind the
 watermark are not dropped: they leave at once, marked late. What a key has to
-remember is one small value, which another timer clears once it no longer matters.
+remember is one small value, which goes once it no longer matters.
 State lives in RocksDB."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, ListState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHARDS, PART = 1024, 50_000
 
 #: (state, milliseconds) to (state, outputs); the state is a tuple, or None at first
 Step = Callable[[tuple | None, int], tuple[tuple, tuple]]
@@ -36,21 +39,24 @@ def rocksdb(spark: SparkSession):
 
 
 class InOrder(StatefulProcessor):
-    """step over each key's rows in order of time; until(state): the time from which the state no longer matters."""
+    """step over each key's rows in order of time; until(state): the time from which the state no longer matters.
 
-    def __init__(self, keys: list[str], order: str, order_kind: str, step: Step, state: str, n_outputs: int, columns: list[str], until: Callable[[tuple], int]):
-        self.keys, self.order, self.kind, self.step, self.schema, self.n_outputs, self.columns, self.until = keys, order, order_kind, step, state, n_outputs, columns, until
+    Calls to the state store cost far more than rows do, so they are made for a shard of keys at a time, and rows and keys' states
+    go as pickled parts of up to ``PART`` rows and keys."""
+
+    def __init__(self, keys: list[str], order: str, step: Step, columns: list[str], until: Callable[[tuple], int]):
+        self.keys, self.order, self.step, self.columns, self.until = keys, order, step, columns, until
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, name {self.kind}")
-        self.held = handle.getValueState("held", self.schema)
+        self.waiting = handle.getListState("waiting", "part binary")
+        self.held = handle.getListState("held", "part binary")
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=self.columns)
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.columns)
 
     def _wake(self, at: int) -> None:
-        """One timer a key: at the first waiting row, or at the end of the state's life."""
+        """One timer a shard: at its first waiting row, or at the end of its first state's life."""
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.handle.registerTimer(at)
@@ -59,60 +65,78 @@ class InOrder(StatefulProcessor):
         mark = timerValues.getCurrentWatermarkInMs()
         new, late = [], []
         for part in rows:
-            named = part[part[self.order].notna()]  # others are heartbeats: they move the watermark and nothing else
-            for at, name in zip(named["event_ms"].tolist(), named[self.order].tolist(), strict=True):
-                (late if at < mark else new).append((int(at), name))
+            named = part[part["is_named"]]  # others are heartbeats: they move the watermark and nothing else
+            of = zip(*(named[k].astype(object).where(named[k].notna(), None) for k in self.keys), strict=True)
+            for row in zip(map(int, named["event_ms"]), named[self.order].tolist(), of, strict=True):
+                (late if row[0] < mark else new).append(row)
         if new:
-            first = min(new)[0]
-            if self.waiting.exists():
-                first = min(first, min(at for at, _ in self.waiting.get()))
-            self.waiting.appendList(new)
-            self._wake(first + 1)
-        yield self._frame(key, [(name, True, *[None] * self.n_outputs) for _, name in late])
+            self.waiting.appendList(_parts(new))
+            self._wake(min([min(row[0] for row in new) + 1, *self.handle.listTimers()]))
+        if late:
+            nothing = [None] * (len(self.columns) - len(self.keys) - 2)
+            yield self._frame([(*of, name, True, *nothing) for _, name, of in late])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready, rest = [r for r in rows if r[0] < mark], [tuple(r) for r in rows if r[0] >= mark]
-        state, out = (tuple(self.held.get()) if self.held.exists() else None), []
-        for at, name in ready:
+        rows, states, out = _rows(self.waiting), dict(_rows(self.held)), []
+        ready, rest = sorted((r for r in rows if r[0] < mark), key=itemgetter(0, 1)), [r for r in rows if r[0] >= mark]
+        for at, name, of in ready:
+            state = states.get(of)
             if state is not None and at >= self.until(state):
                 state = None
-            state, made = self.step(state, at)
-            out.append((name, False, *made))
-        if rest:
-            self.waiting.put(rest)
-        elif rows:
-            self.waiting.clear()
-        if state is not None and not rest and self.until(state) <= mark:
-            state = None
-        if state is None:
-            self.held.clear()
-        else:
-            self.held.update(state)
-        if rest or state is not None:
+            states[of], made = self.step(state, at)
+            out.append((*of, name, False, *made))
+        # the rows that still wait are not behind the watermark, so a state that ends there matters to none of them
+        states = {of: state for of, state in states.items() if self.until(state) > mark}
+        if ready:
+            _replace(self.waiting, rest)
+        _replace(self.held, list(states.items()))
+        if rest or states:
             # a timer at or before the watermark fires in the next batch, so it makes progress either way
-            self._wake(rest[0][0] + 1 if rest else self.until(state))
-        yield self._frame(key, out)
+            self._wake(min(r[0] for r in rest) + 1 if rest else min(map(self.until, states.values())))
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def in_order(stream: DataFrame, keys: list[str], ts: str, order: str, delay: str, step: Step, outputs: str, state: str, until: Callable[[tuple], int]) -> DataFrame:
+def _parts(rows: list[tuple]) -> list[tuple]:
+    return [(pickle.dumps(rows[i : i + PART], protocol=5),) for i in range(0, len(rows), PART)]
+
+
+def _rows(kept: ListState) -> list[tuple]:
+    return [row for (part,) in kept.get() for row in pickle.loads(part)] if kept.exists() else []
+
+
+def _replace(kept: ListState, rows: list[tuple]) -> None:
+    if rows:
+        kept.put(_parts(rows))
+    elif kept.exists():
+        kept.clear()
+
+
+def in_order(stream: DataFrame, keys: list[str], ts: str, order: str, delay: str, step: Step, outputs: str, state: str, until: Callable[[tuple], int], shards: int = SHARDS) -> DataFrame:
     """keys, ``order``, late, and the step's outputs (null for late rows) of every row.
 
     Late is what comes with a time before the watermark: the latest time of all earlier micro-batches less ``delay``,
     in whole milliseconds. ``order`` names a row and breaks ties of time; a row without one is a heartbeat, which moves the watermark and
     leaves no row. The watermark column itself stays below the operator, as Spark would drop late rows above it. Rows
-    still waiting when a stream ends come out when it goes on, or after a heartbeat."""
+    still waiting when a stream ends come out when it goes on, or after a heartbeat. ``state`` names the parts of a key's state. The number of
+    ``shards`` that keys are dealt to by hash is fixed once a checkpoint is written; a batch reads what the shards that it touches hold."""
     kinds = dict(stream.dtypes)
     marked = stream.withColumn("_mark", F.col(ts).cast("timestamp")).withWatermark("_mark", delay)
-    slim = marked.select(*keys, order, F.unix_millis(F.col(ts).cast("timestamp")).alias("event_ms"))
+    # keys travel as text, and a heartbeat gets some name: pandas would turn whole numbers beside a null into floating ones
+    text = lambda k: F.base64(k) if kinds[k] == "binary" else F.col(k).cast("string")
+    back = lambda k: F.unbase64(k) if kinds[k] == "binary" else F.col(k).cast(kinds[k])
+    some = F.lit("1970-01-01" if kinds[order].startswith(("date", "timestamp")) else "0").cast(kinds[order])
+    shard = F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int").alias("of_shard")
+    slim = marked.select(shard, *[text(k).alias(k) for k in keys], F.coalesce(F.col(order), some).alias(order), F.col(order).isNotNull().alias("is_named"), F.unix_millis(F.col(ts).cast("timestamp")).alias("event_ms"))
     names = [o.split()[0] for o in outputs.split(", ")]
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{order} {kinds[order]}", "late boolean", outputs])
-    processor = InOrder(keys, order, kinds[order], step, state, len(names), [*keys, order, "late", *names], until)
-    return slim.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    schema = ", ".join([*[f"{k} string" for k in keys], f"{order} {kinds[order]}", "late boolean", outputs])
+    processor = InOrder(keys, order, step, [*keys, order, "late", *names], until)
+    done = slim.groupBy("of_shard").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return done.select(*[back(k).alias(k) for k in keys], order, "late", *names)
 
 
 def expiring(ttl_ms: int, renew: bool) -> tuple[Step, str, str, Callable[[tuple], int]]:

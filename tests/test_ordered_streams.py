@@ -61,3 +61,19 @@ def test_stream_against_rows_in_order(spark, tmp_path, batches, how, restart):
     want = brute(batches, step, until)
     assert {r.id: (r.k, r.late, r[3]) for r in got} == want and len(got) == 240
     assert 5 < sum(r.late for r in got) < 60 and {r[3] for r in got} == {True, False, None}
+
+
+def test_many_keys_are_held_by_few_shards(spark, tmp_path):
+    """State comes and goes by shard, whatever the number of keys; whole numbers beside a heartbeat's nulls stay exact."""
+    big, schema = 2**53 + 1, "k long, id long, ts timestamp"
+    rows = [(big + i % 2000, big + i, START + dt.timedelta(seconds=i // 2000 * 40)) for i in range(6000)]
+    for batch in (rows[:4000], rows[4000:], [(None, None, START + dt.timedelta(days=9))]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with O.rocksdb(spark):
+        query = O.in_order(stream, ["k"], "ts", "id", "10 minutes", *O.expiring(60_000, False), shards=8).writeStream.format("memory").queryName("few_shards").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert max(held) < 100
+    got = spark.table("few_shards").collect()
+    assert {(r.k, r.id, r.late, r.fresh) for r in got} == {(k, i, False, n // 2000 != 1) for n, (k, i, _) in enumerate(rows)} and len(got) == 6000
