@@ -111,8 +111,8 @@ def test_every_level_of_a_deep_page(spark):
     assert got.agg(F.count("*"), F.count_if("video_above"), F.count_distinct("selector")).first()[:] == (20_000, 20_000, 4)
 
 
-def test_small_estimates_lead_to_no_broadcast(spark, many):
+def test_small_estimates_lead_to_no_broadcast(spark):
     """Of f19's elements, and of pairs of elements, both of which a table of a few KB may make in millions."""
-    dom = D.elements(many)
+    dom = D.elements(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
     assert "Broadcast" not in plan(D.inside(dom, dom.select("page_id", "node", "depth"), {"node": "outer"}))
     assert "Broadcast" not in plan(QUERIES["f19_dom_signatures"](spark, "/root/testdata/sf0.001"))
