@@ -77,3 +77,20 @@ def test_many_keys_are_held_by_few_shards(spark, tmp_path):
     assert max(held) < 100
     got = spark.table("few_shards").collect()
     assert {(r.k, r.id, r.late, r.fresh) for r in got} == {(k, i, False, n // 2000 != 1) for n, (k, i, _) in enumerate(rows)} and len(got) == 6000
+
+
+def test_a_hot_key_waits_in_several_parts(spark, tmp_path):
+    """More rows of one key than a part holds, out of order, many of one millisecond, against rows in order."""
+    n, schema, rng = O.PART + 20_000, "k string, id long, ts timestamp", random.Random(9)
+    rows = [("a", i, START + dt.timedelta(milliseconds=rng.randrange(10_000) * 1000)) for i in range(n)]
+    for batch in (rows, [(None, None, START + dt.timedelta(days=9))]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    O.drained(O.in_order(source(spark, f"{tmp_path}/in").select("*"), ["k"], "ts", "id", "2 hours", *O.limits(1, 2)), f"{tmp_path}/out", f"{tmp_path}/cp")
+    step, _, _, until = O.limits(1, 2)
+    state, want = None, {}
+    for _, i, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        at = int(ts.replace(tzinfo=dt.UTC).timestamp() * 1000)
+        state = None if state is not None and at >= until(state) else state
+        state, (want[i],) = step(state, at)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {r.id: r.allowed for r in got} == want and len(got) == n and not any(r.late for r in got) and sum(want.values()) == 6
